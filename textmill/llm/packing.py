@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from textmill.llm.common import checkpoint, table
 
@@ -185,7 +186,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, bucket_items: in
     pieces = checkpoint(pieces.select(kept, F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("_uid")))
     placed = [pieces.where(F.col("length") >= capacity).select("_row", "length", (-1 - F.col("_uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left = pieces.where(F.col("length") < capacity)
-    schema = left.schema.add("_bucket", "long").add("bin", "long").add("offset", "long").add("given_up", "boolean")
+    schema = StructType([*left.schema.fields, *(StructField(c, LongType()) for c in ("_bucket", "bin", "offset")), StructField("given_up", BooleanType())])
     for k in range(rounds):
         n = left.count()
         if not n:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from textmill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from textmill.llm.language_id import op6_language_id
 from textmill.llm.line_dedup import OP10_SQL, op10_line_dedup
+from textmill.llm.media import op3_media
 from textmill.llm.packing import op7_packing
 from textmill.llm.piece_bpe import op5_sentencepiece
 from textmill.llm.simhash import op9_simhash
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_media": op3_media,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
