@@ -1,7 +1,7 @@
 """Line deduplication over levelled sorted runs of line hashes, with DataFrame functions only.
 
 ``LineRuns`` is the index: a run maps the hash of a line to the smallest document that
-holds it, partitioned and sorted by hash. A new batch is reduced to its own such map,
+holds it, partitioned and sorted by hash (in as many partitions as its size asks for). A new batch is reduced to its own such map,
 merge-anti-joined with the runs there are, and what is left becomes a run of level 0.
 When a level holds ``fanout`` runs they are compacted to one run of the next. Batches must
 come in the order of their documents' ids, so the first holder of a line is the smallest.
@@ -52,12 +52,12 @@ def split_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> Data
 class LineRuns:
     """Levels of sorted runs (h1, h2, doc_id); a hash is in one run at most."""
 
-    def __init__(self, partitions: int, fanout: int = FANOUT):
-        self.partitions, self.fanout = partitions, fanout
+    def __init__(self, fanout: int = FANOUT):
+        self.fanout = fanout
         self.levels: list[list[DataFrame]] = [[]]
 
     def _run(self, df: DataFrame) -> DataFrame:
-        return checkpoint(df.repartition(self.partitions, "h1", "h2").sortWithinPartitions("h1", "h2"))
+        return checkpoint(df.repartition("h1", "h2").sortWithinPartitions("h1", "h2"))
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -84,10 +84,6 @@ class LineRuns:
         return reduce(DataFrame.unionByName, self.runs())
 
 
-def _partitions(docs: DataFrame) -> int:
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_code_points: int = MIN_CODE_POINTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): ``docs`` without the lines an earlier document has.
 
@@ -102,7 +98,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     low, high = source.where(F.col("doc_id") < last).agg(F.min("doc_id"), F.max("doc_id")).first()
     step = 1 if low is None else max(1, -(-(high - low + 1) // batches))
     cuts = [] if low is None else [low + step * k for k in range(1, batches) if low + step * k <= high]
-    index = LineRuns(_partitions(docs), fanout)
+    index = LineRuns(fanout)
     for begin, end in zip([None, *cuts], [*cuts, None], strict=True):
         part = source if begin is None else source.where(F.col("doc_id") >= begin)
         part = part if end is None else part.where(F.col("doc_id") < end)
