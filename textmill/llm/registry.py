@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textmill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from textmill.llm.html_extract import op4_html_extract
 from textmill.llm.language_id import op6_language_id
 from textmill.llm.line_dedup import OP10_SQL, op10_line_dedup
 from textmill.llm.media import op3_media
@@ -13,6 +14,7 @@ from textmill.llm.simhash import op9_simhash
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_media": op3_media,
+    "op4_html_extract": op4_html_extract,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
