@@ -111,7 +111,7 @@ def embed_entries(chunks: DataFrame, embedder: Embedder, origin: str = "index")
 def store_note(collection: Collection, content: str, metadata: dict[str, str], embedder: Embedder = HashingEmbedder()) -> None:
     """A single entry by hand. A sync leaves it alone, even if it names an indexed file."""
     row = collection.spark.range(1).select(
-        F.lit(content).alias("content"), F.struct(*[F.lit(metadata.get(k)).alias(k) for k in ("file_path", "line_range", "type")]).alias("metadata"),
+        F.lit(content).alias("content"), F.struct(*[F.lit(metadata.get(k)).cast("string").alias(k) for k in ("file_path", "line_range", "type")]).alias("metadata"),
         F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(0).alias("chunk_no"),
     )
     collection.append(embed_entries(row, embedder, origin="note"))

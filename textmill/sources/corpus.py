@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from textmill.functions.paths import EXCLUDED_FOLDERS, compile_ignore, entry_type, extensions_of, is_ignored
@@ -104,7 +105,7 @@ def read_corpus(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return spark.read.format("corpus").options(path=root, **options).load()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_ignoring(content):  # noqa: ANN001, ANN201 (a pandas UDF's types are its declaration)
     """UTF-8 text without the bytes that aren't, with line ends made \\n."""
     import pandas as pd
