@@ -104,6 +104,7 @@ class PieceModel:
         self.merged = np.array([pairs[k] for k in sorted(pairs)], dtype=np.int64)
         self.ranks = rank[self.merged].astype(np.int64)
         self.names = [str(k) for k in range(self.n)]
+        self.shown = [p.replace(SPACE, " ") for p in pieces]
         barrier = "\n" if self.of_char[10] < 0 else ""
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{barrier}]+|{SPACE}+" + (f"|{barrier}" if barrier else ""))
 
@@ -162,7 +163,7 @@ class PieceModel:
         """Where this round merges: of each word the leftmost pairs of the least rank that don't
         overlap, up to the first one whose merge makes a pair that must go before the others."""
         at = np.flatnonzero(rank == best)
-        if len(at) == len(np.unique(word[at])):
+        if (word[at[1:]] != word[at[:-1]]).all():
             return at
         run = np.cumsum(np.r_[True, (np.diff(at) > 1)])
         place = np.arange(len(at)) - np.searchsorted(run, run)
@@ -220,7 +221,7 @@ class PieceModel:
             flush()
             if kind == CONTROL:
                 continue
-            piece = " ⁇ " if kind == UNKNOWN else self.pieces[k].replace(SPACE, " ")
+            piece = " ⁇ " if kind == UNKNOWN else self.shown[k]
             out.append(piece[1:] if first and piece.startswith(" ") and kind != UNKNOWN else piece)
             first = False
         flush()
@@ -229,11 +230,13 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> list[tuple[str, str]]:
         """For each word its ids, as decimals joined by commas, and the text they decode to."""
         ids, sizes = self.merge(words)
-        ends = np.cumsum(sizes).tolist()
+        ends = np.cumsum(sizes)
+        in_bytes = np.add.reduceat(self.types[ids] == BYTE, ends - sizes).tolist() if len(ids) else []
         flat, begin, out = ids.tolist(), 0, []
-        for end in ends:
+        names, shown = self.names, self.shown
+        for end, spelt in zip(ends.tolist(), in_bytes, strict=True):
             own = flat[begin:end]
-            out.append((",".join([self.names[k] for k in own]), self.decode(own, first=False)))
+            out.append((",".join([names[k] for k in own]), self.decode(own, first=False) if spelt else "".join([shown[k] for k in own])))
             begin = end
         return out
 
