@@ -84,19 +84,18 @@ class LanguageModel:
     bias: np.ndarray | float = 0.0
 
     @classmethod
-    def fit(cls, seen: np.ndarray, labels: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> LanguageModel:
-        """Fit to presence rows and their labels; the first rows of a label are its landmarks."""
+    def fit(cls, packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> LanguageModel:
+        """Fit to packed presence rows and their labels; the first rows of a label are its landmarks."""
         names = sorted(set(labels))
         label = np.array([names.index(x) for x in labels], dtype=np.int64)
         if len(names) < 2:
             return cls(names, np.zeros((WIDTH, len(names)), dtype=np.float32))
-        x = _unit(seen.astype(np.float32))
-        marks = x[np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(names))])]
-        among, values = (marks @ marks.T).astype(np.float64), None
-        values, vectors = np.linalg.eigh(among)
+        unpacked = lambda rows: _unit(np.unpackbits(rows, axis=1)[:, :WIDTH].astype(np.float32))
+        marks = unpacked(packed[np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(names))])])
+        values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         good = values > 1e-6 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
-        z = (x @ marks.T).astype(np.float64) @ root
+        z = np.concatenate([(unpacked(packed[k : k + BATCH]) @ marks.T).astype(np.float64) @ root for k in range(0, len(packed), BATCH)])
         z1 = np.c_[z, np.ones(len(z))]
         y = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
         weight = 1 / np.bincount(label, minlength=len(names))[label]  # each language counts the same
@@ -146,8 +145,7 @@ def fit_language_model(rows: DataFrame, *, sample: int = SAMPLE_PER_LANGUAGE, la
     bits = [b for own in taken.values() for b in own]
     if not bits:
         return LanguageModel([], np.zeros((WIDTH, 0), dtype=np.float32))
-    seen = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), -1), axis=1)[:, :WIDTH]
-    return LanguageModel.fit(seen, labels, landmarks)
+    return LanguageModel.fit(np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), -1), labels, landmarks)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
