@@ -170,11 +170,9 @@ def _mismatches(hits: DataFrame, texts: DataFrame) -> DataFrame:
     Members of a group are split into chunks, each with its own copy of the kept text, so
     that no task gets a whole group.
     """
-    chunked = hits.select("entry", F.col("keep.entry").alias("keep_entry"), F.floor(F.col("rank") / VERIFY_CHUNK).alias("chunk"))
-    members = chunked.join(texts, "entry").withColumn("is_keep", F.lit(False))
-    chunks = chunked.select("keep_entry", "chunk").distinct()
-    keeps = chunks.join(texts.withColumnRenamed("entry", "keep_entry"), "keep_entry").select(F.col("keep_entry").alias("entry"), "keep_entry", "chunk", "raw", F.lit(True).alias("is_keep"))
-    both = members.select("entry", "keep_entry", "chunk", "raw", "is_keep").unionByName(keeps)
+    members = hits.select("entry", F.col("keep.entry").alias("keep_entry"), F.floor(F.col("rank") / VERIFY_CHUNK).alias("chunk"), F.lit(False).alias("is_keep"))
+    keeps = members.select(F.col("keep_entry").alias("entry"), "keep_entry", "chunk", F.lit(True).alias("is_keep")).distinct()
+    both = members.unionByName(keeps).join(texts, "entry").select("entry", "keep_entry", "chunk", "raw", "is_keep")
     both = both.repartition("keep_entry", "chunk").sortWithinPartitions("keep_entry", "chunk", F.col("is_keep").desc())
 
     def run(batches):
