@@ -71,9 +71,8 @@ class JsonLeaves:
 
 def json_leaves(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(key, path, ordinal, leaf) of a JSON column."""
-    rows.sparkSession.udtf.register("json_leaves", JsonLeaves)
-    rows.select(F.col(key).alias("_key"), F.col(column).alias("_json")).createOrReplaceTempView("_json_rows")
-    return rows.sparkSession.sql(f"SELECT _key AS `{key}`, path, ordinal, leaf FROM _json_rows, LATERAL json_leaves(_json)")
+    found = rows.select(F.col(key), F.col(column).alias("_json")).lateralJoin(JsonLeaves(F.col("_json").outer()))
+    return found.select(key, "path", "ordinal", "leaf")
 
 
 def select_leaves(leaves: DataFrame, key: str, *, leaf: str = "leaf", ordinal: str = "ordinal", threshold: int = THRESHOLD_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -152,3 +151,8 @@ def response_json(action: Column, payload: Column) -> Column:
 
 def failure_note(tool: Column, chars: Column, error: Column) -> Column:
     return F.concat(tool, F.lit(" output ("), chars.cast("string"), F.lit(" chars) was left unchanged: "), error)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Rows appended as JSON lines."""
+    rows.write.mode("append").json(path)

@@ -11,10 +11,15 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from textmill.functions.providers import Embedder, HashingEmbedder
 from textmill.operators.manifest import counts, diff, file_hashes, files_to_chunk, kept_entries
@@ -177,19 +182,54 @@ def preview_index(spark: SparkSession, root: str, *, limit: int = 10, chunk_line
     return entries.count(), first.select("metadata.file_path", "metadata.line_range", "metadata.type", preview("content").alias("preview"))
 
 
+#: Queries that are sent to the tasks at once; more are answered in blocks of this size.
+QUERY_BLOCK = 4_096
+
+
+def _best(vectors: np.ndarray, ids: list, queries: np.ndarray, k: int, metric: str) -> Iterator[tuple[int, int, float]]:
+    """(query place, entry place, score) of the k best of these vectors for each query."""
+    scores = vectors @ queries.T
+    if metric == "cosine":
+        scores /= np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(queries, axis=1)[None, :]
+    order = np.argsort(np.array(ids), kind="stable")
+    for q in range(len(queries)):
+        own = scores[order, q]
+        first = order[np.argsort(-own, kind="stable")[:k]]
+        yield from ((q, int(i), float(scores[i, q])) for i in first)
+
+
 def top_k(entries: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "cosine", vec: str = "vec", entry_id: str = "id", query_id: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
     """(query_id, id, score, rank): the k best entries for each query, ties to the smaller id.
 
-    The queries are a stated set; each task keeps its own k best for each of them before
-    anything is shuffled, so what is shuffled is k rows for each query and task.
+    The queries are a stated set and go to the tasks in blocks. A task multiplies each batch
+    of its entries with a block and passes on only the batch's k best for each query; the
+    window over what is left is limited to k rows again before it is shuffled. Entries or
+    queries without a vector are left out.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError("metric is cosine or dot")
-    dot = F.aggregate(F.zip_with(vec, query_vec, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    score = dot if metric == "dot" else dot / (norm(vec) * norm(query_vec))
-    scored = entries.select(F.col(entry_id), F.col(vec)).join(F.broadcast(queries.select(query_id, query_vec)), how="cross").select(query_id, entry_id, score.alias("score"))
-    best = scored.groupBy(query_id, F.pmod(F.xxhash64(entry_id), F.lit(64)).alias("_part")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(entry_id).alias("i")))), 1, k).alias("b"))
-    merged = best.groupBy(query_id).agg(F.slice(F.sort_array(F.flatten(F.collect_list("b"))), 1, k).alias("b"))
-    rows = merged.select(query_id, F.posexplode("b").alias("rank", "_b"))
-    return rows.select(query_id, F.col("_b.i").alias(entry_id), (-F.col("_b.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
+    source = entries.select(F.col(entry_id).alias("_id"), F.col(vec).alias("_vec")).where(F.col("_vec").isNotNull())
+    asked = queries.select(F.col(query_id).alias("_query"), F.col(query_vec).alias("_vec")).where(F.col("_vec").isNotNull())
+    n = asked.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    types = {f.name: f.dataType for f in [*source.schema.fields, *asked.schema.fields]}
+    schema = StructType([StructField("_query", types["_query"]), StructField("_id", types["_id"]), StructField("_score", DoubleType())])
+    parts = []
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("_query"), F.lit(blocks)) == block).toArrow()
+        names = own["_query"].to_pylist()
+        matrix = np.array(own["_vec"].to_pylist(), dtype=np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows or not names:
+                    continue
+                ids = batch.column(0).to_pylist()
+                found = list(_best(np.array(batch.column(1).to_pylist(), dtype=np.float64), ids, matrix, k, metric))
+                q, i, score = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], own.schema.field("_query").type), pa.array([ids[x] for x in i], batch.schema.field(0).type), pa.array(score)], names=["_query", "_id", "_score"])
+
+        parts.append(source.mapInArrow(run, schema))
+    best = Window.partitionBy("_query").orderBy(F.col("_score").desc(), "_id")
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select(F.col("_query").alias(query_id), F.col("_id").alias(entry_id), F.col("_score").alias("score"), "rank")
