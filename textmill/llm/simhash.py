@@ -181,6 +181,13 @@ class Forest:
         self.parent[max(a, b)] = min(a, b)
         return True
 
+    def roots(self) -> np.ndarray:
+        """The root of each place."""
+        found = np.array(self.parent)
+        while (found[found] != found).any():
+            found = found[found]
+        return found
+
 
 def _bucket_links(distance: int):
     """Links of the buckets in a task; its rows come sorted by bucket."""
@@ -192,6 +199,11 @@ def _bucket_links(distance: int):
         forest = Forest(len(fps))
         a, b = [], []
         for i, j in index.links(fps, _top_of(index, len(fps)), distance):
+            if len(i) > 1000:
+                # Of a dense group most pairs are joined already.
+                roots = forest.roots()
+                new = roots[i] != roots[j]
+                i, j = i[new], j[new]
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if forest.join(x, y):
                     a.append(x)
