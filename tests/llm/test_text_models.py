@@ -275,6 +275,8 @@ def test_parser():
     assert [t for t, _ in texts] == ["a", "b", "c", "d", "e", "f", "g", "A"]
     assert len({b for _, b in texts[:6]}) == 6
     assert len(parse("<div>" * 3000 + "x").parent) == 3002
+    assert [t for t in parse("<html><head><title>t</title><meta x><p>shown").text if t] == ["shown"]
+    assert [t for t in parse("<noscript><p>a</p></noscript><p>b").text if t] == ["b"]
 
 
 # ------------------------------------------------------------------ licenses

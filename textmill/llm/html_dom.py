@@ -49,6 +49,7 @@ WORD_OF = {w: k for k, words in enumerate(WORDS.values()) for w in words.split()
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template title head".split())
+IN_HEAD = frozenset("title meta link script style base noscript template head html".split())
 RAW = frozenset("script style title textarea noscript template iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -146,7 +147,8 @@ def parse(page: str, mark_attribute: str | None = None) -> Dom:
             tag, attributes = tag.lower(), m["attributes"]
             if tag in ("html", "body") and len(stack) > 1 and any(t == tag for t, _ in stack):
                 continue
-            if tag == "body":
+            if hidden and tag not in IN_HEAD:
+                # Whatever doesn't belong in a head ends it, with or without its end tag.
                 pop(next((k for k, (t, _) in enumerate(stack) if t == "head"), len(stack)))
             if tag in CLOSES:
                 close(*CLOSES[tag])
