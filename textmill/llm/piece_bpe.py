@@ -14,6 +14,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -241,10 +242,15 @@ class PieceModel:
         return out
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> tuple[PieceModel, dict[str, tuple[str, str]]]:
+    """The model and the words encoded so far; a worker process keeps both from task to task."""
+    return PieceModel(path), {}
+
+
 def _encode(path: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(path)
-        known: dict[str, tuple[str, str]] = {}
+        model, known = _loaded(path)
 
         def encoded(texts: list[str]):
             cuts = [model.words(t) for t in texts]
