@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -74,12 +74,18 @@ class ByteTokenizer:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> ByteTokenizer:
+    """The tokenizer, which a worker process keeps from task to task."""
+    return ByteTokenizer(path)
+
+
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ByteTokenizer(path)
+        tokenizer = _loaded(path)
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: len(names)]
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             rows = []
