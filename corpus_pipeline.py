@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.common import checkpoint, without_ids
 from textmill.llm.exact_dedup import exact_dedup
-from textmill.llm.language_id import UNKNOWN, fit_language_model, identify, remainder
+from textmill.llm.language_id import fit_language_model, keep_identified, remainder
 from textmill.llm.packing import pack_documents
 from textmill.llm.simhash import simhash_components
 
@@ -29,8 +29,7 @@ MIN_SCORE = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; the model learns from the labelled rows of the stage's input."""
     model = fit_language_model(docs.where(remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
-    found = identify(docs.withColumn("_text", F.col("text")), model, "_text")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    return keep_identified(docs, model, MIN_SCORE)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,6 +168,19 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     return docs.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is told with ``min_score`` at least, columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, BATCH) for k in range(0, batch.num_rows, BATCH)):
+                names, scores = model.predict(part.column(at).to_pylist())
+                yield part.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % modulus
