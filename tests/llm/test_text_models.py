@@ -385,3 +385,10 @@ def test_media_columns(spark):
 
 def test_unused_columns_may_clash(spark):
     assert B.encode_documents(frame(spark).withColumn("n_tokens", F.lit(1)), PIECES).columns == ["doc_id", "n_tokens", "ids", "decoded"]
+
+
+def test_words_are_spelt_alike_together_and_alone():
+    speller = M.Speller(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for words in ([b"plain", b"it's", b"don't123", "日本語。".encode(), b"x" * 3000], ["a\u00a0b".encode(), "\u3000".encode(), b"\x1cq"], [b"\xff\xfe", b"<|endoftext|>", b"\xc2"], []):
+        ids, size = speller.spell(words)
+        assert [part.tolist() for part in np.split(ids, np.cumsum(size)[:-1])][: len(words)] == [speller.encode(w.decode("utf-8", "replace")) for w in words]
