@@ -177,6 +177,18 @@ def test_language_model(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_rare_words_keep_their_counts(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{min(int(r.paretovariate(0.7)), 300)}" for _ in range(r.randint(1, 90)))
+    docs = spark.createDataFrame([(k, text()) for k in range(60)], "doc_id long, text string").repartition(3, "doc_id")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    columns = ("n_tokens", "n_known", "base_score", "score")
+    all_heavy, none_heavy = ({x["doc_id"]: [x[c] for c in columns] for x in M.score_documents(docs, path, heavy_words=n).collect()} for n in (200_000, 0))
+    assert set(all_heavy) == set(range(60))
+    for k, own in all_heavy.items():
+        assert none_heavy[k] == pytest.approx(own, rel=1e-4)
+
+
 def test_language_model_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert M.score_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
