@@ -189,6 +189,23 @@ def test_rare_words_keep_their_counts(spark):
         assert none_heavy[k] == pytest.approx(own, rel=1e-4)
 
 
+def test_words_are_scored_with_sixteen_before_them():
+    assert (M.WINDOW, M.CONTEXT) == (64, 16)
+    model = toy_model()
+    r = np.random.default_rng(4)
+    ids, size = np.arange(31), np.ones(31, dtype=np.int64)
+    log = model.word_log(model.spelling(ids, size), np.zeros((31, M.EXPERTS), dtype=np.float32))
+    top = log.max(axis=1)
+    ratio = np.exp(log - top[:, None])
+    codes = r.integers(1, 31, 200)
+    qkv = tuple(np.concatenate([a, b[1:]]) for a, b in zip(model.start(), model.projections(ids, size, log), strict=True))
+    out = M.score_words(codes, np.array([200]), model, qkv, ratio, top)
+    for place in (40, 64, 111, 112, 199):
+        changed = codes.copy()
+        changed[place - 16] = codes[place - 16] % 30 + 1
+        assert M.score_words(changed, np.array([200]), model, qkv, ratio, top)[place] != out[place]
+
+
 def test_language_model_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert M.score_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
