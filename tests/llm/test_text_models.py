@@ -66,6 +66,20 @@ def test_token_ids_equal_the_library():
         assert own.encode(t or "") == np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_special_tokens_equal_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTES)
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n\n<|endoftext|>", "a  <|endoftext|>  b<|endoftext", "x <|endoftext|>'s"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    own = P.ByteTokenizer(BYTES, special_tokens=True)
+    assert [np.frombuffer(own.encode(t or ""), dtype="<u4").tolist() for t in texts] == want
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["ids_crc32"] for r in P.op7_packing(spark, str(tmp_path)).where("length < 1024 AND piece = 0 AND start = 0").collect()}
+    short = {k: zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes()) for k, ids in enumerate(want) if len(ids) < 1023}
+    assert {k: got[k] for k in short} == short
+
+
 def check_packing(rows, texts, capacity):
     own = P.ByteTokenizer(BYTES)
     ids = {k: np.frombuffer(own.encode(t or ""), dtype="<u4").tolist() + [2] for k, t in enumerate(texts)}

@@ -46,13 +46,15 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class ByteTokenizer:
-    """Ids of a byte-level BPE tokenizer file, its special tokens being ordinary text.
+    """Ids of a byte-level BPE tokenizer file. With ``special_tokens`` a text's parts that spell
+    the file's added tokens have those ids, as in the library by default, else they are
+    ordinary text.
 
     The file's merges are in the order of their results' ids, so merging by least id is
     merging by the file; the library used for that takes a third of the time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_tokens: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -60,32 +62,34 @@ class ByteTokenizer:
         split, model = spec["pre_tokenizer"], spec["model"]
         if split["type"] != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or spec["normalizer"] or model["type"] != "BPE":
             raise ValueError("only byte-level BPE without a prefix space or normaliser is supported")
-        byte_of, special = _byte_of_char(), {x["content"] for x in spec["added_tokens"]}
+        byte_of, special = _byte_of_char(), {x["content"]: x["id"] for x in spec["added_tokens"]}
+        if special_tokens and any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in spec["added_tokens"]):
+            raise ValueError("only added tokens that match as they are written are supported")
         vocabulary = model["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         results = [vocabulary[a + b] for a, b in merges]
         if results != sorted(results):
             raise ValueError("the merges aren't in the order of their ids")
         ranks = {bytes(byte_of[c] for c in token): k for token, k in vocabulary.items() if token not in special}
-        self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if special_tokens else {})
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=1)
-def _loaded(path: str) -> ByteTokenizer:
+def _loaded(path: str, special_tokens: bool) -> ByteTokenizer:
     """The tokenizer, which a worker process keeps from task to task."""
-    return ByteTokenizer(path)
+    return ByteTokenizer(path, special_tokens)
 
 
-def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+def _pieces(path: str, capacity: int, end_id: int, with_ids: bool, special_tokens: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _loaded(path)
+        tokenizer = _loaded(path, special_tokens)
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: len(names)]
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             rows = []
@@ -103,12 +107,12 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     return run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, special_tokens: bool = False) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
     A null text counts as empty and has the end id only.
     """
-    run, schema = _pieces(tokenizer_path, capacity, end_id, with_ids)
+    run, schema = _pieces(tokenizer_path, capacity, end_id, with_ids, special_tokens)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -203,21 +207,22 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, bucket_items: in
     return whole.select("_row.*", "length", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, bucket_items: int = BUCKET_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, bucket_items: int = BUCKET_ITEMS, rounds: int = ROUNDS, special_tokens: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens; one row for each piece.
 
     Columns: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset. A
     document is its ids and then ``end_id``; only one longer than ``capacity`` is cut, with
     the shorter piece first. Defined cases: a null or empty text is the end id alone; ids
     may be null or repeat, each row is packed by itself; an empty table gives an empty
-    result; other columns aren't read.
+    result; other columns aren't read. ``special_tokens`` gives the tokenizer's added tokens
+    their ids where a text spells them; the query and the pipeline do so.
     """
-    pieces = token_pieces(docs, tokenizer_path, id_col, text_col, capacity=capacity, end_id=end_id, with_ids=with_ids)
+    pieces = token_pieces(docs, tokenizer_path, id_col, text_col, capacity=capacity, end_id=end_id, with_ids=with_ids, special_tokens=special_tokens)
     return pack_pieces(pieces, capacity=capacity, bucket_items=bucket_items, rounds=rounds)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    found = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special_tokens=True)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
