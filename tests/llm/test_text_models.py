@@ -354,6 +354,17 @@ def test_licenses(spark):
     assert C.license_scan(rows.limit(0)).count() == 0
 
 
+def test_licenses_in_windows_that_another_outweighs_and_repeated():
+    w = [f"w{k}" for k in range(20)]
+    scanner = C.Scanner({"T": " ".join(w)}, 0.8)
+    edited = " ".join([w[0], "z", "z", *w[3:18], *["z"] * 12])
+    assert [(r[1], r[3]) for r in scanner.scan(f"{edited} w1 w2")] == [(0.8, 0)]
+    twice = " ".join([*w, "and", *w])
+    found = scanner.scan(twice)
+    assert [(r[1], twice[r[3] : r[4]]) for r in found] == [(1, " ".join(w))] * 2
+    assert found[0][4] <= found[1][3]
+
+
 # ------------------------------------------------------------------ media
 
 

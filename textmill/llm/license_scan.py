@@ -108,31 +108,24 @@ class Scanner:
                 self.count[k, self.vocabulary[w]] += 1
 
     def _stretches(self, t: int, places: list[int], kinds: list[int]) -> Iterator[int]:
-        """Word places where a window begins that holds enough of the template's words: of
-        overlapping ones the fullest, the first of equals."""
+        """Word places where a window begins that holds enough of the template's words."""
         width = int(np.ceil(STRETCH * len(self.words[t])))
         have = self.count[t]
         held: Counter[int] = Counter()
         fill, end = 0, 0
-        best: tuple[int, int] | None = None
         for begin, kind in enumerate(kinds):
             while end < len(places) and places[end] < places[begin] + width:
                 held[kinds[end]] += 1
                 fill += held[kinds[end]] <= have[kinds[end]]
                 end += 1
-            if best and places[begin] >= best[1] + width:
-                yield best[1]
-                best = None
-            if fill >= self.need[t] and (best is None or fill > best[0]):
-                best = fill, places[begin]
+            if fill >= self.need[t]:
+                yield places[begin]
             fill -= held[kind] <= have[kind]
             held[kind] -= 1
-        if best:
-            yield best[1]
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(name, coverage, matched words, first and last code point of the stretch) of each
-        template that reaches the threshold, at the best of its places."""
+        place where a template reaches the threshold: of overlapping ones the best."""
         words = words_of(text)
         known = [(k, v) for k, w in enumerate(words) if (v := self.vocabulary.get(w)) is not None]
         if not known:
@@ -142,25 +135,30 @@ class Scanner:
         found, spans = [], None
         for t in np.flatnonzero(bound >= self.need).tolist():
             own = [(k, v) for k, v in known if self.count[t, v]]
-            best = None
+            places = []
             for begin in self._stretches(t, [k for k, _ in own], [v for _, v in own]):
                 stretch = words[begin : begin + int(np.ceil(STRETCH * len(self.words[t])))]
                 matched = patience(stretch, self.words[t])
-                if len(matched) >= self.need[t] and (best is None or len(matched) > best[0]):
-                    best = len(matched), begin + matched[0][0], begin + matched[-1][0]
-            if best:
+                if len(matched) >= self.need[t]:
+                    places.append((-len(matched), begin + matched[0][0], begin + matched[-1][0]))
+            taken: list[tuple[int, int, int]] = []  # by place, apart from each other
+            for place in sorted(set(places)):
+                at = bisect_left(taken, place[1], key=lambda x: x[0])
+                if (at == 0 or taken[at - 1][1] < place[1]) and (at == len(taken) or taken[at][0] > place[2]):
+                    taken.insert(at, (place[1], place[2], -place[0]))
+            for first, last, n in taken:
                 spans = spans or [m.span() for m in _WORD.finditer(text.lower())]
-                found.append((self.names[t], best[0] / len(self.words[t]), best[0], spans[best[1]][0], spans[best[2]][1]))
+                found.append((self.names[t], n / len(self.words[t]), n, spans[first][0], spans[last][1]))
         return found
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """(doc_id, license, coverage, n_matched, start, end) for each template that the whole text
-    covers to at least ``min_coverage``; a row with nulls for a text that covers none.
+    """(doc_id, license, coverage, n_matched, start, end) for each place where the text covers a
+    template to at least ``min_coverage``; a row with nulls for a text that covers none.
 
     ``start`` and ``end`` are code points of the lower-cased text, end exclusive. Defined
     cases: a null or empty text covers nothing; a template that occurs repeatedly is
-    reported once, at its best place, the first of equals; ids may be null or repeat, each
+    reported at each of its places, of overlapping ones at the best, the first of equals; ids may be null or repeat, each
     row is scanned by itself; an empty table gives an empty result; other columns aren't
     read.
     """
