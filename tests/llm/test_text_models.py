@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,19 +206,13 @@ def test_rare_words_keep_their_counts(spark):
 
 def test_words_are_scored_with_sixteen_before_them():
     assert (M.WINDOW, M.CONTEXT) == (64, 16)
-    model = toy_model()
-    r = np.random.default_rng(4)
-    ids, size = np.arange(31), np.ones(31, dtype=np.int64)
-    log = model.word_log(model.spelling(ids, size), np.zeros((31, M.EXPERTS), dtype=np.float32))
-    top = log.max(axis=1)
-    ratio = np.exp(log - top[:, None])
-    codes = r.integers(1, 31, 200)
-    qkv = tuple(np.concatenate([a, b[1:]]) for a, b in zip(model.start(), model.projections(ids, size, log), strict=True))
-    out = M.score_words(codes, np.array([200]), model, qkv, ratio, top)
+    model, words, r = toy_model(), toy_words(), np.random.default_rng(4)
+    codes = r.integers(0, 30, 200)
+    out = M.score_words(codes, np.array([200]), model, words)
     for place in (40, 64, 111, 112, 199):
         changed = codes.copy()
-        changed[place - 16] = codes[place - 16] % 30 + 1
-        assert M.score_words(changed, np.array([200]), model, qkv, ratio, top)[place] != out[place]
+        changed[place - 16] = (codes[place - 16] + 1) % 30
+        assert M.score_words(changed, np.array([200]), model, words)[place] != out[place]
 
 
 def test_language_model_empty(spark):
@@ -231,47 +226,105 @@ def toy_model(seed=0):
     counts = np.zeros((n, n, M.EXPERTS), dtype=np.float32)
     counts[:40, :40] = r.integers(0, 30, (40, 40, M.EXPERTS))
     counts[M.EDGE, :40] = counts[:40, M.EDGE] = r.integers(1, 30, (40, M.EXPERTS))
-    return M.Model(M.pair_table(counts), np.full(M.EXPERTS, 0.5), np.full(M.EXPERTS, -np.log(M.EXPERTS)), 0.01, M.initial_weights(seed))
+    table, kind = M.pair_table(counts), M.classes_of(counts)
+    weights = M.initial_weights(np.full(M.EXPERTS, -np.log(M.EXPERTS)), seed)
+    weights["classes"] = r.normal(0, 0.3, weights["classes"].shape).astype(np.float32)
+    return M.Model(table, kind, M.class_table(table, kind), np.full(M.EXPERTS, 0.5), 0.01, weights)
+
+
+def toy_spelling():
+    r = np.random.default_rng(1)
+    size = r.integers(1, 4, 30)
+    return r.integers(0, 40, size.sum()), size
+
 
+def toy_words(for_gradient=False):
+    return toy_model().words(*toy_spelling(), np.zeros((30, M.EXPERTS), dtype=np.float32), for_gradient)
 
-def test_pair_table_sums_to_one():
-    assert np.allclose(np.exp(toy_model().table).sum(axis=1), 1, atol=1e-3)
+
+def test_tables_sum_to_one():
+    model = toy_model()
+    assert np.allclose(np.exp(model.table).sum(axis=1), 1, atol=1e-3)
+    assert np.allclose(model.by_class.sum(axis=2), 1, atol=1e-3)
+    assert np.bincount(model.kind).tolist() == [M.VOCABULARY // M.CLASSES] * M.CLASSES + [1]
+
+
+def test_attention_predicts_subwords():
+    """The attention's part by plain means: a softmax over all subwords at each place of a word,
+    which is the component's table times exp(shift of the subword's class), made to sum to 1."""
+    model, words, r = toy_model(), toy_words(), np.random.default_rng(3)
+    ids, size = toy_spelling()
+    own, state = r.integers(0, 30, 50), r.normal(0, 1, (50, M.WIDTH)).astype(np.float32)
+    logits = M.mixture_logits(model, state)
+    got, _ = M.spell_by_attention(model, words, own, state, logits)
+    begin = np.cumsum(size) - size
+    for k, w in enumerate(own):
+        shift = (state[k] @ model.weights["classes"])[model.kind]
+        table = model.table[:, :, logits[: M.EXPERTS, k].argmax()]
+        want, before = 0.0, M.EDGE
+        for subword in [*ids[begin[w] : begin[w] + size[w]], M.EDGE]:
+            likely = np.exp(table[before].astype(float) + shift)
+            want += np.log(likely[subword] / likely.sum())
+            before = subword
+        assert got[k] == pytest.approx(want, rel=1e-3)
+    # The mixture of all parts, and that it is finite where all parts are next to nothing.
+    log, prior, posterior = M.mixture(words, own, logits, got)
+    shares = np.exp(logits.astype(float)) / np.exp(logits.astype(float)).sum(axis=0)
+    parts = np.concatenate([np.exp(words.log[own].T.astype(float)), np.exp(got[None].astype(float))])
+    assert np.allclose(log, np.log((shares * parts).sum(axis=0)), rtol=1e-3)
+    assert np.allclose(prior.sum(axis=0), 1, atol=1e-5)
+    assert np.allclose(posterior.sum(axis=0), 1, atol=1e-5)
+    words.log[:] = -5000
+    assert np.isfinite(M.mixture(words, own, logits, np.full(50, -9000.0))[0]).all()
 
 
 def test_windows_score_each_word_once_and_causally():
     """The windowed batch equals one window where it fits, and no word sees a later one."""
-    model, r = toy_model(), np.random.default_rng(1)
-    size = r.integers(1, 4, 30)
-    ids = r.integers(0, 40, size.sum())
-    log = model.word_log(model.spelling(ids, size), np.zeros((30, M.EXPERTS), dtype=np.float32))
-    qkv = tuple(np.concatenate([a, b]) for a, b in zip(model.start(), model.projections(ids, size, log), strict=True))
-    top = np.r_[0, log.max(axis=1)]
-    ratio = np.concatenate([np.ones((1, M.EXPERTS)), np.exp(log - log.max(axis=1)[:, None])]).astype(np.float32)
+    model, words, r = toy_model(), toy_words(), np.random.default_rng(1)
     n = np.array([0, 5, M.WINDOW, M.WINDOW + 1, 300])
-    codes = r.integers(1, 31, n.sum())
-    out = M.score_words(codes, n, model, qkv, ratio, top)
+    codes = r.integers(0, 30, n.sum())
+    out = M.score_words(codes, n, model, words)
     assert np.isfinite(out).all()
-    alone = M.score_words(codes[:5], np.array([5]), model, qkv, ratio, top)
+    assert (out < 0).all()
+    alone = M.score_words(codes[:5], np.array([5]), model, words)
     assert np.allclose(out[:5], alone, atol=1e-5)
     changed = codes.copy()
-    changed[5 + M.WINDOW - 1] = codes[5 + M.WINDOW - 1] % 30 + 1
-    again = M.score_words(changed, n, model, qkv, ratio, top)
+    changed[5 + M.WINDOW - 1] = (codes[5 + M.WINDOW - 1] + 1) % 30
+    again = M.score_words(changed, n, model, words)
     same = np.arange(5, 5 + M.WINDOW - 1)
     assert np.allclose(out[same], again[same], atol=1e-6)
 
 
 def test_gradients():
-    """One training step lowers the loss along the numeric gradient of each kind of weight."""
+    """The gradient of each weight against differences, and training that raises the probability."""
     model, r = toy_model(), np.random.default_rng(2)
-    size = r.integers(1, 4, 30)
-    ids = r.integers(0, 40, size.sum())
-    log = model.word_log(model.spelling(ids, size), np.zeros((30, M.EXPERTS), dtype=np.float32))
-    codes = r.integers(0, 30, (50, M.WINDOW))
+    ids, size = toy_spelling()
+    share = r.random((30, M.EXPERTS)).astype(np.float32) / 60
+    codes = r.integers(0, 30, (6, M.WINDOW))
     codes[:, 40:] = -1
-    trace = M.train_attention(model, codes, ids, size, log, steps=60)
+    _, grad = M.gradient(model, codes, ids, size, share)
+    for name, weight in model.weights.items():
+        where = np.unravel_index(np.argmax(np.abs(grad[name])), weight.shape)
+        slopes, old = [], weight[where]
+        for step in (0.03, -0.03):
+            weight[where] = old + step
+            slopes.append(M.gradient(model, codes, ids, size, share)[0])
+        weight[where] = old
+        assert grad[name][where] == pytest.approx((slopes[0] - slopes[1]) / 0.06, rel=0.1, abs=5e-5), name
+    trace = M.train_attention(model, codes, ids, size, share, steps=60)
     assert np.mean(trace[-10:]) > np.mean(trace[:10])
 
 
+def test_blocks_keep_what_they_pack():
+    r = np.random.default_rng(6)
+    for n, high in ((0, 1), (5, 1), (300, 200), (300, 70_000), (10, 20_000_000)):
+        codes = r.integers(0, high, n)
+        assert (M.unpack_places(M.pack_places(codes), n) == codes).all()
+    codes, n, words = M.split_words(pa.array([None, "", " a B  a\x0b", "É b\u00a0c\n", "x"]))
+    assert [words[k] for k in codes] == [b"a", b"b", b"a", "É".encode(), "b\u00a0c".encode(), b"x"]
+    assert n.tolist() == [0, 0, 3, 2, 1]
+
+
 # ------------------------------------------------------------------ HTML
 
 
@@ -443,6 +496,10 @@ def test_unused_columns_may_clash(spark):
 
 def test_words_are_spelt_alike_together_and_alone():
     speller = M.Speller(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    for words in ([b"plain", b"it's", b"don't123", "日本語。".encode(), b"x" * 3000], ["a\u00a0b".encode(), "\u3000".encode(), b"\x1cq"], [b"\xff\xfe", b"<|endoftext|>", b"\xc2"], []):
+    for words in ([b"plain", b"it's", b"don't123", "日本語。".encode(), b"x" * 3000], ["a\u00a0b".encode(), "\u3000".encode(), b"\x1cq"], [b"\xff\xfe", b"<|endoftext|>", b"\xc2", b"ok"], []):
         ids, size = speller.spell(words)
-        assert [part.tolist() for part in np.split(ids, np.cumsum(size)[:-1])][: len(words)] == [speller.encode(w.decode("utf-8", "replace")) for w in words]
+        alone = [speller.spell([w])[0].tolist() for w in words]
+        assert [part.tolist() for part in np.split(ids, np.cumsum(size)[:-1])][: len(words)] == alone
+        raw = M.pack(ids, size)
+        assert len(set(M.keys_of(raw, size))) == len(words)
+        assert [x.tolist() for x in M.unpack(raw)] == [ids.tolist(), size.tolist()]
