@@ -298,6 +298,8 @@ def test_windows_score_each_word_once_and_causally():
 def test_gradients():
     """The gradient of each weight against differences, and training that raises the probability."""
     model, r = toy_model(), np.random.default_rng(2)
+    # Alike in all components: else a step may change the component that the attention counts by.
+    model.table[:], model.by_class[:] = model.table[..., :1], model.by_class[:1]
     ids, size = toy_spelling()
     share = r.random((30, M.EXPERTS)).astype(np.float32) / 60
     codes = r.integers(0, 30, (6, M.WINDOW))
@@ -306,11 +308,11 @@ def test_gradients():
     for name, weight in model.weights.items():
         where = np.unravel_index(np.argmax(np.abs(grad[name])), weight.shape)
         slopes, old = [], weight[where]
-        for step in (0.03, -0.03):
+        for step in (0.05, -0.05):
             weight[where] = old + step
             slopes.append(M.gradient(model, codes, ids, size, share)[0])
         weight[where] = old
-        assert grad[name][where] == pytest.approx((slopes[0] - slopes[1]) / 0.06, rel=0.1, abs=5e-5), name
+        assert grad[name][where] == pytest.approx((slopes[0] - slopes[1]) / 0.1, rel=0.1, abs=3e-5), name
     trace = M.train_attention(model, codes, ids, size, share, steps=60)
     assert np.mean(trace[-10:]) > np.mean(trace[:10])
 
