@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.functions.providers import BatchCompleter, ExtractiveCompleter, describe_models, resolve_model
+from textmill.functions.providers import BatchCompleter, BatchFetcher, BatchRunner, ExtractiveCompleter, describe_models, is_reachable, resolve_model
+from textmill.functions.settings import number_setting
 from textmill.operators import compress as C
 from textmill.operators import evaluate, events
-from textmill.streaming.streams import route_events, sync_snapshots
+from textmill.streaming.streams import route_events
 
 LONG = "w" * 81
 
@@ -126,11 +127,112 @@ def test_streams(spark, tmp_path):
     q = route_events(raw).writeStream.format("memory").queryName("routes").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp1")).start()
     q.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("routes").collect()) == [("Bash", "allow", "deny", False), ("WebFetch", "deny", "allow", True)]
-    seen = []
-    sync_snapshots(raw, lambda batch: seen.append(batch.count()), str(tmp_path / "cp2")).awaitTermination()
-    assert sum(seen) == 3
 
 
 def test_limits_need_a_character():
     with pytest.raises(ValueError, match="at least one"):
         C.Limits(chunk_chars=0)
+
+
+def test_each_question_is_asked_once(spark, tmp_path):
+    """N + R + 1 requests for a document of N chunks, R of them relevant; none for what is limited or short."""
+    calls = str(tmp_path / "calls")
+
+    def answers(prompt):
+        with open(calls, "a") as f:
+            f.write(prompt[0])
+        text = prompt.rpartition("\n\n")[2]
+        return ("YES" if "r" in text else "NO") if prompt.startswith("Answer") else text[:1]
+
+    limits = C.Limits(skip_if_under_chars=8, chunk_chars=4)
+    got = [r for r, _ in run(spark, ["rrrrnnnnrrrrnnnn", "nnnnrrrr", "short"], completer=service(answers), limits=limits)]
+    assert [(r["status"], r["n_chunks"], r["n_skipped"]) for r in got] == [("compressed", 4, 2), ("compressed", 2, 1), ("unchanged", 0, 0)]
+    with open(calls) as f:
+        asked = f.read()
+    assert (asked.count("A"), asked.count("W"), asked.count("M")) == (4 + 2, 2 + 1, 1)
+    run(spark, ["rrrrnnnnrrrr"], max_chars=8, completer=service(answers), limits=limits)
+    with open(calls) as f:
+        assert f.read()[len(asked) :].count("A") == 0
+
+
+def test_no_document_is_lost_by_a_model_of_moods(spark):
+    import random
+
+    def answers(prompt):
+        return random.choice(["YES", "NO", "maybe", None, "[NOT RELEVANT]", "text"])
+
+    texts = ["x" * (10 + k % 30) for k in range(200)]
+    assert len(run(spark, texts, completer=service(answers), limits=C.Limits(skip_if_under_chars=1, chunk_chars=4))) == 200
+
+
+def test_position_notes(spark):
+    rows = spark.createDataFrame([(2, 3, False), (1, 1, True), (1, 1, False)], "at int, n int, cut boolean")
+    notes = [r[0] for r in rows.select(C.position_note(F.col("at"), F.col("n"), F.col("cut"))).collect()]
+    assert notes[0].startswith("This is part 2 of 3")
+    assert "left out on purpose" in notes[1]
+    assert notes[2] == "This is the whole text."
+
+
+def test_equal_leaves_at_several_depths():
+    large = "x" * 200
+    for value, want in (
+        ({"a": {"x": large}, "b": large}, {"a": {"x": "R"}, "b": ""}), ([[large], large], [["R"], ""]), ({"b": large, "a": [large, {"c": large + "y"}]}, {"b": "", "a": ["", {"c": "R"}]}),
+    ):
+        assert json.loads(events.rewrite(json.dumps(value), "R", 200)) == want
+
+
+def test_bash_write_back(spark):
+    rows = [('{"stdout":"a","n":1,"deep":{"k":[1,null,"\\u00e9"]},"stderr":"e"}', "R"), ("{}", "R"), ("[1]", "R"), ("broken", "R"), (None, "R"), ('{"a":1}', None)]
+    df = spark.createDataFrame(rows, "j string, r string")
+    got = [r[0] for r in df.select(events.bash_write_back(F.col("j"), F.col("r"))).collect()]
+    assert json.loads(got[0]) == {"stdout": "R", "n": 1, "deep": {"k": [1, None, "é"]}, "stderr": ""}
+    assert json.loads(got[1]) == {"stdout": "R", "stderr": ""}
+    assert got[2:] == ["[1]", "broken", None, '{"a":1}']
+
+
+def test_fetchers_and_runners(spark):
+    def get(url):
+        if "bad" in url:
+            raise OSError("refused")
+        return f"<b>{url}</b>" if "empty" not in url else "<b></b>"
+
+    urls = spark.createDataFrame([("u",), ("u",), ("bad",), ("empty",), (None,)], "a string")
+    assert dict(map(tuple, C.compress_pages(urls, "a", BatchFetcher(lambda: get)).collect())) == {
+        "u": "[fetched u, 8 raw bytes]\nu", "bad": "Error: bad wasn't fetched: refused", "empty": "Error: there is no text in empty.",
+    }
+
+    def call(command):
+        if command == "slow":
+            raise TimeoutError("timed out")
+        return 1, command, "e"
+
+    commands = spark.createDataFrame([("ls",), ("slow",), (None,)], "a string")
+    assert dict(map(tuple, C.compress_commands(commands, "a", BatchRunner(lambda: call)).collect())) == {
+        "ls": "[exit code 1]\nls\n--- stderr ---\ne", "slow": "Error: the command wasn't run: timed out",
+    }
+
+
+def test_reachability(spark):
+    def broken():
+        raise OSError
+
+    assert [is_reachable(x) for x in (True, False, lambda: True, lambda: False, broken)] == [True, False, True, False, False]
+    df = spark.createDataFrame([("WebFetch",)], "t string")
+    assert [df.select(events.web_route(F.col("t"), F.lit("u"), F.lit("p"), probe)).first()[0] for probe in (lambda: True, broken)] == ["deny", "allow"]
+
+
+def test_number_settings(monkeypatch):
+    monkeypatch.delenv("SOME_NUMBER", raising=False)
+    assert number_setting("SOME_NUMBER", 7) == 7
+    for raw, want in (("", 7), (" 12 ", 12), ("-1", -1)):
+        monkeypatch.setenv("SOME_NUMBER", raw)
+        assert number_setting("SOME_NUMBER", 7) == want
+    monkeypatch.setenv("SOME_NUMBER", "many")
+    with pytest.raises(ValueError, match="SOME_NUMBER"):
+        number_setting("SOME_NUMBER", 7)
+
+
+def test_error_above_the_ceiling(spark):
+    got = run(spark, ["x" * 2_000_001])[0]
+    assert got[0]["status"] == "error"
+    assert got[1] == "Error: the text has 2000001 characters and the limit is 2000000; nothing was left out, narrow the source."

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from textmill.functions.paths import compile_ignore, extensions_of, is_ignored, normalise_extensions
 from textmill.functions.providers import HashingEmbedder
-from textmill.operators.index import Collection, index_repo, preview_index, store_note, sync_repo, top_k
-from textmill.sources.corpus import build_entries, read_corpus
+from textmill.operators.index import Collection, index_files, index_repo, preview_index, store_note, sync_files, sync_repo, top_k, upsert_files
+from textmill.operators.manifest import parse_manifest, render_manifest
+from textmill.streaming.streams import sync_stream
+from textmill.sources.corpus import build_entries, decode_ignoring, read_corpus
 
 
 def tree(root, files):
@@ -38,12 +40,27 @@ def test_below_an_excluded_name(spark, tmp_path):
     assert read_corpus(spark, root, strict_absolute="true").count() == 0
 
 
-def test_not_a_folder(spark, tmp_path):
-    with pytest.raises(NotADirectoryError):
+def test_missing_and_empty_root(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
         read_corpus(spark, str(tmp_path / "none"))
     assert read_corpus(spark, str(tmp_path)).count() == 0
 
 
+def test_single_file(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"x\xff\r\ny")
+    got = read_corpus(spark, str(tmp_path / "a.log")).withColumn("text", decode_ignoring("content")).collect()
+    assert [(r["rel_path"], r["suffix"], r["text"], r["error"]) for r in got] == [("a.log", ".log", "x\ny", None)]
+
+
+def test_folders_are_shared_out(spark, tmp_path):
+    files = {f"{a}/{b}/{c}.py": f"{a}{b}{c}" for a in "abc" for b in "xy" for c in "12"} | {"top.py": "t", "a/build/no.py": "no"}
+    root = tree(tmp_path, files)
+    for options in ({}, {"partitions": "2"}, {"partitions": "5", "files_per_partition": "1"}):
+        df = read_corpus(spark, root, **options)
+        assert sorted(r["rel_path"] for r in df.collect()) == sorted(k for k in files if "build" not in k)
+    assert read_corpus(spark, root, partitions="5").rdd.getNumPartitions() == 7
+
+
 def test_entries(spark, tmp_path):
     rows = build_entries(spark, tree(tmp_path, FILES), size=1, overlap=0).orderBy("metadata.file_path", "chunk_no").collect()
     assert [(r["metadata"]["file_path"], r["metadata"]["line_range"], r["metadata"]["type"], r["content"]) for r in rows] == [
@@ -120,3 +137,89 @@ def test_search_finds_the_words(spark):
     got = top_k(vectors, query, k=2).orderBy("rank").collect()
     assert [r["id"] for r in got] == [2, 3]
     assert got[0]["score"] == pytest.approx(1, abs=1e-6)
+
+
+def files(spark, rows, schema="rel_path string, content string"):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_segments_are_compacted_and_cleaned(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "c")
+    now = {f"{k}.py": f"line {k}\n" for k in range(4)}
+    for turn in range(10):
+        now[f"{turn % 5}.py"] = f"turn {turn}\n"
+        now.pop(f"{(turn + 2) % 5}.py", None)
+        sync_files(c, files(spark, list(now.items())))
+        if turn == 4:
+            store_note(c, "note", {"file_path": "1.py"})
+        fresh = Collection(spark, str(tmp_path), "d")
+        index_files(fresh, files(spark, list(now.items())), reset=True)
+        assert contents(c) == sorted([*contents(fresh), *([("1.py", "note")] if turn > 3 else [])])
+        assert sorted(map(tuple, c.manifest().collect())) == sorted(map(tuple, fresh.manifest().collect()))
+    state = c._state()
+    assert len(state["segments"]) < 8
+    on_disk = {x for x in os.listdir(tmp_path / "c") if x.startswith("segment-")}
+    assert {s["name"] for s in state["segments"]} <= on_disk
+    assert len(on_disk) <= len(state["segments"]) + 8
+    assert len([x for x in os.listdir(tmp_path / "c" / "log") if x.endswith(".json")]) == 2
+    assert [x for x in os.listdir(tmp_path / "d") if x.startswith("segment-")] != []
+
+
+def test_writers_at_once_keep_both(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "c")
+    index_files(c, files(spark, [("a.py", "a")]))
+    segment = c._segment(c.entries(), None, None)
+    store_note(c, "meanwhile", {})  # another writer commits between the segment and its commit
+    c._commit(lambda state: state | {"segments": [*state["segments"], segment]})
+    assert contents(c) == [("", "meanwhile"), ("a.py", "a"), ("a.py", "a")]
+
+
+def test_claim_of_a_lost_writer_runs_out(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "c")
+    index_files(c, files(spark, [("a.py", "a")]))
+    claim = tmp_path / "c" / "log" / "0000000001.claim"
+    claim.write_text("")
+    os.utime(claim, (0, 0))
+    store_note(c, "n", {})
+    assert c.info().first()["points"] == 2
+
+
+def test_upsert_and_stream(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "index"), "c")
+    assert upsert_files(c, files(spark, [("a.py", "1"), ("b.py", "2")])) == 2
+    assert upsert_files(c, files(spark, [("a.py", "1"), ("b.py", None), ("x.py", None)])) == 1
+    assert contents(c) == [("a.py", "1")]
+    assert upsert_files(c, files(spark, [("a.py", "old", 1), ("a.py", "new", 2)], "rel_path string, content string, seq int"), stream=("s", 0)) == 1
+    assert upsert_files(c, files(spark, [("a.py", "again")]), stream=("s", 0)) == 0
+    assert contents(c) == [("a.py", "new")]
+    source = tmp_path / "in"
+    for k, rows in enumerate(([("a.py", "s1"), ("c.py", "s2")], [("a.py", None)], [("c.py", "s2"), ("d.py", "s3")])):
+        files(spark, rows).coalesce(1).write.mode("append").json(str(source))
+        stream = spark.readStream.schema("rel_path string, content string").json(str(source))
+        sync_stream(stream, c, str(tmp_path / "cp")).awaitTermination()
+        assert contents(c) == [[("a.py", "s1"), ("c.py", "s2")], [("c.py", "s2")], [("c.py", "s2"), ("d.py", "s3")]][k]
+
+
+def test_manifest_of_what_was_cut(spark, tmp_path):
+    """A file that changes between hashing and cutting is cut again by the next sync."""
+    root = tree(tmp_path / "src", {"a.py": "one\n"})
+    c = Collection(spark, str(tmp_path / "index"), "c")
+    sync_repo(c, root)
+    for text in ("two\n", "three\n"):
+        tree(tmp_path / "src", {"a.py": text})
+        sync_repo(c, root)
+        assert contents(c) == [("a.py", text.strip())]
+    pairs = [("a", "1"), ("b", None), ('q"', "2")]
+    made = render_manifest(spark.createDataFrame(pairs, "rel_path string, sha256 string"))
+    assert [r["rel_path"] for r in made.collect()] == ["a", "b", 'q"']
+    assert sorted(map(tuple, parse_manifest(made).collect()), key=str) == sorted(pairs, key=str)
+
+
+def test_top_k_edge_cases(spark):
+    vectors = spark.createDataFrame([(5, [0.0, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (2, [0.0, 1.0]), (1, None), (9, [-1.0, 0.0])], "id int, vec array<double>")
+    queries = spark.createDataFrame([("q", [3.0, 0.0]), ("zero", [0.0, 0.0]), ("none", None)], "query_id string, query_vec array<double>")
+    got = [tuple(r) for r in top_k(vectors, queries, k=4).orderBy("query_id", "rank").collect()]
+    assert got == [("q", 3, 1.0, 1), ("q", 4, 1.0, 2), ("q", 2, 0.0, 3), ("q", 5, 0.0, 4), *(("zero", i, 0.0, k + 1) for k, i in enumerate((2, 3, 4, 5)))]
+    assert [r["id"] for r in top_k(vectors, queries, k=1, metric="dot").orderBy("query_id").collect()] == [4, 2]
+    assert top_k(vectors.limit(0), queries).count() == 0
+    assert top_k(vectors, queries.limit(0)).count() == 0

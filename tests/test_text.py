@@ -100,3 +100,14 @@ def test_windows_cover_all_lines(spark):
     texts = ["\n".join(f"line{k}" for k in range(r.randrange(1, 60))) for _ in range(20)]
     for t, ws in zip(texts, rows(spark, texts, T.line_windows(T.split_lines("t"), 7, 2)), strict=True):
         assert {k for w in ws for k in range(w["start_line"], w["end_line"] + 1)} == set(range(1, len(t.split("\n")) + 1))
+
+
+def test_strip_takes_time_in_proportion(spark):
+    import time
+
+    blanks = F.repeat(F.lit(" \u2003\n\x85"), 250_000)
+    df = spark.range(1).select(F.concat(blanks, F.lit("a"), blanks, F.lit("b"), blanks).alias("t"))
+    df.select(F.char_length(T.strip("t"))).collect()
+    began = time.time()
+    assert df.select(F.char_length(T.strip("t"))).first()[0] == 1_000_002
+    assert time.time() - began < 3

@@ -22,6 +22,12 @@ def normalise_extensions(extensions: list[str] | tuple[str, ...]) -> list[str]:
     return list(dict.fromkeys(e if e.startswith(".") else f".{e}" for e in (x.lower() for x in extensions)))
 
 
+def normalised(extensions: Column) -> Column:
+    """The same rule for a column of lists."""
+    low = F.transform(extensions, lambda x: F.lower(x))
+    return F.array_distinct(F.transform(low, lambda x: F.when(F.startswith(x, F.lit(".")), x).otherwise(F.concat(F.lit("."), x))))
+
+
 def extensions_of(scope: str = "both", include: list[str] | None = None) -> list[str]:
     """The include list if there is one, else the scope's extensions."""
     if include:

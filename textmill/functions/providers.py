@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ MARKER = "NOT RELEVANT"
 
 
 class Completer(Protocol):
-    """Three questions about text; a null answer means that the request failed."""
+    """Three questions about text. Nothing is asked about a null text, and its answer is null; for
+    any other a null answer means that the request failed."""
 
     def classify(self, focus: Column, chunk: Column, note: Column) -> Column: ...
 
@@ -39,7 +41,8 @@ class ExtractiveCompleter:
     chars: int = 80
 
     def classify(self, focus: Column, chunk: Column, note: Column) -> Column:
-        return F.lit("YES") if self.term is None else F.when(F.contains(chunk, F.lit(self.term)), "YES").otherwise("NO")
+        found = F.lit(True) if self.term is None else F.contains(chunk, F.lit(self.term))
+        return F.when(chunk.isNotNull(), F.when(found, "YES").otherwise("NO"))
 
     def extract(self, focus: Column, chunk: Column) -> Column:
         return strip(F.substring(chunk, 1, self.chars))
@@ -64,7 +67,9 @@ class BatchCompleter:
         def ask(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             complete = make()
             for focuses, texts, notes in batches:
-                yield pd.Series(complete([prompt.format(focus=f, text=t, note=n) for f, t, n in zip(focuses, texts, notes, strict=True)]), dtype=object)
+                asked = [None if t is None else prompt.format(focus=f, text=t, note=n) for f, t, n in zip(focuses, texts, notes, strict=True)]
+                answers = iter(complete(own) if (own := [p for p in asked if p is not None]) else [])
+                yield pd.Series([None if p is None else next(answers) for p in asked], dtype=object)
 
         # A model may answer differently each time: Catalyst must not evaluate it twice.
         return ask.asNondeterministic()(focus, text, note)
@@ -79,6 +84,111 @@ class BatchCompleter:
         return self._ask(self.combine_prompt, focus, parts, F.lit(""))
 
 
+class PageFetcher(Protocol):
+    """Pages by address: a struct (html string, error string) with one of them null."""
+
+    def fetch(self, url: Column) -> Column: ...
+
+
+class CommandRunner(Protocol):
+    """Runs of commands: a struct (exit_code int, stdout string, stderr string, error string); the
+    first three are null where there is an error."""
+
+    def run(self, command: Column) -> Column: ...
+
+
+class Reachability(Protocol):
+    """Whether the service that condenses can be reached just now."""
+
+    def __call__(self) -> bool: ...
+
+
+def is_reachable(probe: bool | Reachability) -> bool:
+    """The probe's answer; one that fails counts as no."""
+    if not callable(probe):
+        return bool(probe)
+    try:
+        return bool(probe())
+    except Exception:
+        return False
+
+
+def _looked_up(key: Column, stored: dict[str, tuple], fields: str, missing: Callable[[Column], Column]) -> Column:
+    names = [f.split()[0] for f in fields.split(", ")]
+    rows = [x for k, v in stored.items() for x in (F.lit(k), F.struct(*[F.lit(c).alias(n) for c, n in zip(v, names, strict=True)]).cast(f"struct<{fields.replace(' ', ':')}>"))]
+    found = F.try_element_at(F.create_map(*rows), key) if rows else F.lit(None).cast(f"struct<{fields.replace(' ', ':')}>")
+    return F.when(found.isNotNull(), found).otherwise(F.struct(*[(missing(key) if n == "error" else F.lit(None).cast(f.split()[1])).alias(n) for n, f in zip(names, fields.split(", "), strict=True)]))
+
+
+@dataclass(frozen=True)
+class StoredPages:
+    """Pages that are at hand, by address. The default: no request leaves the cluster."""
+
+    pages: dict[str, str]
+
+    def fetch(self, url: Column) -> Column:
+        return _looked_up(url, {k: (v, None) for k, v in self.pages.items()}, "html string, error string", lambda c: F.concat(F.lit("no page is stored for "), c))
+
+
+@dataclass(frozen=True)
+class RecordedRuns:
+    """Runs that were recorded, by command: (exit code, stdout, stderr). The default: nothing is run."""
+
+    runs: dict[str, tuple[int, str, str]]
+
+    def run(self, command: Column) -> Column:
+        return _looked_up(command, {k: (*v, None) for k, v in self.runs.items()}, "exit_code int, stdout string, stderr string, error string", lambda c: F.concat(F.lit("no run is recorded of "), c))
+
+
+@dataclass(frozen=True)
+class BatchFetcher:
+    """A function from an address to its page, made once for each task; what it raises becomes the error."""
+
+    make: Callable[[], Callable[[str], str]]
+
+    def fetch(self, url: Column) -> Column:
+        make = self.make
+
+        @F.pandas_udf("html string, error string")
+        def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            get = make()
+            for urls in batches:
+                rows = []
+                for at in urls:
+                    try:
+                        rows.append((None, "no address") if at is None else (get(at), None))
+                    except Exception as wrong:
+                        rows.append((None, str(wrong)))
+                yield pd.DataFrame(rows, columns=["html", "error"], dtype=object)
+
+        return ask.asNondeterministic()(url)
+
+
+@dataclass(frozen=True)
+class BatchRunner:
+    """A function from a command to (exit code, stdout, stderr), made once for each task; what it
+    raises, a timeout say, becomes the error."""
+
+    make: Callable[[], Callable[[str], tuple[int, str, str]]]
+
+    def run(self, command: Column) -> Column:
+        make = self.make
+
+        @F.pandas_udf("exit_code int, stdout string, stderr string, error string")
+        def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            call = make()
+            for commands in batches:
+                rows = []
+                for own in commands:
+                    try:
+                        rows.append((None, None, None, "no command") if own is None else (*call(own), None))
+                    except Exception as wrong:
+                        rows.append((None, None, None, str(wrong)))
+                yield pd.DataFrame(rows, columns=["exit_code", "stdout", "stderr", "error"]).astype({"exit_code": "Int32"})
+
+        return ask.asNondeterministic()(command)
+
+
 class Embedder(Protocol):
     name: str
     dimensions: int
@@ -98,11 +208,18 @@ class HashingEmbedder:
 
     def embed(self, text: Column) -> Column:
         words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-        zero = F.array_repeat(F.lit(0.0), self.dimensions)
-        place = lambda w: F.pmod(F.xxhash64(w), F.lit(self.dimensions)).cast("int")
-        counts = F.aggregate(words, zero, lambda acc, w: F.transform(acc, lambda x, i: F.when(i == place(w), x + 1.0).otherwise(x)))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+        places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(self.dimensions)).cast("int"))
+        n = self.dimensions
+
+        @F.pandas_udf("array<float>")
+        def scaled(batch: pd.Series) -> pd.Series:
+            size = batch.map(len).to_numpy(dtype=np.int64)
+            flat = np.concatenate([np.empty(0, dtype=np.int64), *batch])
+            counts = np.bincount(np.repeat(np.arange(len(batch)), size) * n + flat, minlength=len(batch) * n).reshape(-1, n)
+            norm = np.linalg.norm(counts, axis=1, keepdims=True)
+            return pd.Series(list((counts / np.maximum(norm, 1)).astype(np.float32)), dtype=object)
+
+        return scaled(F.coalesce(places, F.array().cast("array<int>")))
 
 
 def resolve_model(explicit: str | None, configured: str | None, loaded: list[str] | None) -> tuple[str | None, str | None]:

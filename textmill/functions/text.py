@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The 29 code points that Python counts as white space, and its line separators.
+SPACE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE_CLASS = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
@@ -29,8 +30,8 @@ def _col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    """The text without white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(_col(c), rf"^{SPACE_CLASS}+", ""), rf"{SPACE_CLASS}+\z", "")
+    """The text without white space at both ends; in time that grows with what is taken off."""
+    return F.btrim(_col(c), F.lit(SPACE))
 
 
 def split_lines(c: str | Column) -> Column:
@@ -98,21 +99,21 @@ def heading_boundary(c: str | Column, min_offset: int = MIN_BOUNDARY, max_offset
     It has 1 to 59 characters, no closing punctuation, an offset within the bounds, and its
     neighbours have over 80 characters each.
     """
-    lines = F.split(_col(c), "\n", -1)
-    n = F.size(lines)
-    long = lambda x: F.coalesce(F.char_length(strip(x)) > NEIGHBOUR_MIN, F.lit(False))
-
-    def step(acc: Column, i: Column) -> Column:
-        line = F.get(lines, i)
-        short = strip(line)
-        fits = (
-            acc["found"].isNull() & (acc["offset"] >= min_offset) & (acc["offset"] <= max_offset) & (F.char_length(short) > 0) & (F.char_length(short) < HEADING_MAX)
-            & ~short.rlike(r"[.!?:)\],]\z") & (i > 0) & long(F.get(lines, i - 1)) & long(F.get(lines, i + 1))
+    lines = F.transform(F.split(_col(c), "\n", -1), lambda x: F.struct(F.char_length(x).alias("n"), strip(x).alias("text")))
+
+    # One pass, line by line: a heading is known when the line after it has been seen.
+    def step(acc: Column, line: Column) -> Column:
+        size = F.char_length(line["text"])
+        long = size > NEIGHBOUR_MIN
+        fits = acc["after_long"] & (acc["offset"] >= min_offset) & (acc["offset"] <= max_offset) & (size > 0) & (size < HEADING_MAX) & ~line["text"].rlike(r"[.!?:)\],]\z")
+        return F.struct(
+            (acc["offset"] + line["n"] + 1).alias("offset"), long.alias("after_long"), F.when(fits, acc["offset"]).alias("heading"),
+            F.coalesce(acc["found"], F.when(long, acc["heading"])).alias("found"),
         )
-        return F.struct((acc["offset"] + F.char_length(line) + 1).alias("offset"), F.when(fits, acc["offset"]).otherwise(acc["found"]).alias("found"))
 
-    start = F.struct(F.lit(0).alias("offset"), F.lit(None).cast("int").alias("found"))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["found"]
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("offset"), F.lit(False).alias("after_long"), none.alias("heading"), none.alias("found"))
+    return F.aggregate(lines, start, step)["found"]
 
 
 def looks_positional(focus: str | Column) -> Column:

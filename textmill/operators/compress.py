@@ -8,13 +8,15 @@ document. Only summaries are shuffled, never the texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.providers import MARKER, Completer, ExtractiveCompleter
-from textmill.functions.text import char_chunks, heading_boundary, looks_positional, strip, strip_tags
+from textmill.functions.providers import MARKER, CommandRunner, Completer, ExtractiveCompleter, PageFetcher
+from textmill.functions.storage import checkpoint
+from textmill.functions.text import char_chunks, combined_output, heading_boundary, looks_positional, strip, strip_tags
 
 CHUNK_CHARS = 12_000
 SKIP_UNDER = 2_000
@@ -70,6 +72,14 @@ def ratio(original: Column, compressed: Column) -> Column:
     return F.when(original == 0, F.lit(0)).otherwise(F.rint(F.lit(100) * (F.lit(1) - compressed / original)).cast("int"))
 
 
+def position_note(at: Column, n: Column, truncated: Column) -> Column:
+    """What the classifier is told of a chunk's place: a part of several, the beginning of a text
+    whose rest was left out, or all of it."""
+    part = F.concat(F.lit("This is part "), at, F.lit(" of "), n, F.lit(" of a larger text, in its order: part 1 is the beginning, the last part the end."))
+    beginning = "This is the beginning of a larger text. The rest was left out on purpose, the text doesn't end here."
+    return F.when(n > 1, part).when(truncated, beginning).otherwise("This is the whole text.")
+
+
 def python_repr(c: Column) -> Column:
     """A text in quotes as Python shows it: double quotes only if it has single ones alone."""
     safe = F.replace(c, F.lit("\\"), F.lit("\\\\"))
@@ -97,7 +107,6 @@ def compress(rows: DataFrame, key: str, text: str, *, focus: str | Column = GENE
     ).withColumn("_len", F.char_length("_text"))
     scoped = scoped.withColumn("_status", gate(F.col("_len"), limits))
 
-    none = F.lit(None)
     plain = scoped.where("_status <> 'compress'").select(
         key,
         F.struct(
@@ -111,14 +120,12 @@ def compress(rows: DataFrame, key: str, text: str, *, focus: str | Column = GENE
     chunked = scoped.where("_status = 'compress'").withColumn("_chunks", char_chunks("_text", limits.chunk_chars))
     chunks = chunked.select(key, "_focus", "_limited", "_auto", "_len", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_at", "_chunk"))
     chunks = chunks.withColumn("_at", F.col("_at") + 1)
-    note = F.when(F.col("_n") > 1, F.format_string("This is part %d of %d.", "_at", "_n")).otherwise("This is the whole text.")
-    # Texts with a limit skip the question; they go a way of their own, so that it isn't asked.
-    asked = chunks.where(~F.col("_limited")).withColumn("_yes", parse_answer(completer.classify(F.col("_focus"), F.col("_chunk"), note)))
-    unasked = chunks.where("_limited").withColumn("_yes", F.lit(True))
-    answered = asked.unionByName(unasked)
-    relevant = answered.where("_yes").withColumn("_summary", strip(completer.extract(F.col("_focus"), F.col("_chunk"))))
-    others = answered.where(~F.coalesce("_yes", F.lit(False))).withColumn("_summary", none.cast("string"))
-    both = relevant.unionByName(others)
+    # Each question is asked once: its answer is a column of one branch, and what needs no answer
+    # (texts with a limit, irrelevant chunks, single summaries) asks about a null text.
+    note = position_note(F.col("_at"), F.col("_n"), F.col("_auto"))
+    answer = parse_answer(completer.classify(F.col("_focus"), F.when(~F.col("_limited"), F.col("_chunk")), note))
+    answered = chunks.withColumn("_yes", F.when(F.col("_limited"), True).otherwise(answer))
+    both = answered.withColumn("_summary", strip(completer.extract(F.col("_focus"), F.when(F.col("_yes"), F.col("_chunk")))))
     at = lambda what: F.format_string(f"Error: the {what} request failed on chunk %d of %d.", "_at", "_n")
     outcome = both.select(
         key, "_focus", "_auto", "_len", "_n", "_at",
@@ -137,9 +144,10 @@ def compress(rows: DataFrame, key: str, text: str, *, focus: str | Column = GENE
         "_error",
         F.coalesce("_error", F.when(kept == 0, F.concat(F.lit("Error: none of the "), F.col("_n"), F.lit(" chunk(s) held anything on "), python_repr(F.col("_focus")), F.lit("."), caveat))),
     )
-    many = grouped.where("_error IS NULL AND size(_kept) > 1").withColumn("_body", strip(completer.combine(F.col("_focus"), parts)))
-    rest = grouped.where("_error IS NOT NULL OR size(_kept) <= 1").withColumn("_body", F.get("_kept", F.lit(0)))
-    done = many.unionByName(rest).withColumn("_error", F.coalesce("_error", F.when(F.col("_body").isNull(), F.lit("Error: the request that combines the parts failed."))))
+    many = F.col("_error").isNull() & (kept > 1)
+    combined = strip(completer.combine(F.col("_focus"), F.when(many, parts)))
+    done = grouped.withColumn("_combined", combined).withColumn("_body", F.when(many, F.col("_combined")).otherwise(F.get("_kept", F.lit(0))))
+    done = done.withColumn("_error", F.coalesce("_error", F.when(F.col("_body").isNull(), F.lit("Error: the request that combines the parts failed."))))
     ok = F.col("_error").isNull()
     size = F.char_length("_body")
     condensed = done.select(
@@ -170,15 +178,33 @@ def page_text(html: Column, extracted: Column | None = None) -> Column:
     return plain if extracted is None else F.coalesce(F.nullif(strip(extracted), F.lit("")), plain)
 
 
-def command_text(stdout: Column, stderr: Column) -> Column:
-    from textmill.functions.text import combined_output
-
-    return combined_output(stdout, stderr)
-
-
 def with_exit_code(exit_code: Column, text: Column) -> Column:
     return F.concat(F.lit("[exit code "), exit_code.cast("string"), F.lit("]\n"), text)
 
 
-def with_url(url: Column, html: Column, text: Column) -> Column:
-    return F.concat(F.lit("[fetched "), url, F.lit(", "), F.octet_length(html).cast("string"), F.lit(" raw bytes]\n"), text)
+def with_url(url: Column, raw_bytes: Column, text: Column) -> Column:
+    return F.concat(F.lit("[fetched "), url, F.lit(", "), raw_bytes.cast("string"), F.lit(" raw bytes]\n"), text)
+
+
+def compress_pages(rows: DataFrame, url: str, fetcher: PageFetcher, *, extract: Callable[[Column], Column] | None = None, focus: str = WEB_FOCUS, **options) -> DataFrame:
+    """(url, text) of each distinct address: the page's condensed text below a line that names it,
+    or an error. ``extract`` makes the main text of a page; each page is fetched once."""
+    found = rows.select(F.col(url).alias("url")).where(F.col("url").isNotNull()).distinct().withColumn("page", fetcher.fetch(F.col("url")))
+    html = F.col("page.html")
+    pages = checkpoint(found.select("url", F.col("page.error").alias("wrong"), F.octet_length(html).alias("raw_bytes"), page_text(html, extract(html) if extract else None).alias("text")))
+    condensed = compress(pages, "url", "text", focus=focus, **options)
+    failed = F.when(F.col("wrong").isNotNull(), F.concat(F.lit("Error: "), F.col("url"), F.lit(" wasn't fetched: "), F.col("wrong")))
+    failed = failed.when(F.col("text").isNull(), F.concat(F.lit("Error: there is no text in "), F.col("url"), F.lit(".")))
+    both = pages.select("url", "raw_bytes", failed.alias("failed")).join(condensed, "url")
+    return both.select("url", F.coalesce("failed", with_url(F.col("url"), F.col("raw_bytes"), render(F.col("result")))).alias("text"))
+
+
+def compress_commands(rows: DataFrame, command: str, runner: CommandRunner, **options) -> DataFrame:
+    """(command, text) of each distinct command: its condensed output below its exit code, or an
+    error; each is run once."""
+    found = rows.select(F.col(command).alias("command")).where(F.col("command").isNotNull()).distinct().withColumn("run", runner.run(F.col("command")))
+    runs = checkpoint(found.select("command", F.col("run.error").alias("wrong"), "run.exit_code", combined_output(F.col("run.stdout"), F.col("run.stderr")).alias("text")))
+    condensed = compress(runs, "command", "text", **options)
+    failed = F.when(F.col("wrong").isNotNull(), F.concat(F.lit("Error: the command wasn't run: "), F.col("wrong")))
+    both = runs.select("command", "exit_code", failed.alias("failed")).join(condensed, "command")
+    return both.select("command", F.coalesce("failed", with_exit_code(F.col("exit_code"), render(F.col("result")))).alias("text"))

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.providers import Reachability, is_reachable
+from textmill.functions.settings import number_setting
+from textmill.functions.text import combined_output
+
 # Fixed value: tools whose output may be condensed.
 TOOLS = ("Bash", "Grep", "WebFetch", "Glob", "WebSearch")
 THRESHOLD_CHARS = 2_000
@@ -25,18 +29,26 @@ def command_of(tool_input: Column) -> Column:
 
 
 def bash_text(response: Column) -> Column:
-    from textmill.functions.text import combined_output
-
     return combined_output(F.get_json_object(response, "$.stdout"), F.get_json_object(response, "$.stderr"))
 
 
-def bash_passes(response: Column, threshold: int = THRESHOLD_CHARS) -> Column:
+def threshold_setting() -> int:
+    """The threshold that the environment names, or the default."""
+    return number_setting("TEXTMILL_THRESHOLD_CHARS", THRESHOLD_CHARS)
+
+
+def bash_passes(response: Column, threshold: int | None = None) -> Column:
+    threshold = threshold_setting() if threshold is None else threshold
     return F.char_length(bash_text(response)) >= threshold
 
 
-def web_route(tool: Column, url: Column, prompt: Column, reachable: bool) -> Column:
-    """``allow``, or ``deny`` for fetches that a reachable provider should make instead."""
-    return F.when((tool == "WebFetch") & F.lit(reachable), "deny").otherwise("allow")
+def web_route(tool: Column, url: Column, prompt: Column, reachable: bool | Reachability) -> Column:
+    """``allow``, or ``deny`` for fetches that a reachable provider should make instead.
+
+    A probe is asked when the plan is made; a stream that must ask anew routes each micro-batch
+    in ``foreachBatch``. One that fails counts as not reachable, so that the fetch goes on.
+    """
+    return F.when((tool == "WebFetch") & F.lit(is_reachable(reachable)), "deny").otherwise("allow")
 
 
 def web_reason(url: Column, prompt: Column) -> Column:
@@ -75,9 +87,10 @@ def json_leaves(rows: DataFrame, key: str, column: str) -> DataFrame:
     return found.select(key, "path", "ordinal", "leaf")
 
 
-def select_leaves(leaves: DataFrame, key: str, *, leaf: str = "leaf", ordinal: str = "ordinal", threshold: int = THRESHOLD_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def select_leaves(leaves: DataFrame, key: str, *, leaf: str = "leaf", ordinal: str = "ordinal", threshold: int | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """Events with enough text in large leaves: total_chars, n_leaves, the first longest leaf's
     ordinal, and the large leaves in order with a blank line between."""
+    threshold = threshold_setting() if threshold is None else threshold
     large = leaves.where(F.char_length(leaf) >= leaf_chars)
     found = large.groupBy(key).agg(
         F.sum(F.char_length(leaf)).alias("total_chars"), F.count("*").alias("n_leaves"),
@@ -97,18 +110,16 @@ def rewrite(value: str | None, result: str | None, leaf_chars: int) -> str | Non
         return value
     if isinstance(root, str):
         return json.dumps(result, ensure_ascii=False)
+    # Depth first in the order of the document, as ``JsonLeaves`` numbers the leaves.
     places: list[tuple] = []
-    todo = [root]
+    todo: list[tuple] = [(None, None, root)]
     while todo:
-        node = todo.pop()
-        items = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
-        own = []
-        for k, v in items:
-            if isinstance(v, str):
-                own.append((node, k, v))
-            own.append(v) if isinstance(v, dict | list) else None
-        todo += [x for x in reversed(own) if not isinstance(x, tuple)]
-        places += [x for x in own if isinstance(x, tuple)]
+        holder, k, node = todo.pop()
+        if isinstance(node, str):
+            places.append((holder, k, node))
+        elif isinstance(node, dict | list):
+            items = list(node.items() if isinstance(node, dict) else enumerate(node))
+            todo += [(node, at, child) for at, child in reversed(items)]
     large = [x for x in places if len(x[2]) >= leaf_chars]
     if not large:
         return value
@@ -128,20 +139,12 @@ def write_back(response: Column, result: Column, leaf_chars: int = LEAF_CHARS) -
 
 
 def bash_write_back(response: Column, result: Column) -> Column:
-    """stdout replaced, stderr emptied, other keys as they are; what isn't an object stays."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series, results: pd.Series) -> pd.Series:
-        out = []
-        for v, r in zip(values, results, strict=True):
-            try:
-                node = json.loads(v) if v is not None else None
-            except ValueError:
-                node = None
-            out.append(json.dumps(node | {"stdout": r, "stderr": ""}, ensure_ascii=False) if isinstance(node, dict) and r is not None else v)
-        return pd.Series(out, dtype=object)
-
-    return run(response, result)
+    """stdout replaced, stderr emptied, other keys as they are; what isn't a JSON object stays, as
+    does all where there is no result. The keys of the new object come in order."""
+    node = F.try_parse_json(response).try_cast("map<string,variant>")
+    others = F.map_filter(node, lambda k, _: ~k.isin("stdout", "stderr"))
+    new = F.map_concat(others, F.create_map(F.lit("stdout"), result.cast("variant"), F.lit("stderr"), F.lit("").cast("variant")))
+    return F.when(node.isNotNull() & result.isNotNull(), F.to_json(new)).otherwise(response)
 
 
 def response_json(action: Column, payload: Column) -> Column:

@@ -1,29 +1,44 @@
-"""A chunk index as Parquet snapshots, and search in it.
-
-A collection is a folder with numbered snapshots and a pointer file. A sync writes entries
-and manifest as a new snapshot and then moves the pointer, so a reader sees the old state
-or the new one, never half of it. The manifest is kept for each collection with its
-embedding model and chunk parameters, outside the tree that is indexed.
+"""A chunk index as Parquet segments with a versioned log, and search in it.
+
+A collection is a folder of segments and a log of numbered states; the state with the highest
+number is the current one. A change writes a segment with what is new and the paths whose
+earlier rows it makes void, and then commits a state that lists it, so a reader sees the
+collection before the change or after it, and a change costs what it changes. A writer claims
+its number by creating a file that must not exist; what two writers add at once is both kept.
+When there are ``MAX_SEGMENTS`` they are written as one. Segments that none of the last two
+states lists are deleted with the next commit.
+
+The manifest is kept in the segments, outside the tree that is indexed, and the settings of
+the embedding model and the chunks in the states.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute)
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from textmill.functions.providers import Embedder, HashingEmbedder
-from textmill.operators.manifest import counts, diff, file_hashes, files_to_chunk, kept_entries
-from textmill.sources.corpus import chunk_rows, decode_ignoring, read_corpus
+from textmill.functions.storage import checkpoint
+from textmill.functions.text import preview
+from textmill.operators.manifest import counts, diff, file_hashes, files_to_chunk
+from textmill.sources.corpus import build_entries, chunk_rows, decode_ignoring, read_corpus
+
+MAX_SEGMENTS = 8
+#: A claim of a number without its state is void after so many seconds.
+STALE_CLAIM = 600
+_MANIFEST = "rel_path string, sha256 string"
 
 
 @dataclass(frozen=True)
@@ -35,7 +50,7 @@ class IndexSettings:
 
 
 class Collection:
-    """A named index below ``root``, a folder that all executors share."""
+    """A named index below ``root``, a folder that all executors share, in any store that Spark reads."""
 
     def __init__(self, spark: SparkSession, root: str, name: str | None):
         name = name or os.environ.get("COLLECTION_NAME")
@@ -43,59 +58,149 @@ class Collection:
             raise ValueError("Error: a collection name is required.")
         self.spark, self.name, self.folder = spark, name, f"{root.rstrip('/')}/{name}"
 
-    # The pointer is read and written by Hadoop's file system, so the folder may be in any store.
+    # ---- files of the log, by Hadoop's file system
+
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _numbers(self) -> list[int]:
+        at, fs = self._fs(f"{self.folder}/log")
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def _read(self, number: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.folder}/log/{number:010d}.json", wholetext=True).first()[0])
+
     def _state(self) -> dict | None:
-        at, fs = self._fs(f"{self.folder}/current.json")
-        if not fs.exists(at):
-            return None
-        return json.loads(self.spark.read.text(str(at.toString()), wholetext=True).first()[0])
-
-    def _point(self, state: dict) -> None:
-        new, fs = self._fs(f"{self.folder}/current-{uuid.uuid4().hex}.json")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        at, _ = self._fs(f"{self.folder}/current.json")
-        if fs.exists(at):
+        numbers = self._numbers()
+        return self._read(numbers[-1]) if numbers else None
+
+    def _commit(self, change: Callable[[dict | None], dict], tries: int = 20) -> None:
+        """Make ``change`` of the newest state the next one; done again where another writer was first."""
+        for _ in range(tries):
+            numbers = self._numbers()
+            number = numbers[-1] + 1 if numbers else 0
+            claim, fs = self._fs(f"{self.folder}/log/{number:010d}.claim")
+            if not fs.createNewFile(claim):
+                if fs.exists(claim) and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > STALE_CLAIM:
+                    fs.delete(claim, False)
+                time.sleep(0.2)
+                continue
+            state = change(self._read(numbers[-1]) if numbers else None)
+            made, _ = self._fs(f"{self.folder}/log/{uuid.uuid4().hex}.tmp")
+            out = fs.create(made, True)
+            out.write(bytearray(json.dumps(state).encode()))
+            out.close()
+            fs.rename(made, self._fs(f"{self.folder}/log/{number:010d}.json")[0])
+            fs.delete(claim, False)
+            self._clean([*numbers, number])
+            return
+        raise RuntimeError(f"Error: other writers keep changing {self.name}.")
+
+    def _clean(self, numbers: list[int]) -> None:
+        listed = lambda number: {s["name"] for s in self._read(number)["segments"]}
+        kept = set().union(*map(listed, numbers[-2:]))
+        for number in numbers[:-2]:
+            for name in listed(number) - kept:
+                at, fs = self._fs(f"{self.folder}/{name}")
+                fs.delete(at, True)
+            at, fs = self._fs(f"{self.folder}/log/{number:010d}.json")
             fs.delete(at, False)
-        fs.rename(new, at)
+
+    # ---- segments
+
+    def _segment(self, entries: DataFrame | None, manifest: DataFrame | None, gone: DataFrame | None) -> dict:
+        name = f"segment-{uuid.uuid4().hex}"
+        parts = {"entries": entries, "manifest": manifest, "gone": gone}
+        for part, df in parts.items():
+            if df is not None:
+                df.write.parquet(f"{self.folder}/{name}/{part}")
+        return {"name": name, "parts": [part for part, df in parts.items() if df is not None]}
+
+    def _part(self, segments: list[dict], part: str) -> DataFrame | None:
+        """A part of all segments, with the place of each row's segment as ``_at``."""
+        found = [self.spark.read.parquet(f"{self.folder}/{s['name']}/{part}").withColumn("_at", F.lit(k)) for k, s in enumerate(segments) if part in s["parts"]]
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def _alive(self, segments: list[dict], part: str, path: str) -> DataFrame | None:
+        """Rows of a part whose ``path`` no later segment makes void; one join for all segments."""
+        rows, gone = self._part(segments, part), self._part(segments, "gone")
+        if rows is None or gone is None:
+            return rows
+        last = gone.groupBy(F.col("rel_path").alias("_path")).agg(F.max("_at").alias("_gone"))
+        return rows.join(last, F.expr(path) == F.col("_path"), "left").where("_gone IS NULL OR _at >= _gone").drop("_path", "_gone")
 
     def exists(self) -> bool:
-        return self._state() is not None
+        return bool(self._numbers())
 
     def entries(self) -> DataFrame:
         state = self._state()
         if state is None:
             raise ValueError(f"Error: collection {self.name} does not exist.")
-        return self.spark.read.parquet(f"{self.folder}/{state['snapshot']}/entries")
+        return self._entries(state["segments"])
+
+    def _entries(self, segments: list[dict]) -> DataFrame:
+        # Notes have no path here: no file makes them void.
+        return self._alive(segments, "entries", "CASE WHEN origin = 'index' THEN metadata.file_path END").drop("_at")
 
     def manifest(self) -> DataFrame:
         state = self._state()
-        if state is None:
-            return self.spark.createDataFrame([], "rel_path string, sha256 string")
-        return self.spark.read.parquet(f"{self.folder}/{state['snapshot']}/manifest")
+        found = self._manifest(state["segments"]) if state else None
+        return self.spark.createDataFrame([], _MANIFEST) if found is None else found
+
+    def _manifest(self, segments: list[dict]) -> DataFrame | None:
+        rows = self._alive(segments, "manifest", "rel_path")
+        return None if rows is None else rows.groupBy("rel_path").agg(F.max_by("sha256", "_at").alias("sha256"))
 
     def settings(self) -> IndexSettings | None:
         state = self._state()
         return None if state is None else IndexSettings(**state["settings"])
 
-    def replace(self, entries: DataFrame, manifest: DataFrame, settings: IndexSettings) -> None:
-        snapshot = f"snapshot-{uuid.uuid4().hex}"
-        entries.write.parquet(f"{self.folder}/{snapshot}/entries")
-        manifest.write.parquet(f"{self.folder}/{snapshot}/manifest")
-        self._point({"snapshot": snapshot, "settings": asdict(settings)})
+    # ---- changes
 
-    def append(self, entries: DataFrame) -> None:
-        """More rows in the current snapshot, repeats included."""
-        state = self._state()
-        if state is None:
+    def replace(self, entries: DataFrame, manifest: DataFrame, settings: IndexSettings) -> DataFrame:
+        """All rows at once, those there were are gone; returns the entries written."""
+        segment = self._segment(entries, manifest, None)
+        self._commit(lambda _: {"segments": [segment], "settings": asdict(settings), "batches": {}})
+        return self.spark.read.parquet(f"{self.folder}/{segment['name']}/entries")
+
+    def add(self, entries: DataFrame, manifest: DataFrame | None = None, gone: DataFrame | None = None, settings: IndexSettings | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
+        """More rows, repeats included, after those of the paths in ``gone`` are void; returns the
+        entries written. ``batch`` names a stream and the number of its batch, to be remembered."""
+        if not self.exists() and settings is None:
             raise ValueError(f"Error: collection {self.name} does not exist.")
-        entries.write.mode("append").parquet(f"{self.folder}/{state['snapshot']}/entries")
+        segment = self._segment(entries, manifest, gone)
+
+        def change(state: dict | None) -> dict:
+            state = state or {"segments": [], "batches": {}}
+            batches = state["batches"] | (dict([batch]) if batch else {})
+            return {"segments": [*state["segments"], segment], "settings": asdict(settings) if settings else state["settings"], "batches": batches}
+
+        self._commit(change)
+        written = self.spark.read.parquet(f"{self.folder}/{segment['name']}/entries")
+        self.compact()
+        return written
+
+    def compact(self, segments: int = MAX_SEGMENTS) -> None:
+        """Write the segments there are as one if there are so many; those added meanwhile stay."""
+        state = self._state()
+        if state is None or len(state["segments"]) < segments:
+            return
+        old = state["segments"]
+        merged = self._segment(self._entries(old), self._manifest(old), None)
+
+        def change(now: dict | None) -> dict:
+            if now is None or now["segments"][: len(old)] != old:
+                return now or state
+            return now | {"segments": [merged, *now["segments"][len(old) :]]}
+
+        self._commit(change)
+
+    def last_batch(self, stream: str) -> int:
+        """The number of the last batch of a stream that was added, or -1."""
+        state = self._state()
+        return -1 if state is None else state["batches"].get(stream, -1)
 
     def drop(self) -> None:
         at, fs = self._fs(self.folder)
@@ -119,22 +224,19 @@ def store_note(collection: Collection, content: str, metadata: dict[str, str], e
         F.lit(content).alias("content"), F.struct(*[F.lit(metadata.get(k)).cast("string").alias(k) for k in ("file_path", "line_range", "type")]).alias("metadata"),
         F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(0).alias("chunk_no"),
     )
-    collection.append(embed_entries(row, embedder, origin="note"))
+    collection.add(embed_entries(row, embedder, origin="note"))
 
 
-def index_repo(collection: Collection, root: str, *, chunk_lines: int = 50, overlap: int = 10, reset: bool = False, embedder: Embedder = HashingEmbedder(), **options: str) -> str:
-    """Index a whole tree; without ``reset`` rows are added to those there are."""
-    spark, settings = collection.spark, IndexSettings(embedder.name, embedder.dimensions, chunk_lines, overlap)
-    files = read_corpus(spark, root, **options).where(F.col("error").isNull())
-    chunks = chunk_rows(files.withColumn("text", decode_ignoring("content")), "rel_path", "text", size=chunk_lines, overlap=overlap)
-    entries = embed_entries(chunks, embedder)
-    if not reset and collection.exists():
-        _check(collection, settings)
-        entries = entries.unionByName(collection.entries())
-    collection.replace(entries, file_hashes(files), settings)
-    made = chunks.groupBy("metadata.type").count().collect()
-    n = {r["type"]: r["count"] for r in made}
-    return f"Indexed {sum(n.values())} chunk(s) into {collection.name}: {n.get('code', 0)} code, {n.get('doc', 0)} doc."
+def _chunks(files: DataFrame, settings: IndexSettings, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
+    """Entries and manifest of ``files(rel_path, content)``, of one and the same reading of each."""
+    read = checkpoint(files.select("rel_path", F.col("content").cast("binary").alias("content")))
+    chunks = chunk_rows(read.withColumn("text", decode_ignoring("content")), "rel_path", "text", size=settings.chunk_lines, overlap=settings.overlap)
+    return embed_entries(chunks, embedder), file_hashes(read)
+
+
+def type_counts(entries: DataFrame) -> DataFrame:
+    """(type, n): entries of each type."""
+    return entries.groupBy("metadata.type").agg(F.count("*").alias("n"))
 
 
 def _check(collection: Collection, settings: IndexSettings) -> None:
@@ -143,91 +245,158 @@ def _check(collection: Collection, settings: IndexSettings) -> None:
         raise ValueError(f"Error: {collection.name} holds vectors of {was.embedding_model}, not of {settings.embedding_model}.")
 
 
-def sync_repo(collection: Collection, root: str, *, chunk_lines: int = 50, overlap: int = 10, embedder: Embedder = HashingEmbedder(), **options: str) -> str:
-    """Bring a collection up to date: only changed files are chunked anew.
+def index_files(collection: Collection, files: DataFrame, *, chunk_lines: int = 50, overlap: int = 10, reset: bool = False, embedder: Embedder = HashingEmbedder()) -> str:
+    """Index ``files(rel_path, content)``; without ``reset`` rows are added to those there are.
+
+    A file's hash in the manifest is that of the bytes that were cut, whatever happens to the
+    file meanwhile, and the message counts what was written.
+    """
+    settings = IndexSettings(embedder.name, embedder.dimensions, chunk_lines, overlap)
+    if not reset:
+        _check(collection, settings)
+    entries, manifest = _chunks(files, settings, embedder)
+    written = collection.replace(entries, manifest, settings) if reset else collection.add(entries, manifest, settings=settings)
+    n = {r["type"]: r["n"] for r in type_counts(written).collect()}
+    return f"Indexed {sum(n.values())} chunk(s) into {collection.name}: {n.get('code', 0)} code, {n.get('doc', 0)} doc."
+
+
+def sync_files(collection: Collection, files: DataFrame, *, chunk_lines: int = 50, overlap: int = 10, embedder: Embedder = HashingEmbedder()) -> str:
+    """Bring a collection up to the whole of ``files(rel_path, content)``: all are hashed, only
+    those that changed are read again, cut and written.
 
     Other chunk parameters or a missing collection make every file a changed one.
     """
-    spark, settings = collection.spark, IndexSettings(embedder.name, embedder.dimensions, chunk_lines, overlap)
+    settings = IndexSettings(embedder.name, embedder.dimensions, chunk_lines, overlap)
+    _check(collection, settings)
+    was = collection.settings()
+    old = collection.manifest()
+    known = old if was == settings else old.withColumn("sha256", F.lit(None).cast("string"))
+    changes = checkpoint(diff(file_hashes(files), known))
+    changed, removed, unchanged = counts(changes).first()
+    if not changed and not removed and was == settings:
+        return f"No changes: {unchanged} file(s) up to date in {collection.name}."
+    entries, manifest = _chunks(files_to_chunk(files, changes), settings, embedder)
+    written = collection.add(entries, manifest, changes.where("status IN ('changed', 'removed')").select("rel_path"), settings)
+    return f"Synced {collection.name}: {changed} changed, {removed} removed, {unchanged} unchanged; {written.count()} new chunk(s)."
+
+
+def upsert_files(collection: Collection, batch: DataFrame, *, chunk_lines: int = 50, overlap: int = 10, embedder: Embedder = HashingEmbedder(), stream: tuple[str, int] | None = None) -> int:
+    """Bring ``batch(rel_path, content)`` into a collection and leave other files alone; a null
+    content takes its file out. Returns the number of paths that changed.
+
+    Of rows that repeat a path that with the greatest ``seq`` counts, if there is such a column,
+    else any. ``stream`` is the name of a stream and the number of its batch: a batch that was
+    added before is passed over, so that a repeated one changes nothing.
+    """
+    if stream and collection.last_batch(stream[0]) >= stream[1]:
+        return 0
+    settings = IndexSettings(embedder.name, embedder.dimensions, chunk_lines, overlap)
     _check(collection, settings)
-    known = collection.manifest() if collection.settings() == settings else spark.createDataFrame([], "rel_path string, sha256 string")
-    files = read_corpus(spark, root, **options).where(F.col("error").isNull())
-    current = file_hashes(files)
-    changes = diff(current, known).cache()
-    try:
-        changed, removed, unchanged = counts(changes).first()
-        if not changed and not removed and collection.exists():
-            return f"No changes: {unchanged} file(s) up to date in {collection.name}."
-        todo = files_to_chunk(files, changes)
-        fresh = embed_entries(chunk_rows(todo.withColumn("text", decode_ignoring("content")), "rel_path", "text", size=chunk_lines, overlap=overlap), embedder)
-        entries = fresh
-        if collection.exists():
-            old = collection.entries()
-            same = old if collection.settings() == settings else old.where("origin <> 'index'")
-            indexed = kept_entries(same.where("origin = 'index'").withColumn("_path", F.col("metadata.file_path")), changes, "_path").drop("_path")
-            entries = fresh.unionByName(indexed).unionByName(same.where("origin <> 'index'"))
-        collection.replace(entries, current, settings)
-        return f"Synced {collection.name}: {changed} changed, {removed} removed, {unchanged} unchanged; {fresh.count()} new chunk(s)."
-    finally:
-        changes.unpersist()
+    order = F.col("seq") if "seq" in batch.columns else F.lit(0)
+    latest = batch.groupBy("rel_path").agg(F.max_by(F.struct(F.col("content").cast("binary").alias("content")), order).alias("row")).select("rel_path", "row.content")
+    latest = checkpoint(latest)
+    now = latest.where("content IS NOT NULL")
+    known = collection.manifest().join(latest.select("rel_path"), "rel_path", "left_semi")
+    known = known if collection.settings() in (None, settings) else known.withColumn("sha256", F.lit(None).cast("string"))
+    changes = checkpoint(diff(file_hashes(now), known).where("status <> 'unchanged'"))
+    n = changes.count()
+    if n or stream:
+        entries, manifest = _chunks(files_to_chunk(now, changes), settings, embedder)
+        collection.add(entries, manifest, changes.where("status IN ('changed', 'removed')").select("rel_path"), settings, stream)
+    return n
+
+
+def _tree(spark: SparkSession, root: str, options: dict[str, str]) -> DataFrame:
+    return read_corpus(spark, root, **options).where(F.col("error").isNull())
+
+
+def index_repo(collection: Collection, root: str, *, chunk_lines: int = 50, overlap: int = 10, reset: bool = False, embedder: Embedder = HashingEmbedder(), **options: str) -> str:
+    """Index a whole tree; without ``reset`` rows are added to those there are."""
+    return index_files(collection, _tree(collection.spark, root, options), chunk_lines=chunk_lines, overlap=overlap, reset=reset, embedder=embedder)
+
+
+def sync_repo(collection: Collection, root: str, *, chunk_lines: int = 50, overlap: int = 10, embedder: Embedder = HashingEmbedder(), **options: str) -> str:
+    """Bring a collection up to date with a tree: only changed files are cut anew."""
+    return sync_files(collection, _tree(collection.spark, root, options), chunk_lines=chunk_lines, overlap=overlap, embedder=embedder)
+
+
+def preview_entries(entries: DataFrame, limit: int = 10, one_line: bool = True) -> DataFrame:
+    """The first entries by path and line, shortened."""
+    first = entries.orderBy("metadata.file_path", "start_line").limit(limit)
+    return first.select("metadata.file_path", "metadata.line_range", "metadata.type", preview("content", one_line=one_line).alias("preview"))
 
 
 def preview_index(spark: SparkSession, root: str, *, limit: int = 10, chunk_lines: int = 50, overlap: int = 10, **options: str) -> tuple[int, DataFrame]:
     """The number of chunks and the first of them, nothing written."""
-    from textmill.functions.text import preview
-    from textmill.sources.corpus import build_entries
-
     entries = build_entries(spark, root, size=chunk_lines, overlap=overlap, **options)
-    first = entries.orderBy("metadata.file_path", "start_line").limit(limit)
-    return entries.count(), first.select("metadata.file_path", "metadata.line_range", "metadata.type", preview("content").alias("preview"))
+    return entries.count(), preview_entries(entries, limit)
 
 
 #: Queries that are sent to the tasks at once; more are answered in blocks of this size.
 QUERY_BLOCK = 4_096
 
 
-def _best(vectors: np.ndarray, ids: list, queries: np.ndarray, k: int, metric: str) -> Iterator[tuple[int, int, float]]:
-    """(query place, entry place, score) of the k best of these vectors for each query."""
-    scores = vectors @ queries.T
-    if metric == "cosine":
-        scores /= np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(queries, axis=1)[None, :]
-    order = np.argsort(np.array(ids), kind="stable")
-    for q in range(len(queries)):
-        own = scores[order, q]
-        first = order[np.argsort(-own, kind="stable")[:k]]
-        yield from ((q, int(i), float(scores[i, q])) for i in first)
+def _best(vectors: np.ndarray, order: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, entry place, score) of the k best of these vectors for each query, ties to
+    the entry that comes first in ``order``."""
+    scores = (vectors @ queries.T)[order]
+    if len(order) > k:
+        # All that are as good as the k-th, of which the sort below takes the first.
+        least = np.partition(scores, len(order) - k, axis=0)[len(order) - k]
+        place, query = np.nonzero(scores >= least)
+    else:
+        place, query = (x.ravel() for x in np.indices(scores.shape))
+    score = scores[place, query]
+    by = np.lexsort((place, -score, query))
+    query, place, score = query[by], place[by], score[by]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[rank < k], order[place[rank < k]], score[rank < k]
+
+
+def _matrix(column: pa.Array, dimensions: int | None) -> np.ndarray:
+    """Vectors of a list column as rows, by its buffers."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = dimensions or (len(flat) // len(column) if len(column) else 0)
+    if len(flat) != width * len(column):
+        raise ValueError("Error: vectors differ in their number of dimensions.")
+    return flat.reshape(len(column), width)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; the zero vector stays, so that its score is 0."""
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
 
 
 def top_k(entries: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "cosine", vec: str = "vec", entry_id: str = "id", query_id: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
     """(query_id, id, score, rank): the k best entries for each query, ties to the smaller id.
 
-    The queries are a stated set and go to the tasks in blocks. A task multiplies each batch
-    of its entries with a block and passes on only the batch's k best for each query; the
-    window over what is left is limited to k rows again before it is shuffled. Entries or
-    queries without a vector are left out.
+    The queries are a stated set and go to the tasks in blocks of ``QUERY_BLOCK``, each of which
+    reads the entries once. A task multiplies each batch of entries with the block and passes on
+    only the batch's k best for each query; the window over what is left is limited to k rows again before it is
+    shuffled. Entries or queries without a vector are left out, a zero vector has the score 0.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError("metric is cosine or dot")
     source = entries.select(F.col(entry_id).alias("_id"), F.col(vec).alias("_vec")).where(F.col("_vec").isNotNull())
     asked = queries.select(F.col(query_id).alias("_query"), F.col(query_vec).alias("_vec")).where(F.col("_vec").isNotNull())
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
     types = {f.name: f.dataType for f in [*source.schema.fields, *asked.schema.fields]}
     schema = StructType([StructField("_query", types["_query"]), StructField("_id", types["_id"]), StructField("_score", DoubleType())])
+    scaled = _unit if metric == "cosine" else lambda x: x
+    n = asked.count()
     parts = []
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("_query"), F.lit(blocks)) == block).toArrow()
-        names = own["_query"].to_pylist()
-        matrix = np.array(own["_vec"].to_pylist(), dtype=np.float64)
+    for block in range(max(1, -(-n // QUERY_BLOCK))):
+        own = (asked.where(F.pmod(F.xxhash64("_query"), F.lit(-(-n // QUERY_BLOCK))) == block) if n > QUERY_BLOCK else asked).toArrow()
+        names, matrix = own["_query"].combine_chunks(), scaled(_matrix(own["_vec"].combine_chunks(), None))
 
         def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows or not names:
+                if not batch.num_rows or not len(names):
                     continue
-                ids = batch.column(0).to_pylist()
-                found = list(_best(np.array(batch.column(1).to_pylist(), dtype=np.float64), ids, matrix, k, metric))
-                q, i, score = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], own.schema.field("_query").type), pa.array([ids[x] for x in i], batch.schema.field(0).type), pa.array(score)], names=["_query", "_id", "_score"])
+                ids = batch.column(0)
+                order = pa.compute.sort_indices(ids).to_numpy()
+                query, entry, score = _best(scaled(_matrix(batch.column(1), matrix.shape[1])), order, matrix, k)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(entry)), pa.array(score)], names=["_query", "_id", "_score"])
 
         parts.append(source.mapInArrow(run, schema))
     best = Window.partitionBy("_query").orderBy(F.col("_score").desc(), "_id")

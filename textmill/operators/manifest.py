@@ -46,11 +46,16 @@ def files_to_chunk(files: DataFrame, changes: DataFrame, path: str = "rel_path")
     return files.join(dirty, F.col(path) == F.col("_dirty"), "left_semi")
 
 
+def removed(changes: DataFrame) -> DataFrame:
+    """(rel_path) of files that a manifest has and the tree hasn't."""
+    return changes.where(F.col("status") == "removed").select("rel_path")
+
+
 def render_manifest(manifest: DataFrame) -> DataFrame:
-    """One JSON object of a manifest, keys in order. It is a view for people, made of all rows;
-    the state itself is kept as a table."""
-    pairs = F.array_sort(F.collect_list(F.struct("rel_path", "sha256")))
-    return manifest.agg(F.to_json(F.map_from_entries(pairs), {"pretty": "true"}).alias("manifest"))
+    """(rel_path, value): one JSON object a file, in order of paths over all partitions, so that
+    written as text it is a list for people that ``parse_manifest`` reads. No task gets all rows."""
+    line = F.to_json(F.create_map("rel_path", "sha256"))
+    return manifest.select("rel_path", line.alias("value")).orderBy("rel_path")
 
 
 def parse_manifest(rows: DataFrame, column: str = "value") -> DataFrame:

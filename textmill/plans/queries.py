@@ -7,13 +7,18 @@ closing punctuation, conversations are events whose turns are leaves.
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import paths, text
-from textmill.functions.providers import ExtractiveCompleter
+from textmill.functions.providers import ExtractiveCompleter, RecordedRuns, StoredPages
+from textmill.functions.storage import checkpoint_folder, remove
 from textmill.operators import compress as condense
 from textmill.operators import evaluate, events, index, manifest
+from textmill.sources.corpus import chunk_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,7 +131,7 @@ def compress_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.char_length(condense.truncate(F.col("text"), F.col("scope")))
     return scoped.select(
         "doc_id", text.looks_positional("focus").alias("is_positional"), F.coalesce("scope", F.lit(0)).alias("scope"), size.alias("scoped_len"),
-        condense.gate(size, condense.Limits(max_total_chars=20_000)).alias("status"),
+        condense.gate(size, condense.Limits()).alias("status"),
     )
 
 
@@ -138,7 +143,7 @@ WITH {_BOUNDARY},{_HEADING},
   s AS (SELECT *, coalesce(m, CASE WHEN is_positional THEN coalesce(boundary, 4000) END) AS scope FROM p),
   n AS (SELECT *, CASE WHEN scope IS NULL THEN length(text) WHEN scope < 0 THEN greatest(length(text) + scope, 0) ELSE least(length(text), scope) END AS scoped_len FROM s)
 SELECT doc_id, is_positional, CAST(coalesce(scope, 0) AS INT) AS scope, CAST(scoped_len AS INT) AS scoped_len,
-  CASE WHEN scoped_len < 2000 THEN 'unchanged' WHEN scoped_len > 20000 THEN 'error' ELSE 'compress' END AS status FROM n"""
+  CASE WHEN scoped_len < 2000 THEN 'unchanged' WHEN scoped_len > 2000000 THEN 'error' ELSE 'compress' END AS status FROM n"""
 
 
 def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +197,7 @@ SYNC_RECHUNK = f"WITH {_CHANGES} SELECT rel_path, sha256 FROM now WHERE rel_path
 
 def manifest_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, was = _manifests(spark, sf_dir)
-    return was.join(now, "rel_path", "left_anti").select("rel_path")
+    return manifest.removed(manifest.diff(now, was))
 
 
 MANIFEST_REMOVED = f"WITH {_CHANGES} SELECT rel_path FROM was EXCEPT SELECT rel_path FROM now"
@@ -207,7 +212,7 @@ TAG_STRIP = r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+
 
 def page_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return pages.select("page_id", condense.with_url(F.col("url"), F.col("html"), condense.page_text(F.col("html"))).alias("text"))
+    return pages.select("page_id", condense.with_url(F.col("url"), F.octet_length("html"), condense.page_text(F.col("html"))).alias("text"))
 
 
 PAGE_SOURCE = r"""SELECT page_id, '[fetched ' || url || ', ' || strlen(html) || ' raw bytes]' || chr(10) ||
@@ -290,34 +295,109 @@ WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn
 SELECT conv_id, CAST(place AS INT) AS place, sha256(CASE WHEN length(text) < 200 THEN text WHEN best = 1 THEN 'RESULT' ELSE '' END) AS leaf_sha256 FROM r"""
 
 
+def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of two types."""
+    path = F.concat("source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".txt"))
+    return _table(spark, sf_dir, "documents").select(path.alias("rel_path"), F.col("text").alias("content"))
+
+
+def _document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_rows(_document_files(spark, sf_dir), "rel_path", "content", size=5, overlap=1)
+
+
+# No document has a line that begins with #, so files of both types are cut into windows.
+_FILE_WINDOWS = """
+  d AS (SELECT source || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.txt' END AS doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''),""" + _WINDOWS.format(step=4, size=5, lines="d") + """,
+  f AS (SELECT doc_id AS file_path, start_line, start_line || '-' || end_line AS line_range, CASE WHEN doc_id LIKE '%.py' THEN 'code' ELSE 'doc' END AS type, content FROM win WHERE content <> '')"""
+
+
+def nested_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equally long leaves at several depths: the first in the order of the document is replaced."""
+    rows = _table(spark, sf_dir, "events").select("event_id", F.rpad(F.col("event_type"), 200, ".").alias("t"))
+    payload = F.to_json(F.struct(F.struct(F.array(F.lit("small"), F.col("t")).alias("x")).alias("a"), F.col("t").alias("b"), F.struct(F.lit("kept").alias("y")).alias("c")))
+    new = events.write_back(payload, F.lit("RESULT"))
+    return rows.select("event_id", *[F.get_json_object(new, at).alias(name) for name, at in (("a0", "$.a.x[0]"), ("a1", "$.a.x[1]"), ("b", "$.b"), ("c", "$.c.y"))])
+
+
+NESTED_WRITE_BACK = "SELECT event_id, 'small' AS a0, 'RESULT' AS a1, '' AS b, 'kept' AS c FROM events"
+
+
+def page_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by their addresses from a provider, condensed; those it doesn't have are errors."""
+    stored = {"https://a.example/": "<p>Some <b>text</b></p>", "https://b.example/": "<p> </p>"}
+    urls = _table(spark, sf_dir, "events").select(F.element_at(F.array(*map(F.lit, [*stored, "https://c.example/"])), (F.col("event_id") % 3 + 1).cast("int")).alias("url"))
+    return condense.compress_pages(urls, "url", StoredPages(stored))
+
+
+PAGE_FETCH = """SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN 'https://a.example/' WHEN 1 THEN 'https://b.example/' ELSE 'https://c.example/' END AS url,
+  CASE event_id % 3 WHEN 0 THEN '[fetched https://a.example/, 23 raw bytes]' || chr(10) || 'Some text' WHEN 1 THEN 'Error: there is no text in https://b.example/.'
+    ELSE 'Error: https://c.example/ wasn''t fetched: no page is stored for https://c.example/' END AS text FROM events"""
+
+
+def command_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands run by a provider, their output condensed below the exit code."""
+    runs = {"make": (2, "x" * 3000, "failed"), "ls": (0, "a b", "")}
+    commands = _table(spark, sf_dir, "events").select(F.element_at(F.array(*map(F.lit, [*runs, "rm"])), (F.col("event_id") % 3 + 1).cast("int")).alias("command"))
+    return condense.compress_commands(commands, "command", RecordedRuns(runs))
+
+
+COMMAND_RUN = """SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN 'make' WHEN 1 THEN 'ls' ELSE 'rm' END AS command,
+  CASE event_id % 3 WHEN 0 THEN '[exit code 2]' || chr(10) || '[compressed 3023 -> 80 chars across 1 chunk(s), ~97% smaller]' || chr(10) || chr(10) || repeat('x', 80)
+    WHEN 1 THEN '[exit code 0]' || chr(10) || 'a b' ELSE 'Error: the command wasn''t run: no run is recorded of rm' END AS text FROM events"""
+
+
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return index.type_counts(_document_chunks(spark, sf_dir))
+
+
+TYPE_COUNTS = f"WITH {_FILE_WINDOWS} SELECT type, count(*) AS n FROM f GROUP BY type"
 
 
-TYPE_COUNTS = "SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang"
+def _new_collection(spark: SparkSession) -> index.Collection:
+    """A collection for one query, deleted when Python ends."""
+    root = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, root)
+    return index.Collection(spark, root, "documents")
 
 
 def collection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("points"), F.count_if(F.col("lang") == "en").alias("n_en"))
+    made = _new_collection(spark)
+    index.index_files(made, _document_files(spark, sf_dir), chunk_lines=5, overlap=1)
+    return made.info()
 
 
-COLLECTION_INFO = "SELECT source AS collection, count(*) AS points, count(*) FILTER (lang = 'en') AS n_en FROM documents GROUP BY source"
+COLLECTION_INFO = f"WITH {_FILE_WINDOWS} SELECT 'documents' AS collection, 'ready' AS status, count(*) AS points FROM f"
+
+
+def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of an older state of the files, brought up to date twice, has what a new one would."""
+    files = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id"), F.lit(".py")).alias("rel_path"), F.col("text").alias("content"))
+    was = files.where("doc_id % 10 <> 4").withColumn("content", F.when(F.col("doc_id") % 7 == 0, "stale").otherwise(F.col("content")))
+    made = _new_collection(spark)
+    index.index_files(made, was)
+    index.sync_files(made, files.where("doc_id % 10 <> 3"))
+    index.sync_files(made, files.where("doc_id % 10 <> 5"))
+    return made.entries().select("metadata.file_path", "metadata.line_range", F.sha2("content", 256).alias("content_sha256"))
+
+
+INDEX_SYNC = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '' AND doc_id % 10 <> 5),""" + _WINDOWS.format(step=40, size=50, lines="d") + """
+SELECT 'doc/' || doc_id || '.py' AS file_path, start_line || '-' || end_line AS line_range, sha256(content) AS content_sha256 FROM win WHERE content <> ''"""
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return docs.orderBy("source", "doc_id").limit(10).select("doc_id", text.preview("text").alias("preview"))
+    return index.preview_entries(_document_chunks(spark, sf_dir))
 
 
-PREVIEW = "SELECT doc_id, replace(substring(text, 1, 200), chr(10), ' ') || '...' AS preview FROM documents ORDER BY source, doc_id LIMIT 10"
+PREVIEW = f"""WITH {_FILE_WINDOWS} SELECT file_path, line_range, type, replace(substring(content, 1, 200), chr(10), ' ') || '...' AS preview
+FROM f ORDER BY file_path, f.start_line LIMIT 10"""
 
 
 def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return docs.orderBy("doc_id").limit(10).select("doc_id", text.preview("text", one_line=False).alias("preview"))
+    return index.preview_entries(_document_chunks(spark, sf_dir), one_line=False)
 
 
-DRY_RUN = "SELECT doc_id, substring(text, 1, 200) || '...' AS preview FROM documents ORDER BY doc_id LIMIT 10"
+DRY_RUN = f"""WITH {_FILE_WINDOWS} SELECT file_path, line_range, type, substring(content, 1, 200) || '...' AS preview
+FROM f ORDER BY file_path, f.start_line LIMIT 10"""
 
 
 def file_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,7 +431,7 @@ SELECT page_id, CASE WHEN regexp_matches(a, '^(.*/)?en/[^/]*5\.html(/.*)?$') THE
 def ext_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat_ws(" , ", "event_type", F.lit(".PY"), F.lit(""), F.upper("event_type"))
     items = text.csv_set(raw)
-    dotted = F.array_distinct(F.transform(items, lambda x: F.when(F.startswith(x, F.lit(".")), F.lower(x)).otherwise(F.concat(F.lit("."), F.lower(x)))))
+    dotted = paths.normalised(items)
     return _table(spark, sf_dir, "events").select("event_id", F.array_join(items, "|").alias("items"), F.array_join(dotted, "|").alias("extensions"))
 
 
@@ -359,7 +439,7 @@ EXT_NORMALISE = """SELECT event_id, event_type || '|.PY|' || upper(event_type) A
 
 
 def map_reduce_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where(F.char_length("text") >= 2000)
+    docs = _table(spark, sf_dir, "documents")
     limits = condense.Limits(chunk_chars=1000)
     found = condense.compress(docs, "doc_id", "text", focus="what is said of that", limits=limits, completer=ExtractiveCompleter("tion"))
     return found.select("doc_id", "result.status", "result.n_chunks", "result.n_skipped", "result.ratio", F.sha2("result.body", 256).alias("body_sha256"), "result.error")
@@ -374,24 +454,25 @@ WITH c AS (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS s FROM d
     string_agg(CASE WHEN m > 1 THEN '[part ' || i || '/' || m || ']' || chr(10) ELSE '' END || summary, chr(10) || chr(10) ORDER BY s) FILTER (yes) AS body FROM n GROUP BY doc_id)
 SELECT doc_id, CASE WHEN m = 0 THEN 'error' ELSE 'compressed' END AS status, CAST(n_chunks AS INT) AS n_chunks, CAST(n_chunks - m AS INT) AS n_skipped,
   CAST(CASE WHEN m = 0 THEN 0 ELSE round_even(100 * (1 - length(body) / o), 0) END AS INT) AS ratio, sha256(body) AS body_sha256,
-  CASE WHEN m = 0 THEN 'Error: none of the ' || n_chunks || ' chunk(s) held anything on ''what is said of that''.' END AS error FROM g"""
+  CASE WHEN m = 0 THEN 'Error: none of the ' || n_chunks || ' chunk(s) held anything on ''what is said of that''.' END AS error FROM g
+UNION ALL SELECT doc_id, 'unchanged', 0, 0, 0, sha256(text), NULL FROM documents WHERE length(text) < 2000"""
 
 
 def condense_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = condense.compress(docs, "doc_id", "text", limits=condense.Limits(max_total_chars=20_000))
+    found = condense.compress(docs, "doc_id", "text")
     return found.select("doc_id", F.sha2(condense.render(F.col("result")), 256).alias("rendered_sha256"))
 
 
 CONDENSE_RENDERED = """
-WITH c AS (SELECT doc_id, text, unnest(range(0, length(text), 12000)) AS s FROM documents WHERE length(text) BETWEEN 2000 AND 20000),
+WITH c AS (SELECT doc_id, text, unnest(range(0, length(text), 12000)) AS s FROM documents WHERE length(text) BETWEEN 2000 AND 2000000),
   n AS (SELECT doc_id, s, length(text) AS o, trim(substring(text, s + 1, 80), ' ' || chr(10)) AS summary, count(*) OVER (PARTITION BY doc_id) AS m FROM c),
   g AS (SELECT doc_id, any_value(o) AS o, any_value(m) AS m,
     string_agg(CASE WHEN m > 1 THEN '[part ' || (s // 12000 + 1) || '/' || m || ']' || chr(10) ELSE '' END || summary, chr(10) || chr(10) ORDER BY s) AS body FROM n GROUP BY doc_id),
   a AS (SELECT doc_id, '[compressed ' || o || ' -> ' || length(body) || ' chars across ' || m || ' chunk(s), ~' ||
       CAST(round_even(100 * (1 - length(body) / o), 0) AS INT) || '% smaller]' || chr(10) || chr(10) || body AS t FROM g
     UNION ALL SELECT doc_id, CASE WHEN length(text) < 2000 THEN text ELSE 'Error: the text has ' || length(text) ||
-      ' characters and the limit is 20000; nothing was left out, narrow the source.' END FROM documents WHERE length(text) < 2000 OR length(text) > 20000)
+      ' characters and the limit is 2000000; nothing was left out, narrow the source.' END FROM documents WHERE length(text) < 2000 OR length(text) > 2000000)
 SELECT doc_id, sha256(t) AS rendered_sha256 FROM a"""
 
 _ANSWERS = ("YES", " yes, it does", "No.", "NOT SURE", "", "it may", None, "[not relevant]", "This is NOT RELEVANT here")
@@ -445,14 +526,14 @@ FROM p, o WHERE baseline IS NOT NULL AND treatment IS NOT NULL GROUP BY track"""
 
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
-    queries = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     found = index.top_k(vectors, queries, k=10, vec="embedding", entry_id="vec_id")
     return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
 SEMANTIC_TOPK = """
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score
-    FROM embeddings v, embeddings q WHERE q.vec_id < 20),
+    FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"""
 
@@ -474,7 +555,7 @@ REGISTRY = {
     "tag_strip": (tag_strip, TAG_STRIP), "page_source": (page_source, PAGE_SOURCE), "hook_generic_select": (hook_generic_select, HOOK_GENERIC_SELECT),
     "json_leaves": (json_leaves, JSON_LEAVES), "route_decision": (route_decision, ROUTE_DECISION), "bash_gate": (bash_gate, BASH_GATE),
     "bash_write_back": (bash_write_back, BASH_WRITE_BACK), "generic_write_back": (generic_write_back, GENERIC_WRITE_BACK), "type_counts": (type_counts, TYPE_COUNTS),
-    "collection_info": (collection_info, COLLECTION_INFO), "preview": (preview, PREVIEW), "dry_run": (dry_run, DRY_RUN), "file_filters": (file_filters, FILE_FILTERS),
+    "collection_info": (collection_info, COLLECTION_INFO), "index_sync": (index_sync, INDEX_SYNC), "page_fetch": (page_fetch, PAGE_FETCH), "command_run": (command_run, COMMAND_RUN), "nested_write_back": (nested_write_back, NESTED_WRITE_BACK), "preview": (preview, PREVIEW), "dry_run": (dry_run, DRY_RUN), "file_filters": (file_filters, FILE_FILTERS),
     "ignore_rules": (ignore_rules, IGNORE_RULES), "ext_normalise": (ext_normalise, EXT_NORMALISE), "map_reduce_extractive": (map_reduce_extractive, MAP_REDUCE),
     "condense_rendered": (condense_rendered, CONDENSE_RENDERED), "classifier_answers": (classifier_answers, CLASSIFIER_ANSWERS),
     "evaluation_pairs": (evaluation_pairs, EVALUATION_PAIRS), "evaluation_net": (evaluation_net, EVALUATION_NET), "semantic_topk": (semantic_topk, SEMANTIC_TOPK),

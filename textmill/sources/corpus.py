@@ -1,14 +1,16 @@
 """A source that reads a file tree as rows: rel_path, abs_path, suffix, content, error.
 
 Spark's ``binaryFile`` leaves out names that begin with ``_`` or ``.`` and empty files, so
-this is a Python data source of its own. Folders are listed and pruned on the driver, file
-contents are read on the executors, which must see the same path.
+this is a Python data source of its own. The driver lists only as many folders as make enough
+parts; each part's task lists and prunes the folders below and reads their files, so executors
+must see the same path.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,70 +23,98 @@ from textmill.functions.text import heading_sections, line_windows, split_lines
 SCHEMA = "rel_path string, abs_path string, suffix string, content binary, error string"
 
 
-class Files(InputPartition):
-    def __init__(self, root: str, paths: list[str]):
+class Part(InputPartition):
+    """Files by relative path, and folders whose trees the task lists itself."""
+
+    def __init__(self, files: list[str], folders: list[str]):
         super().__init__(0)
-        self.root, self.paths = root, paths
+        self.files, self.folders = files, folders
 
 
 def _suffix(name: str) -> str:
     return os.path.splitext(name)[1].lower()
 
 
-def list_files(root: str, extensions: list[str], exclude: list[str] | None = None, respect_ignore: bool = True, strict_absolute: bool = False) -> list[str]:
-    """Relative paths in order. Excluded and ignored folders aren't entered.
+class Tree:
+    """What belongs to a corpus below ``root``. Excluded and ignored folders aren't entered.
 
-    ``strict_absolute`` also looks for excluded names above the root, which then holds nothing.
+    A root that is a file is that file, whatever its name. ``strict_absolute`` also looks for
+    excluded names above the root, which then holds nothing.
     """
-    root = os.path.abspath(root)
-    if not os.path.isdir(root):
-        raise NotADirectoryError(f"Error: {root} is not a directory.")
-    excluded = {*EXCLUDED_FOLDERS, *(exclude or [])}
-    if strict_absolute and excluded & set(root.split("/")):
-        return []
-    rules = []
-    if respect_ignore and os.path.isfile(at := os.path.join(root, ".gitignore")):
-        with open(at, encoding="utf-8", errors="ignore") as f:
-            rules = compile_ignore(f.read().splitlines())
-    takes_back = any(negated for _, negated in rules)
-    found, wanted = [], set(extensions)
-    for folder, folders, names in os.walk(root):
-        below = os.path.relpath(folder, root)
-        join = lambda name, below=below: name if below == "." else f"{below}/{name}"
+
+    def __init__(self, root: str, extensions: list[str], exclude: list[str] | None = None, respect_ignore: bool = True, strict_absolute: bool = False):
+        self.root = os.path.abspath(root)
+        if not os.path.exists(self.root):
+            raise FileNotFoundError(f"Error: {self.root} does not exist.")
+        self.is_file = os.path.isfile(self.root)
+        self.wanted, self.excluded, self.rules = set(extensions), {*EXCLUDED_FOLDERS, *(exclude or [])}, []
+        self.nothing = strict_absolute and bool(self.excluded & set(self.root.split("/")))
+        if respect_ignore and os.path.isfile(at := os.path.join(self.root, ".gitignore")):
+            with open(at, encoding="utf-8", errors="ignore") as f:
+                self.rules = compile_ignore(f.read().splitlines())
         # A rule that takes back may bring files of an ignored folder in again.
-        folders[:] = sorted(d for d in folders if d not in excluded and (takes_back or not is_ignored(join(d) + "/x", rules)))
-        found += [path for name in names if _suffix(name) in wanted and name not in excluded and not is_ignored(path := join(name), rules)]
-    return sorted(found)
+        self.takes_back = any(negated for _, negated in self.rules)
+
+    def list(self, below: str) -> tuple[list[str], list[str]]:
+        """Files and folders of one folder, in order; links to folders aren't followed."""
+        files, folders = [], []
+        with os.scandir(os.path.join(self.root, below)) as found:
+            for entry in sorted(found, key=lambda e: e.name):
+                path = f"{below}/{entry.name}" if below else entry.name
+                if entry.name in self.excluded:
+                    continue
+                if entry.is_dir():
+                    if not entry.is_symlink() and (self.takes_back or not is_ignored(path + "/x", self.rules)):
+                        folders.append(path)
+                elif _suffix(entry.name) in self.wanted and not is_ignored(path, self.rules):
+                    files.append(path)
+        return files, folders
+
+    def walk(self, below: str) -> Iterator[str]:
+        todo = [below]
+        while todo:
+            files, folders = self.list(todo.pop())
+            yield from files
+            todo += reversed(folders)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         get = options.get
-        self.root = os.path.abspath(get("path") or get("root") or "")
         listed = lambda key: [x.strip() for x in (get(key) or "").split(",") if x.strip()]
-        self.extensions = extensions_of(get("scope") or "both", listed("include"))
-        self.exclude = listed("exclude")
-        self.respect_ignore = (get("respect_ignore") or "true").lower() == "true"
-        self.strict_absolute = (get("strict_absolute") or "false").lower() == "true"
-        self.files = int(get("files_per_partition") or 256)
-
-    def partitions(self) -> list[Files]:
-        paths = list_files(self.root, self.extensions, self.exclude, self.respect_ignore, self.strict_absolute)
-        return [Files(self.root, paths[k : k + self.files]) for k in range(0, len(paths), self.files)] or [Files(self.root, [])]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
-        for rel in partition.paths:
-            at = os.path.join(partition.root, rel)
+        self.tree = Tree(
+            get("path") or get("root") or "", extensions_of(get("scope") or "both", listed("include")), listed("exclude"),
+            (get("respect_ignore") or "true").lower() == "true", (get("strict_absolute") or "false").lower() == "true",
+        )
+        self.files, self.parts = int(get("files_per_partition") or 256), int(get("partitions") or 64)
+
+    def partitions(self) -> list[Part]:
+        if self.tree.nothing:
+            return [Part([], [])]
+        if self.tree.is_file:
+            return [Part([""], [])]
+        files, folders = self.tree.list("")
+        # Folders are opened level by level until they are enough to share out.
+        while folders and len(folders) < self.parts:
+            opened = [self.tree.list(f) for f in folders]
+            files += [x for own, _ in opened for x in own]
+            folders = [x for _, own in opened for x in own]
+        return [Part(files[k : k + self.files], []) for k in range(0, len(files), self.files)] + [Part([], [f]) for f in folders] or [Part([], [])]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        for rel in chain(partition.files, *map(self.tree.walk, partition.folders)):
+            at = os.path.join(self.tree.root, rel) if rel else self.tree.root
+            name = rel or os.path.basename(at)
             try:
                 with open(at, "rb") as f:
-                    yield rel, at, _suffix(rel), f.read(), None
+                    yield name, at, _suffix(name), f.read(), None
             except OSError as wrong:
-                yield rel, at, _suffix(rel), None, str(wrong)
+                yield name, at, _suffix(name), None, str(wrong)
 
 
 class CorpusDataSource(DataSource):
     """Options: path, scope (code, docs, both), include and exclude (commas between), respect_ignore,
-    strict_absolute, files_per_partition."""
+    strict_absolute, files_per_partition, partitions (folders to share out at least)."""
 
     @classmethod
     def name(cls) -> str:
@@ -98,9 +128,9 @@ class CorpusDataSource(DataSource):
 
 
 def read_corpus(spark: SparkSession, root: str, **options: str) -> DataFrame:
-    """The files of a tree. A file that can't be read is a row with an error."""
-    if not os.path.isdir(root):
-        raise NotADirectoryError(f"Error: {root} is not a directory.")
+    """The files of a tree, or a single file. A file that can't be read is a row with an error."""
+    if not os.path.exists(root):
+        raise FileNotFoundError(f"Error: {root} does not exist.")
     spark.dataSource.register(CorpusDataSource)
     return spark.read.format("corpus").options(path=root, **options).load()
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from textmill.functions.providers import Embedder, HashingEmbedder, Reachability
 from textmill.operators.events import allowed, command_of, command_route, web_route
+from textmill.operators.index import Collection, upsert_files
 
 EVENT_SCHEMA = "tool_name string, tool_input string, tool_response string"
 
 
-def route_events(raw: DataFrame, column: str = "value", reachable: bool = True) -> DataFrame:
+def route_events(raw: DataFrame, column: str = "value", reachable: bool | Reachability = True) -> DataFrame:
     """One decision for each event, without state: (tool_name, web, command, condense).
 
     Works on batches and streams alike. What isn't an event is dropped, as a hook that can't
@@ -28,11 +28,17 @@ def route_events(raw: DataFrame, column: str = "value", reachable: bool = True)
     )
 
 
-def sync_snapshots(snapshots: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Call ``apply`` with each micro-batch of a stream of file rows; the manifest that it keeps is a
-    table, so a batch that is repeated after a failure finds nothing left to do."""
+def sync_stream(files: DataFrame, collection: Collection, checkpoint: str, *, chunk_lines: int = 50, overlap: int = 10, embedder: Embedder = HashingEmbedder()) -> StreamingQuery:
+    """Keep a collection up to date with a stream of ``(rel_path, content)``, where a null content
+    takes a file out and the greatest ``seq`` of a path counts, if there is such a column.
+
+    The manifest is the state: a file that comes again unchanged costs a look-up. Each batch is
+    committed with its number under the stream's checkpoint folder, so a batch that is repeated
+    after a failure changes nothing.
+    """
 
-    def each(batch: DataFrame, _: int) -> None:
-        apply(batch)
+    def each(batch: DataFrame, number: int) -> None:
+        own = Collection(batch.sparkSession, collection.folder.rpartition("/")[0], collection.name)
+        upsert_files(own, batch, chunk_lines=chunk_lines, overlap=overlap, embedder=embedder, stream=(checkpoint, number))
 
-    return snapshots.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
