@@ -113,11 +113,15 @@ def is_reachable(probe: bool | Reachability) -> bool:
         return False
 
 
-def _looked_up(key: Column, stored: dict[str, tuple], fields: str, missing: Callable[[Column], Column]) -> Column:
-    names = [f.split()[0] for f in fields.split(", ")]
-    rows = [x for k, v in stored.items() for x in (F.lit(k), F.struct(*[F.lit(c).alias(n) for c, n in zip(v, names, strict=True)]).cast(f"struct<{fields.replace(' ', ':')}>"))]
-    found = F.try_element_at(F.create_map(*rows), key) if rows else F.lit(None).cast(f"struct<{fields.replace(' ', ':')}>")
-    return F.when(found.isNotNull(), found).otherwise(F.struct(*[(missing(key) if n == "error" else F.lit(None).cast(f.split()[1])).alias(n) for n, f in zip(names, fields.split(", "), strict=True)]))
+def _looked_up(key: Column, stored: dict[str, tuple], fields: dict[str, str], missing: str) -> Column:
+    """The struct that is stored under a key; the last field, the error, says that there is none."""
+    struct = lambda values: F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(values, fields.items(), strict=True)])
+    *others, error = fields
+    none = F.struct(*[F.lit(None).cast(fields[name]).alias(name) for name in others], F.concat(F.lit(missing), key).alias(error))
+    if not stored:
+        return none
+    found = F.try_element_at(F.create_map(*[x for k, v in stored.items() for x in (F.lit(k), struct((*v, None)))]), key)
+    return F.when(found.isNotNull(), found).otherwise(none)
 
 
 @dataclass(frozen=True)
@@ -127,7 +131,7 @@ class StoredPages:
     pages: dict[str, str]
 
     def fetch(self, url: Column) -> Column:
-        return _looked_up(url, {k: (v, None) for k, v in self.pages.items()}, "html string, error string", lambda c: F.concat(F.lit("no page is stored for "), c))
+        return _looked_up(url, {k: (v,) for k, v in self.pages.items()}, {"html": "string", "error": "string"}, "no page is stored for ")
 
 
 @dataclass(frozen=True)
@@ -137,7 +141,7 @@ class RecordedRuns:
     runs: dict[str, tuple[int, str, str]]
 
     def run(self, command: Column) -> Column:
-        return _looked_up(command, {k: (*v, None) for k, v in self.runs.items()}, "exit_code int, stdout string, stderr string, error string", lambda c: F.concat(F.lit("no run is recorded of "), c))
+        return _looked_up(command, self.runs, {"exit_code": "int", "stdout": "string", "stderr": "string", "error": "string"}, "no run is recorded of ")
 
 
 @dataclass(frozen=True)

@@ -342,7 +342,7 @@ def command_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMMAND_RUN = """SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN 'make' WHEN 1 THEN 'ls' ELSE 'rm' END AS command,
-  CASE event_id % 3 WHEN 0 THEN '[exit code 2]' || chr(10) || '[compressed 3023 -> 80 chars across 1 chunk(s), ~97% smaller]' || chr(10) || chr(10) || repeat('x', 80)
+  CASE event_id % 3 WHEN 0 THEN '[exit code 2]' || chr(10) || '[compressed ' || length(repeat('x', 3000) || chr(10) || '--- stderr ---' || chr(10) || 'failed') || ' -> 80 chars across 1 chunk(s), ~97% smaller]' || chr(10) || chr(10) || repeat('x', 80)
     WHEN 1 THEN '[exit code 0]' || chr(10) || 'a b' ELSE 'Error: the command wasn''t run: no run is recorded of rm' END AS text FROM events"""
 
 
