@@ -454,6 +454,51 @@ def test_decoding():
             D.decode_image(bad)
 
 
+def test_masks():
+    r = np.random.default_rng(1)
+    colour = r.integers(0, 256, (3, 5, 3), dtype=np.uint8)
+    pixels = sum(colour[::-1, :, c].astype("<u4") << shift for c, shift in zip(range(3), (8, 16, 24), strict=True))
+    head = bmp(np.zeros((3, 5, 3), dtype=np.uint8), 24)[:54]
+    raw = head[:10] + (66).to_bytes(4, "little") + head[14:28] + (32).to_bytes(2, "little") + (3).to_bytes(4, "little") + bytes(20)
+    raw += b"".join((255 << shift).to_bytes(4, "little") for shift in (8, 16, 24))
+    assert (D.decode_image(raw + pixels.tobytes()) == colour).all()
+    five = b"".join(m.to_bytes(4, "little") for m in (31 << 10, 31 << 5, 31))
+    assert (D.decode_image(raw[:54] + five + np.full(15, 31 << 10, dtype="<u4").tobytes()) == [255, 0, 0]).all()
+    for masks in ((0, 1, 2), (5, 8, 16)):
+        with pytest.raises(D.ImageError):
+            D.decode_image(raw[:54] + b"".join(m.to_bytes(4, "little") for m in masks) + pixels.tobytes())
+
+
+def test_bad_bytes_are_image_errors(spark):
+    """Every cut and many changed bytes of good images: an image, or an ImageError."""
+    r = np.random.default_rng(2)
+    grey, bits = r.integers(0, 200, (4, 6), dtype=np.uint8), r.integers(0, 2, (4, 6), dtype=np.uint8)
+    good = [
+        D.encode_pgm(grey), b"P2\n6 4\n255\n" + b" ".join(b"%d" % x for x in grey.ravel()), b"P1\n6 4\n" + "".join(map(str, bits.ravel())).encode(), b"P4\n6 4\n" + np.packbits(bits, axis=1).tobytes(),
+        b"P5\n6 4\n999\n" + grey.astype(">u2").tobytes(), bmp(grey, 8), bmp(bits, 1), bmp(np.stack([grey] * 3, axis=2), 24),
+    ]
+    bad = [b"P2 2 2 255\nab cd ef gh", b"P2 1 1 255\n-4", b"P2 1 1 255\n" + b"9" * 400, b"P2 1 1 255\n256", b"P5 1 1 100\n\xff", b"P5 0 5 255\n", b"P5 " + b"9" * 5000 + b" 1 255\n", b"P1 999999999 999999999 1", bmp(grey, 8)[:60]]
+    changed = []
+    for raw in good:
+        changed += [raw[:k] for k in range(0, len(raw), 1 + len(raw) // 60)]
+        for _ in range(200):
+            own = bytearray(raw)
+            for k in r.integers(0, min(len(raw), 80), 2):
+                own[k] = int(r.integers(0, 256))
+            changed.append(bytes(own))
+    for raw in bad:
+        with pytest.raises(D.ImageError):
+            D.decode_image(raw)
+    for raw in changed:
+        try:
+            assert D.decode_image(raw).size > 0
+        except D.ImageError:
+            pass
+    rows = spark.createDataFrame([(k, raw) for k, raw in enumerate([*bad, *good, None])], "id long, media binary")
+    errors = {r["id"]: r["error"] for r in D.media_columns(rows, "id", "media").collect()}
+    assert [errors[str(k)] is None for k in range(len(errors))] == [False] * len(bad) + [True] * len(good) + [False]
+
+
 @pytest.mark.parametrize("shape", [(37, 53), (3, 2), (8, 9), (64, 1)])
 def test_area_resize(shape):
     image = np.random.default_rng(0).integers(0, 256, shape).astype(float)

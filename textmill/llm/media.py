@@ -1,7 +1,7 @@
 """Media columns: Netpbm and BMP images as numpy arrays, resized, tiled and hashed.
 
 ``decode_image`` reads PBM, PGM and PPM (plain and raw) and uncompressed BMP of 1, 4, 8, 24
-and 32 bits. ``area_resize`` takes exact area means from an integral image. ``npy_tiles``
+and 32 bits, those of 32 bits with masks too; all else is an ``ImageError``. ``area_resize`` takes exact area means from an integral image. ``npy_tiles``
 cuts an array into tiles and writes each as NPY, ``read_tiles`` puts them together again.
 ``difference_hash`` compares neighbours of a small resized grey image.
 """
@@ -27,6 +27,10 @@ TILE_ROWS, TILE_COLUMNS = 512, 512
 HASH_ROWS, HASH_COLUMNS = 8, 8
 
 
+#: Digits of a number in a Netpbm header or of a plain sample.
+MOST_DIGITS = 9
+
+
 class ImageError(ValueError):
     """Bytes that aren't an image of a kind that is read here."""
 
@@ -47,8 +51,8 @@ def _netpbm_header(raw: bytes, count: int) -> tuple[list[int], int]:
         begin = at
         while at < len(raw) and raw[at : at + 1].isdigit():
             at += 1
-        if begin == at:
-            raise ImageError("a number is missing in the Netpbm header")
+        if not 0 < at - begin <= MOST_DIGITS:
+            raise ImageError("a number is missing or too long in the Netpbm header")
         numbers.append(int(raw[begin:at]))
     return numbers, at + 1
 
@@ -59,16 +63,25 @@ def _decode_netpbm(raw: bytes) -> np.ndarray:
     numbers, at = _netpbm_header(raw, 2 if bitmap else 3)
     width, height, top = numbers[0], numbers[1], 1 if bitmap else numbers[2]
     n = width * height * channels
-    if not 0 < top < 65536:
-        raise ImageError("the largest sample value is out of range")
+    if not 0 < top < 65536 or not n:
+        raise ImageError("the size or the largest sample value is out of range")
+    if (n + 7) // 8 > len(raw):
+        raise ImageError("samples are missing")
     if plain:
         body = b"\n".join(line.partition(b"#")[0] for line in raw[at - 1 :].split(b"\n"))
         if bitmap:
-            samples = np.array([c - 48 for c in body if c in b"01"], dtype=np.uint8)
+            body = body.translate(None, b" \t\n\x0b\x0c\r")
+            samples = np.frombuffer(body[: len(body) - len(body.lstrip(b"01"))], dtype=np.uint8) - np.uint8(48)
         else:
-            samples = np.array(body.split(), dtype=np.int64).astype(np.uint8 if top < 256 else np.uint16)
+            numbers = body.split()[:n]
+            if not all(x.isdigit() and len(x) <= MOST_DIGITS for x in numbers):
+                raise ImageError("a sample isn't a number")
+            samples = np.array(numbers, dtype=np.int64)
+            if samples.max(initial=0) > top:
+                raise ImageError("a sample is over the largest value")
+            samples = samples.astype(np.uint8 if top < 256 else np.uint16)
     elif bitmap:
-        packed = np.frombuffer(raw, dtype=np.uint8, offset=at)
+        packed = np.frombuffer(raw[at:], dtype=np.uint8)
         row = (width + 7) // 8
         if len(packed) < row * height:
             raise ImageError("samples are missing")
@@ -78,6 +91,8 @@ def _decode_netpbm(raw: bytes) -> np.ndarray:
         if len(raw) - at < n * kind_of.itemsize:
             raise ImageError("samples are missing")
         samples = np.frombuffer(raw, dtype=kind_of, count=n, offset=at).astype(kind_of.newbyteorder("="))
+        if int(samples.max()) > top:
+            raise ImageError("a sample is over the largest value")
     if len(samples) < n:
         raise ImageError("samples are missing")
     image = samples[:n].reshape((height, width, 3) if channels == 3 else (height, width))
@@ -89,17 +104,21 @@ def _decode_bmp(raw: bytes) -> np.ndarray:
         raise ImageError("the BMP header is cut")
     (offset,) = struct.unpack_from("<I", raw, 10)
     header, width, height, _, depth, compression = struct.unpack_from("<IiiHHI", raw, 14)
-    if compression not in (0, 3) or depth not in (1, 4, 8, 24, 32) or width <= 0 or not height:
+    if header < 40 or (compression, depth) not in ((0, 1), (0, 4), (0, 8), (0, 24), (0, 32), (3, 32)) or width <= 0 or not height:
         raise ImageError("this kind of BMP isn't read")
     rows, stride = abs(height), (width * depth + 31) // 32 * 4
-    if len(raw) < offset + rows * stride:
+    if offset < 14 + header or len(raw) < offset + rows * stride:
         raise ImageError("samples are missing")
     body = np.frombuffer(raw, dtype=np.uint8, count=rows * stride, offset=offset).reshape(rows, stride)
     if height > 0:
         body = body[::-1]
+    if compression == 3:
+        return _by_masks(raw, body[:, : 4 * width], rows, width)
     if depth >= 24:
         return body[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1].copy()
     used = struct.unpack_from("<I", raw, 46)[0] or 1 << depth
+    if used > 1 << depth or len(raw) < 14 + header + 4 * used:
+        raise ImageError("the palette is cut or too large")
     palette = np.frombuffer(raw, dtype=np.uint8, count=4 * used, offset=14 + header).reshape(used, 4)[:, 2::-1]
     if depth == 8:
         index = body[:, :width]
@@ -113,8 +132,27 @@ def _decode_bmp(raw: bytes) -> np.ndarray:
     return image[:, :, 0].copy() if (palette == palette[:, :1]).all() else image
 
 
+def _by_masks(raw: bytes, body: np.ndarray, rows: int, width: int) -> np.ndarray:
+    """Pixels of 32 bits whose channels three masks of adjoining bits cut out, as 8 bits each."""
+    if len(raw) < 66:
+        raise ImageError("the masks are cut")
+    pixels = np.ascontiguousarray(body).view("<u4").reshape(rows, width)
+    channels = []
+    for mask in struct.unpack_from("<III", raw, 54):
+        if not mask:
+            raise ImageError("a mask is empty")
+        shift = (mask & -mask).bit_length() - 1
+        most = mask >> shift
+        if most & (most + 1):
+            raise ImageError("a mask has gaps")
+        value = ((pixels & np.uint32(mask)) >> np.uint32(shift)).astype(np.uint64)
+        channels.append(((value * 255 + most // 2) // most).astype(np.uint8))
+    return np.stack(channels, axis=2)
+
+
 def decode_image(raw: bytes) -> np.ndarray:
-    """(rows, columns) for grey images, (rows, columns, 3) for coloured ones."""
+    """(rows, columns) for grey images, (rows, columns, 3) for coloured ones; ImageError for all
+    other bytes."""
     if raw[:1] == b"P" and raw[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
         return _decode_netpbm(raw)
     if raw[:2] == b"BM":
