@@ -48,11 +48,39 @@ def test_exact_empty(spark):
     assert got.columns[:4] == ["doc_id", "keep_id", "group_size", "kept"]
 
 
+def entry(digest, uid):
+    return E.Entry(uid, 1, uid, digest, None, uid)
+
+
 def test_filter_and_run():
-    digests = [E.sha256(bytes([k])) for k in range(200)]
-    run = E.SortedRun(digests[:100])
+    digests = sorted(E.sha256(bytes([k])) for k in range(200))
+    run = E.SortedRun(entry(d, k) for k, d in enumerate(digests[:100]))
     assert all(d in run for d in digests[:100])
     assert not any(d in run for d in digests[100:])
+    assert sum(d in run.filter for d in digests[100:]) < 20
+
+
+def test_tree_against_a_dictionary():
+    """Representatives and members, whatever is flushed when; and what the filters decide is used."""
+    rng = np.random.default_rng(3)
+    texts = [bytes([65 + int(k)]) * (1 + int(k)) for k in rng.integers(0, 40, 300)]
+    for memtable in (1, 1000, 1 << 30):
+        tree = E.Tree(memtable)
+        found = [tree.add(k, len(t), k, E.sha256(t), t) for k, t in enumerate(texts)]
+        groups = list(tree.groups())
+        assert max(len(level) for level in tree.levels) < E.FANOUT
+        assert {own[0].digest for own in groups} == {E.sha256(t) for t in texts}
+        assert len(groups) == len(set(texts))
+        for own in groups:
+            mine = [k for k, t in enumerate(texts) if E.sha256(t) == own[0].digest]
+            assert (own[0].doc_id, sum(e.n_rows for e in own)) == (min(mine), len(mine))
+            assert {e.entry for e in own} == {found[k] for k in mine}
+            assert len(own) == 1 or own[0].digest in tree.met
+    blind = E.Tree(1)
+    blind.runs = lambda: []  # no filter is asked: nothing would be brought together
+    for k in range(2):
+        blind.add(k, 1, k, E.sha256(b"x"), b"x")
+    assert not blind.met
 
 
 LINES = [
@@ -98,6 +126,22 @@ def test_runs_compact(spark):
     assert sorted(tuple(r) for r in runs.all().select("h1", "doc_id").collect()) == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 2), (5, 3)]
 
 
+def test_null_ids_and_repeats(spark):
+    """Rows without an id are one document that ranks last, in the brute force above; here with many of them."""
+    rng = np.random.default_rng(5)
+    pool = [f"line number {k} of the pool" for k in range(30)] + ["short", ""]
+    docs = [(None if rng.random() < 0.3 else int(rng.integers(0, 40)), "\n".join(pool[int(k)] for k in rng.integers(0, len(pool), int(rng.integers(0, 9))))) for _ in range(150)]
+    docs.append((2**63 - 1, pool[0] + "\nthe last id's own line"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in L.line_dedup(df).collect()), key=str) == lines_brute(docs)
+
+
+def test_documents_of_many_lines(spark, monkeypatch):
+    monkeypatch.setattr(L, "LOOKUPS", 0)
+    df = spark.createDataFrame(LINES, "doc_id long, text string")
+    assert sorted((tuple(r) for r in L.line_dedup(df).collect()), key=str) == lines_brute(LINES)
+
+
 def simhash_brute(t):
     words = re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate({k: k + 32 for k in range(65, 91)}))
     if not words:
@@ -141,7 +185,7 @@ def components_brute(fps, distance=3):
     return [root(k) for k in range(len(fps))]
 
 
-@pytest.mark.parametrize("bucket_rows", [2, 10_000])
+@pytest.mark.parametrize("bucket_rows", [2, 8, 10_000])
 def test_links_keep_all_components(spark, bucket_rows):
     fps = planted()
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
@@ -179,3 +223,46 @@ def test_components_of_documents(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in S.simhash_components(rows).collect()), key=str)
     assert got == sorted([(3, 2), (2, 2), (None, 2), (5, 5), (9, 5), (8, 8), (8, 8), (None, None)], key=str)
     assert S.simhash_components(rows.limit(0)).count() == 0
+
+
+def shingle_sets(texts, n=5):
+    return [{" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} for w in (t.lower().split() for t in texts)]
+
+
+@pytest.mark.parametrize("bucket_rows", [4, 4096])
+def test_near_duplicates_against_brute_force(spark, bucket_rows):
+    """Pairs of 0.85 or more are in one component, and no component joins what is far apart."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(25):
+        base = [f"w{k}" for k in rng.integers(0, 5000, int(rng.integers(60, 300)))]
+        for _ in range(int(rng.integers(1, 6))):
+            own = list(base)
+            for at in rng.integers(0, len(own), int(rng.integers(0, 4))):
+                own[int(at)] = f"x{int(rng.integers(0, 5000))}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "doc_id long, text string, fp int, node int").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs, bucket_rows=bucket_rows).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    sets = shingle_sets(texts)
+    similar = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    for i in range(len(texts)):
+        for j in range(i):
+            if similar(i, j) >= 0.85:
+                assert got[i] == got[j]
+            elif got[i] == got[j]:
+                assert similar(i, j) > 0
+    odd = spark.createDataFrame([(3, None), (None, ""), (5, " "), (7, "a b"), (7, "A b"), (None, "c d e f g h")], "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["component_id"]) for r in S.near_duplicates(odd).collect()), key=str)
+    assert found == sorted([(3, 3), (None, 3), (5, 3), (7, 7), (7, 7), (None, None)], key=str)
+    assert S.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_fingerprint_words_and_bits():
+    texts = ["", "a b c d e f g", "x " * 3000]
+    one, many = S.fingerprints(texts, 3, 1), S.fingerprints(texts, 3, 8)
+    assert (one[:, 0] == many[:, 0]).all()
+    assert [int(x) for x in one[:, 0]] == [simhash_brute(t) for t in texts]
+    assert len({tuple(row) for row in many.tolist()}) == 3
+    assert len(set(many[1].tolist())) == 8
+    assert (S.differing_bits(1.0, 512), S.differing_bits(0.8, 512)) == (0, 77)

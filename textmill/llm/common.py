@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.functions.storage import checkpoint, checkpoint_folder, remove
+
+__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "checkpoint", "small", "table", "text_or_empty", "without_ids", "written"]
+
 #: Rows of a key list that may be broadcast: at 16 bytes a key this is 8 MB.
 BROADCAST_ROWS = 500_000
 
@@ -18,16 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the cluster's shared folder, deleted when Python ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    atexit.register(remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(keys: DataFrame, rows: int | None = None) -> DataFrame:

@@ -1,13 +1,20 @@
 """Exact deduplication over a log-structured merge index of text digests.
 
-Level 0 is made where the documents are read: each task holds a memtable from digest to
-the best row seen so far, and flushes it as a run sorted by digest, with a Bloom filter,
-whenever it holds ``memtable_bytes`` of text. A flushed run has one entry for each digest,
-so a text that fills a third of the input becomes one entry for each run, not one for
-each row. Compaction merges the runs by digest and keeps the entry with the longest
-original text, then the smallest identifier. Entries that met another entry (hits) get
-their bytes compared with those of the entry kept; entries whose bytes differ (a digest
-collision) are compacted again with their whole bytes as the key.
+Each task that reads documents keeps a log-structured tree. A memtable maps a text's digest
+to the best row seen so far; when it holds ``memtable_bytes`` of text it is flushed as a run
+sorted by digest, with a Bloom filter. A text that the memtable doesn't hold is looked for in
+the runs: where all filters exclude its digest it is new, only where one doesn't is the run
+searched. What is found there is a hit; its bytes are no longer at hand, so it becomes an entry
+of its own, to be verified. When ``FANOUT`` runs have been flushed they are compacted to one of
+the next level, and at its end a task compacts all its runs, so that it gives one representative
+for each digest, however often the text came; the hits that the runs hold besides are set
+apart as its members.
+
+The representatives of all tasks are compacted by digest: the longest original text stays, then
+the smallest identifier. The texts of members and of representatives that met others are read
+again and their bytes compared with those of the entry kept; entries whose bytes differ (a
+digest collision) are compacted again with their whole bytes as the key. What the filters
+excluded and no other task holds is never compared.
 
 Only digests are shuffled, and the bytes of hits; never the texts of all documents.
 """
@@ -15,7 +22,11 @@ Only digests are shuffled, and the bytes of hits; never the texts of all documen
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from heapq import merge
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +42,14 @@ MEMTABLE_BYTES = 48 << 20
 #: Entries of a group that one verification task compares with a copy of the kept text.
 VERIFY_CHUNK = 64
 FILTER_BITS_PER_KEY = 10
+#: Runs of a level that are compacted to one of the next.
+FANOUT = 4
+#: Entries of a task's tree, after which it gives out what it has and begins another.
+TREE_ENTRIES = 1_000_000
 
-_LOG = "kind int, uid long, doc_id long, n_cp int, digest binary, entry long, n_rows long, variant int"
+#: Kinds: 0 a row with its entry, 1 a representative, 2 a member of a representative. ``n_rows``
+#: are the rows of the entry, ``n_all`` those of a representative with its members.
+_LOG = "kind int, uid long, doc_id long, n_cp int, digest binary, entry long, n_rows long, rep long, n_all long"
 
 
 def normalise(raw: bytes) -> bytes:
@@ -60,90 +77,150 @@ class BloomFilter:
         return bool(self.set[self._probes(digest)].all())
 
 
+@dataclass
+class Entry:
+    """The rows of one text that met in a memtable, as their best row."""
+
+    uid: int
+    n_cp: int
+    doc_id: int | None
+    digest: bytes
+    raw: bytes | None  # until the memtable is flushed
+    entry: int
+    n_rows: int = 1
+
+    def order(self) -> tuple:
+        return (-self.n_cp, self.doc_id is None, self.doc_id or 0, self.uid)
+
+    def add(self, uid: int, n_cp: int, doc_id: int | None) -> None:
+        self.n_rows += 1
+        if (-n_cp, doc_id is None, doc_id or 0, uid) < self.order():
+            self.uid, self.n_cp, self.doc_id = uid, n_cp, doc_id
+
+
 class SortedRun:
-    """Digests of one flush in order, their filter, and how many variants each has had."""
+    """Entries in the order of their digests, best first, and a filter of the digests."""
 
-    def __init__(self, digests: list[bytes]):
-        self.digests = sorted(digests)
+    def __init__(self, entries: Iterable[Entry]):
+        self.entries = list(entries)
+        self.digests = [e.digest for e in self.entries]
         self.filter = BloomFilter(self.digests)
 
     def __contains__(self, digest: bytes) -> bool:
         if digest not in self.filter:
             return False
-        from bisect import bisect_left
-
         k = bisect_left(self.digests, digest)
         return k < len(self.digests) and self.digests[k] == digest
 
 
+def compacted(runs: list[SortedRun]) -> SortedRun:
+    """One run of several, merged by digest."""
+    return SortedRun(merge(*(r.entries for r in runs), key=lambda e: (e.digest, e.order())))
+
+
+class Tree:
+    """A task's memtable and levels of runs."""
+
+    def __init__(self, memtable_bytes: int):
+        self.memtable_bytes, self.held = memtable_bytes, 0
+        self.memtable: dict[bytes, list[Entry]] = {}
+        self.levels: list[list[SortedRun]] = [[]]
+        self.size = 0
+        self.met: set[bytes] = set()
+
+    def runs(self) -> list[SortedRun]:
+        return [run for level in self.levels for run in level]
+
+    def add(self, uid: int, n_cp: int, doc_id: int | None, digest: bytes, raw: bytes) -> int:
+        """The number of the entry that the row belongs to, its own or an earlier one's."""
+        variants = self.memtable.get(digest)
+        for entry in variants or ():
+            if entry.raw == raw:
+                entry.add(uid, n_cp, doc_id)
+                return entry.entry
+        # A new entry: the filters of the runs decide whether there is anything to look for.
+        if variants or any(digest in run for run in self.runs()):
+            self.met.add(digest)
+        self.memtable.setdefault(digest, []).append(Entry(uid, n_cp, doc_id, digest, raw, uid))
+        self.size += 1
+        self.held += len(raw) + 200
+        if self.held >= self.memtable_bytes:
+            self.flush()
+        return uid
+
+    def flush(self) -> None:
+        if self.memtable:
+            entries = sorted((e for own in self.memtable.values() for e in own), key=lambda e: (e.digest, e.order()))
+            for e in entries:
+                e.raw = None
+            self.levels[0].append(SortedRun(entries))
+        self.memtable, self.held = {}, 0
+        for k, level in enumerate(self.levels):
+            if len(level) >= FANOUT:
+                if k + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[k + 1].append(compacted(level))
+                self.levels[k] = []
+
+    def groups(self) -> Iterator[list[Entry]]:
+        """Entries by digest, best first. Those that nothing met are alone as they are; hits are
+        brought together by the order of the compacted run."""
+        self.flush()
+        for hit, own in groupby(compacted(self.runs()).entries, key=lambda e: e.digest if e.digest in self.met else None):
+            if hit is None:
+                yield from ([e] for e in own)
+            else:
+                yield list(own)
+
+
 def _build_log(digest: Callable[[bytes], bytes], memtable_bytes: int):
-    def order(entry):
-        return (-entry[1], entry[2] is None, entry[2] or 0, entry[3])
+    types = {"kind": pa.int32(), "uid": pa.int64(), "doc_id": pa.int64(), "n_cp": pa.int32(), "digest": pa.binary(), "entry": pa.int64(), "n_rows": pa.int64(), "rep": pa.int64(), "n_all": pa.int64()}
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*rows, strict=True) if rows else [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], names=list(types))
+
+    def given_out(tree: Tree) -> Iterator[pa.RecordBatch]:
+        out = []
+        for first, *others in tree.groups():
+            n = first.n_rows + sum(e.n_rows for e in others)
+            out.append((1, first.uid, first.doc_id, first.n_cp, first.digest, first.entry, first.n_rows, first.entry, n))
+            out += [(2, e.uid, e.doc_id, e.n_cp, e.digest, e.entry, e.n_rows, first.entry, None) for e in others]
+            if len(out) >= 20_000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memtable: dict[bytes, list[list]] = {}
-        held, runs, out = 0, [], []
-
-        def flush():
-            nonlocal held
-            for d in sorted(memtable):
-                # A digest that an earlier run of this task holds gets another variant number,
-                # so that the two entries are seen as hits even if only this task has them.
-                seen = sum(d in r for r in runs)
-                for k, (entry, n_cp, doc_id, uid, n, _) in enumerate(memtable[d]):
-                    out.append((1, uid, doc_id, n_cp, d, entry, n, seen + k))
-            if memtable:
-                runs.append(SortedRun(list(memtable)))
-            memtable.clear()
-            held = 0
-
-        def emit():
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            names = ("kind", "uid", "doc_id", "n_cp", "digest", "entry", "n_rows", "variant")
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=list(names))
-
+        tree = Tree(memtable_bytes)
         for batch in batches:
             uids, ids, sizes = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            texts = batch.column(3).cast(pa.large_binary())
-            for uid, doc_id, n_cp, text in zip(uids, ids, sizes, texts, strict=True):
+            out = []
+            for uid, doc_id, n_cp, text in zip(uids, ids, sizes, batch.column(3).cast(pa.large_binary()), strict=True):
                 raw = normalise(text.as_py())
                 d = digest(raw)
-                variants = memtable.setdefault(d, [])
-                for entry in variants:
-                    if entry[5] == raw:
-                        entry[4] += 1
-                        if (-n_cp, doc_id is None, doc_id or 0, uid) < order(entry):
-                            entry[1:4] = n_cp, doc_id, uid
-                        break
-                else:
-                    entry = [uid, n_cp, doc_id, uid, 1, raw]
-                    variants.append(entry)
-                    held += len(raw) + 200
-                out.append((0, uid, doc_id, n_cp, d, entry[0], 1, 0))
-            if held >= memtable_bytes:
-                flush()
-            yield emit()
-        flush()
-        yield emit()
+                out.append((0, uid, doc_id, n_cp, d, tree.add(uid, n_cp, doc_id, d, raw), 1, None, None))
+            yield batch_of(out)
+            if tree.size >= TREE_ENTRIES:
+                yield from given_out(tree)
+                tree = Tree(memtable_bytes)
+        yield from given_out(tree)
 
     return run
 
 
-def _compact(entries: DataFrame, key: str) -> DataFrame:
-    """Merge the runs: for each key the entry kept, the rows and the entries of its group.
+def _compact(entries: DataFrame, key: str, n: str) -> DataFrame:
+    """Merge the runs of all tasks: for each key the entry kept, the rows and the entries of its group.
 
-    An entry stands for all rows of its run, so a key has at most one entry a run here,
-    and the window holds no more than that.
+    A representative stands for all rows of its task with its digest, so the window holds a row
+    a task at most.
     """
     group = Window.partitionBy(key)
     best = group.orderBy(F.col("n_cp").desc(), F.col("doc_id").asc_nulls_last(), F.col("uid"))
     return entries.select(
         "entry", "digest", "doc_id", "uid", *([key] if key != "digest" else []),
         F.first(F.struct("doc_id", "uid", "entry")).over(best).alias("keep"),
-        F.row_number().over(best).alias("rank"),
-        F.sum("n_rows").over(group).alias("group_size"),
+        F.sum(n).over(group).alias("group_size"),
         F.count("*").over(group).alias("n_entries"),
     )
 
@@ -206,15 +283,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     log = checkpoint(source.mapInArrow(_build_log(digest, memtable_bytes), _LOG))
     rows = log.where("kind = 0").select("uid", "doc_id", "entry", "digest")
-    entries = log.where("kind = 1").select("entry", "uid", "doc_id", "n_cp", "digest", "n_rows")
-    index = checkpoint(_compact(entries, "digest"))
-    hits = index.where("n_entries > 1")
+    index = checkpoint(_compact(log.where("kind = 1"), "digest", "n_all"))
+    members = log.where("kind = 2").join(index.select(F.col("entry").alias("rep"), "keep", "group_size"), "rep")
+    members = members.select("entry", "digest", "doc_id", "uid", "keep", "group_size")
+    led = log.where("kind = 2").select(F.col("rep").alias("entry")).distinct()
+    met = index.where("n_entries > 1").unionByName(index.where("n_entries = 1").join(led, "entry", "left_semi")).drop("n_entries").unionByName(members)
+    hits = checkpoint(met.withColumn("rank", F.row_number().over(Window.partitionBy("keep.entry").orderBy("entry"))))
+    index = index.drop("n_entries").unionByName(members)
     texts = _hit_texts(docs, hits, id_col, text_col, digest)
     bad = checkpoint(_mismatches(hits, texts))
     if not bad.isEmpty():
         wrong = hits.join(bad, "entry", "left_semi").select("digest").distinct()
-        again = entries.join(small(wrong), "digest", "left_semi").join(texts, "entry")
-        index = index.join(small(wrong), "digest", "left_anti").unionByName(_compact(again, "raw").drop("raw"))
+        again = log.where("kind > 0").join(small(wrong), "digest", "left_semi").join(texts, "entry")
+        index = index.join(small(wrong), "digest", "left_anti").unionByName(_compact(again, "raw", "n_rows").drop("raw", "n_entries"))
     index = index.select("entry", F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid"), "group_size")
     return rows.join(index, "entry").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "digest")
 

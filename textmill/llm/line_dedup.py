@@ -1,14 +1,17 @@
 """Line deduplication over levelled sorted runs of line hashes, with DataFrame functions only.
 
-``LineRuns`` is the index: a run maps the hash of a line to the smallest document that
-holds it, partitioned and sorted by hash (in as many partitions as its size asks for). A new batch is reduced to its own such map,
-merge-anti-joined with the runs there are, and what is left becomes a run of level 0.
-When a level holds ``fanout`` runs they are compacted to one run of the next. Batches must
-come in the order of their documents' ids, so the first holder of a line is the smallest.
-
-Nothing here groups the rows of a line: the runs hold a hash once (partial aggregation
-first), and the last step joins on document and hash, so a line that is in every document
-costs no task more than any other.
+Documents are read once for their lines' hashes, which are reduced to the smallest document of
+each in its batch; batches are ranges of ids between quantiles, so they are about equal.
+``LineRuns`` is the index: a run maps the hash of a line to the smallest document that holds
+it, partitioned and sorted by hash (in as many partitions as its size asks for). Each new batch
+is merge-anti-joined with the runs there are, and what is left becomes a run of level 0. When a
+level holds ``fanout`` runs they are compacted to one run of the next, so that later batches
+meet few runs. Batches come in the order of their documents' ids, so the first holder of a line
+is the smallest.
+
+Nothing here groups the rows of a line: the runs hold a hash once (partial aggregation first),
+and the last step joins each document with the hashes that it keeps, so a line that is in every
+document costs no task more than any other.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import ASCII_SPACE, checkpoint, table
+from textmill.llm.common import ASCII_SPACE, checkpoint, table, written
 
 MIN_CODE_POINTS = 10
-BATCHES = 4
-FANOUT = 4
+BATCHES = 6
+FANOUT = 3
+#: Lines times dropped hashes of a document up to which it is rebuilt on its own row.
+LOOKUPS = 4_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,17 +41,21 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(key) == F.char_length(key), F.lower(key)).otherwise(F.translate(key, _UPPER, _LOWER))
 
 
+def _first_hash(line: Column, min_code_points: int) -> Column:
+    key = line_key(line)
+    return F.when(F.char_length(key) >= min_code_points, F.xxhash64(key))
+
+
 def _hashes(key: Column, min_code_points: int) -> tuple[Column, Column]:
     """128 bits: XXH64 under two seeds; null for keys that are too short to count."""
     long_enough = F.char_length(key) >= min_code_points
     return F.when(long_enough, F.xxhash64(key)).alias("h1"), F.when(long_enough, F.xxhash64(F.lit(1), key)).alias("h2")
 
 
-def split_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:
-    """(doc_id, uid, pos, line, h1, h2) for each line of ``docs(doc_id, uid, text)``."""
-    lines = docs.select("doc_id", "uid", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    keyed = lines.withColumn("key", line_key(F.col("line")))
-    return keyed.select("doc_id", "uid", "pos", "line", *_hashes(F.col("key"), min_code_points))
+def line_hashes(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:
+    """(doc_id, uid, pos, h1, h2) for each line of ``docs(doc_id, uid, text)``."""
+    keyed = docs.select("doc_id", "uid", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
+    return keyed.select("doc_id", "uid", "pos", *_hashes(F.col("key"), min_code_points))
 
 
 class LineRuns:
@@ -63,9 +72,9 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Anti-join the batch ``lines(doc_id, h1, h2)`` with the runs; its new hashes become a run."""
-        own = lines.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-        fresh = reduce(lambda new, run: new.join(run, ["h1", "h2"], "left_anti"), self.runs(), own)
+        """Anti-join the batch ``lines(h1, h2, doc_id)``, which has a hash once, with the runs; its
+        new hashes become a run."""
+        fresh = reduce(lambda new, run: new.join(run, ["h1", "h2"], "left_anti"), self.runs(), lines)
         run = self._run(fresh.select("h1", "h2", "doc_id"))
         self.levels[0].append(run)
         self._compact()
@@ -93,37 +102,74 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document when lines are compared, and each gives its own row; null ids rank last, as
     one document; an empty table gives an empty result; other columns aren't read.
     """
-    last = F.lit(2**63 - 1)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high = source.where(F.col("doc_id") < last).agg(F.min("doc_id"), F.max("doc_id")).first()
-    step = 1 if low is None else max(1, -(-(high - low + 1) // batches))
-    cuts = [] if low is None else [low + step * k for k in range(1, batches) if low + step * k <= high]
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    with_id = source.where(F.col("doc_id").isNotNull())
+    cuts = with_id.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5], 10_000)).first()[0] or []
+    batch = reduce(lambda n, cut: n + F.when(F.col("doc_id") > cut, 1).otherwise(0), sorted(set(cuts)) if batches > 1 else [], F.lit(0))
+    lines = line_hashes(with_id.withColumn("uid", F.lit(0)), min_code_points).where(F.col("h1").isNotNull())
+    lines = lines.groupBy(batch.alias("batch"), "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    lines = written(lines, "lines", by="batch")
     index = LineRuns(fanout)
-    for begin, end in zip([None, *cuts], [*cuts, None], strict=True):
-        part = source if begin is None else source.where(F.col("doc_id") >= begin)
-        part = part if end is None else part.where(F.col("doc_id") < end)
-        index.add(split_lines(part.withColumn("uid", F.lit(0)), min_code_points).select("doc_id", "h1", "h2"))
-
-    # One shuffle by document brings its text and the hashes it keeps together; the lines are split after it.
-    nothing = F.lit(None)
-    texts = source.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text", nothing.cast("long").alias("k1"), nothing.cast("long").alias("k2"))
-    kept = index.all().select("doc_id", nothing.cast("long").alias("uid"), nothing.cast("string").alias("text"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-    both = texts.unionByName(kept).repartition("doc_id")
-    lines = both.select("doc_id", "uid", "k1", "k2", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
-    h1, h2 = _hashes(line_key(F.col("line")), min_code_points)
-    lines = lines.select("doc_id", "uid", "pos", "line", F.coalesce("k1", h1).alias("h1"), F.coalesce("k2", h2).alias("h2"))
-    same = Window.partitionBy("doc_id", "h1", "h2")
-    marked = lines.withColumn("keep", F.col("h1").isNull() | F.max(F.col("pos").isNull()).over(same)).where(F.col("pos").isNotNull())
-    whole = marked.groupBy("doc_id", "uid").agg(
-        F.count("*").alias("n_lines"), F.count_if(~F.col("keep")).alias("n_dropped"),
-        F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct("pos", "line")))).alias("kept"),
+    for k in range(len(set(cuts)) + 1 if batches > 1 else 1):
+        index.add(lines.where(F.col("batch") == k).select("h1", "h2", "doc_id"))
+
+    # One join by document brings its text and the hashes it keeps together. Within a document
+    # the first hash alone tells lines apart.
+    kept = index.all().groupBy("doc_id").agg(F.collect_list("h1").alias("own"))
+    rows = with_id.join(kept, "doc_id", "left").select("doc_id", "text", F.coalesce("own", F.array().cast("array<long>")).alias("own"))
+    whole = _rebuild(rows, min_code_points)
+    without_id = source.where(F.col("doc_id").isNull())
+    return whole if without_id.isEmpty() else whole.unionByName(_without_id(without_id, index.all(), min_code_points))
+
+
+def _rebuild(rows: DataFrame, min_code_points: int) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text) of ``rows(doc_id, text, own)`` with the hashes kept.
+
+    Sets of hashes are compared first: most documents drop nothing and keep their text as it
+    is. Where a document has so many lines and drops so many that looking each up is long, its
+    lines are dealt out as rows.
+    """
+    hashes = F.transform(F.split("text", "\n", -1), lambda line: _first_hash(line, min_code_points))
+    found = rows.select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"), F.array_except(hashes, F.concat("own", F.array(F.lit(None).cast("long")))).alias("gone"))
+    gone = F.size("gone")
+    is_kept = lambda x: ~F.coalesce(F.array_contains("gone", _first_hash(x, min_code_points)), F.lit(False))
+    large = gone.cast("long") * F.col("n_lines") > LOOKUPS
+    near = found.where(~large).withColumn("kept", F.when(gone > 0, F.filter(F.split("text", "\n", -1), is_kept)))
+    near = near.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.col("n_lines") - F.size(F.when(gone > 0, F.col("kept")).otherwise(F.split("text", "\n", -1))), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(gone > 0, F.array_join("kept", "\n")).otherwise(F.col("text")).alias("text"),
     )
-    return whole.select(
-        F.when(F.col("doc_id") != last, F.col("doc_id")).alias("doc_id"), "n_lines", "n_dropped",
-        F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("text"),
+    far = checkpoint(found.where(large).select("doc_id", "text", "gone").withColumn("uid", F.monotonically_increasing_id()))
+    if far.isEmpty():
+        return near
+    dropped = far.select("uid", F.explode("gone").alias("h1")).distinct()
+    places = line_hashes(far, min_code_points).join(dropped, ["uid", "h1"], "left_semi")
+    return near.unionByName(_without_places(far.drop("gone"), places))
+
+
+def _without_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text) of ``docs(doc_id, uid, text)`` without lines ``places(uid, pos)``.
+
+    The places of a document become a sorted list, which is walked along with the lines.
+    """
+    gone = places.groupBy("uid").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
+    both = docs.join(gone, "uid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    lines = both.withColumn("lines", F.split("text", "\n", -1)).withColumn("edges", F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("lines"))))
+    # Runs of lines between dropped ones are slices.
+    runs = F.transform(F.slice("edges", 1, F.size("gone") + 1), lambda a, k: F.slice("lines", a + 2, F.get("edges", k + 1) - a - 1))
+    return lines.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.array_join(F.flatten(runs), "\n").alias("text"),
     )
 
 
+def _without_id(docs: DataFrame, index: DataFrame, min_code_points: int) -> DataFrame:
+    """The same for rows without an id, which rank last and as one document: their lines go where
+    a document with an id holds them. Found by hash, so that no task gets all those rows."""
+    own = checkpoint(docs.withColumn("uid", F.monotonically_increasing_id()))
+    places = line_hashes(own, min_code_points).where(F.col("h1").isNotNull()).join(index.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    return _without_places(own, places)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))

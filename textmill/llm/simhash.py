@@ -1,10 +1,22 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
 A fingerprint is made of each text where it is read, and equal fingerprints become one
-node. Nodes within the distance share at least one of the ``distance + 1`` blocks of bits
-whole, so each node is sent to the bucket of each of its blocks. A bucket with more than
-``bucket_rows`` nodes is split by the blocks of the bits its key doesn't fix, again and
-again; pairs within the distance share one of those as well, so none is lost.
+node. Two searches use the index:
+
+``simhash_components`` links fingerprints of 64 bits at a few differing bits, all of them:
+nodes within the distance share at least one of the ``distance + 1`` blocks of bits whole, so
+each node is sent to the bucket of each of its blocks. A bucket with more than ``bucket_rows``
+nodes is split by the blocks of the bits its key doesn't fix; pairs within the distance share
+one of those as well, so none is lost.
+
+``near_duplicates`` links texts by the similarity of their shingles. Similar sets differ in too
+many bits for blocks that all pairs share, so its fingerprints have eight words of 64 bits, each
+node is sent to the buckets of their 16-bit blocks, and what meets there is compared by the
+word, then by all bits: a pair of similarity 0.8 misses all of the 32 buckets at 1 in 11, one
+of 0.85 at 1 in 45.
+
+In both, a bucket that is still too large is dealt out as pairs of its chunks, so that no task
+gets more than twice ``bucket_rows`` and every pair of it is compared.
 
 Within a task the nodes of a bucket are sorted by the Gray rank of their fingerprints,
 which puts fingerprints with long common bit patterns side by side. Groups of eight
@@ -19,6 +31,8 @@ Components come from alternating large-star and small-star steps over those link
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +47,10 @@ DISTANCE = 3
 SHINGLE_WORDS = 3
 BUCKET_ROWS = 4096
 FANOUT = 8
-#: A bucket is split this often at most. By then its key fixes so many of the 64 bits that
-#: the distinct fingerprints in it are few whatever the input.
-MAX_SPLITS = 4
+#: A bucket is split by blocks this often; one that is still too large, into pairs of chunks.
+MAX_SPLITS = 3
+#: Shingles whose hashes are held at once.
+SHINGLES_AT_ONCE = 1 << 17
 #: Pairs of a fingerprint and a group that are compared at once.
 FRONTIER = 1 << 20
 
@@ -43,11 +58,11 @@ FRONTIER = 1 << 20
 # ------------------------------------------------------------------ fingerprints
 
 
-def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
-    """The SimHash of a text: a bit is 1 if it is set in over half of its shingles' XXH64."""
+def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of a text, repeats included; fewer words are one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     end = np.cumsum(size + 1) - 1
@@ -55,37 +70,69 @@ def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
     n = max(1, len(words) - words_in_shingle + 1)
     last = end[words_in_shingle - 1 :] if len(words) >= words_in_shingle else end[-1:]
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.fromiter([hash_of(joined[a:b], 42) for a, b in zip(begin[:n].tolist(), last.tolist(), strict=True)], dtype=np.uint64, count=n)
-    counts = _bit_counts(hashes)
-    return int((np.uint64(1) << np.flatnonzero(2 * counts > n).astype(np.uint64)).sum(dtype=np.uint64))
+    return np.fromiter([hash_of(joined[a:b], 42) for a, b in zip(begin[:n].tolist(), last.tolist(), strict=True)], dtype=np.uint64, count=n)
 
 
 _SPREAD = np.array([sum(((byte >> k) & 1) << (8 * k) for k in range(8)) for byte in range(256)], dtype=np.uint64)
 
 
-def _bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of ``hashes`` have each of the 64 bits set: eight counters a word, 255 at a time."""
-    raw = hashes.view(np.uint8).reshape(-1, 8)
-    counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(raw), 255):
-        sums = _SPREAD[raw[at : at + 255]].sum(axis=0, dtype=np.uint64)
-        counts += sums.view(np.uint8)
-    return counts
+def _bit_counts(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(runs, 64): how many hashes of each run of ``n`` (over 0) have each bit set; eight counters
+    a word, over at most 255 hashes at a time."""
+    parts = -(-n // 255)
+    place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(np.cumsum(n) - n, parts) + 255 * place
+    sums = np.add.reduceat(_SPREAD[hashes.view(np.uint8).reshape(-1, 8)], begin, axis=0)
+    return np.add.reduceat(sums.view(np.uint8).reshape(-1, BITS).astype(np.int64), np.cumsum(parts) - parts, axis=0)
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash made of each hash: itself, then the finaliser of splitmix64 after a step."""
+    if not k:
+        return hashes
+    # The step and multipliers of splitmix64.
+    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprints(texts: list[str | None], words_in_shingle: int = SHINGLE_WORDS, n_words: int = 1) -> np.ndarray:
+    """(texts, n_words) SimHashes: a bit is 1 if it is set in over half of the shingles' hashes."""
+    out = np.zeros((len(texts), n_words), dtype=np.uint64)
+    begin = 0
+    while begin < len(texts):
+        held, end, total = [], begin, 0
+        while end < len(texts) and (not held or total < SHINGLES_AT_ONCE):
+            held.append(shingle_hashes(texts[end], words_in_shingle))
+            total += len(held[-1])
+            end += 1
+        n = np.array([len(h) for h in held])
+        rows = np.flatnonzero(n)
+        hashes = np.concatenate(held)
+        for k in range(n_words if len(rows) else 0):
+            ones = 2 * _bit_counts(_mixed(hashes, k), n[rows]) > n[rows, None]
+            out[begin + rows, k] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        begin = end
+    return out
 
 
 def _signed(value: np.ndarray) -> np.ndarray:
     return value.astype(np.uint64).view(np.int64)
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row of ``docs``; fp holds the 64 bits as a signed long."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE_WORDS, n_words: int = 1) -> DataFrame:
+    """(doc_id, fp) for each row of ``docs``; fp holds 64 bits as a signed long, or several words
+    of them as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(found))], names=["doc_id", "fp"])
+            found = fingerprints(batch.column(1).to_pylist(), words_in_shingle, n_words)
+            fp = pa.array(_signed(found[:, 0])) if n_words == 1 else pa.array([row.tobytes() for row in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = f"doc_id long, fp {'long' if n_words == 1 else 'binary'}"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------------ the index
@@ -189,46 +236,66 @@ class Forest:
         return found
 
 
+def _links(fps: np.ndarray, keys: np.ndarray, distance: int, whole: np.ndarray | None = None, bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of a spanning forest of the pairs within the distance in the buckets ``keys``;
+    with ``whole`` (rows, words) only of pairs that differ in ``bits`` bits of all at most."""
+    order = np.lexsort((gray_rank(fps), keys))
+    index = GrayIndex(fps[order], keys[order])
+    forest = Forest(len(fps))
+    a, b = [], []
+    for i, j in index.links(fps[order], _top_of(index, len(fps)), distance):
+        if len(i) > 1000:
+            # Of a dense group most pairs are joined already.
+            roots = forest.roots()
+            new = roots[i] != roots[j]
+            i, j = i[new], j[new]
+        if whole is not None:
+            near = np.bitwise_count(whole[order[i]] ^ whole[order[j]]).sum(axis=1) <= bits
+            i, j = i[near], j[near]
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            if forest.join(x, y):
+                a.append(x)
+                b.append(y)
+    return order[np.array(a, dtype=np.int64)], order[np.array(b, dtype=np.int64)]
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by their first column, in tables that part no bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        # The last bucket may go on in the next batch.
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last or held and held[-1].column(0)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _bucket_links(distance: int):
     """Links of the buckets in a task; its rows come sorted by bucket."""
 
-    def links(fps: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((gray_rank(fps), keys))
-        fps, keys = fps[order], keys[order]
-        index = GrayIndex(fps, keys)
-        forest = Forest(len(fps))
-        a, b = [], []
-        for i, j in index.links(fps, _top_of(index, len(fps)), distance):
-            if len(i) > 1000:
-                # Of a dense group most pairs are joined already.
-                roots = forest.roots()
-                new = roots[i] != roots[j]
-                i, j = i[new], j[new]
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if forest.join(x, y):
-                    a.append(x)
-                    b.append(y)
-        return fps[np.array(a, dtype=np.int64)], fps[np.array(b, dtype=np.int64)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_fps, held_keys = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        for rows in _whole_buckets(batches):
+            fps = rows.column(1).to_numpy().view(np.uint64)
+            i, j = _links(fps, rows.column(0).to_numpy(), distance)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(fps[i])), pa.array(_signed(fps[j]))], names=["a", "b"])
 
-        def emit(fps, keys):
-            a, b = links(fps, keys)
-            return pa.RecordBatch.from_arrays([pa.array(_signed(a)), pa.array(_signed(b))], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            held_keys = np.r_[held_keys, batch.column(0).to_numpy()]
-            held_fps = np.r_[held_fps, batch.column(1).to_numpy().view(np.uint64)]
-            # The last bucket may go on in the next batch.
-            whole = int(np.searchsorted(held_keys, held_keys[-1])) if len(held_keys) else 0
-            if whole:
-                yield emit(held_fps[:whole], held_keys[:whole])
-                held_fps, held_keys = held_fps[whole:], held_keys[whole:]
-        if len(held_keys):
-            yield emit(held_fps, held_keys)
 
-    return run
+def _chunk_pairs(rows: DataFrame, sizes: DataFrame, bucket_rows: int, by: str) -> DataFrame:
+    """``rows`` of the buckets in ``sizes(key, count)``, dealt to the pairs of the chunks of their
+    bucket: each chunk has about ``bucket_rows``, and each two rows of a bucket meet in a pair."""
+    chunks = F.ceil(F.col("count") / bucket_rows).cast("int")
+    own = rows.join(sizes.select("key", chunks.alias("_n")), "key").withColumn("_own", F.pmod(F.xxhash64(by, F.lit(7)), F.col("_n")))
+    pairs = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    key = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return pairs.withColumn("key", key).drop("_n", "_own", "_other")
 
 
 def _blocks(free: int, distance: int) -> list[int]:
@@ -242,39 +309,40 @@ def _long(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _by_paths(level: DataFrame, masks: list[list[tuple[int, int]]], depth: int) -> DataFrame:
+    """(fp, path, key): each fingerprint of ``level(fp, from)`` in a bucket for each (path, mask)
+    below the path that it comes from."""
+    held = lambda path, mask: F.struct(F.lit(path).alias("path"), F.col("fp").bitwiseAND(F.lit(_long(mask))).alias("bits"))
+    options = F.array(*[F.array(*[held(path, mask) for path, mask in below]) for below in masks])
+    dealt = level.select("fp", F.explode(F.element_at(options, F.col("from") + 1)).alias("own"))
+    return dealt.select("fp", "own.path", F.xxhash64(F.lit(depth), "own.path", "own.bits").alias("key"))
+
+
 def candidate_buckets(nodes: DataFrame, distance: int, bucket_rows: int) -> DataFrame:
     """(key, fp): each fingerprint of ``nodes(fp)`` with the buckets it is compared in.
 
     The key is a hash of the path of blocks and of the fingerprint's bits in them; if two
     buckets share a key, more is compared, nothing less.
     """
-    paths = [((k,), mask) for k, mask in enumerate(_blocks((1 << BITS) - 1, distance))]
-    level, done = nodes, None
-    spread = None
+    fixed = [0]  # the bits that each path fixes
+    level, done = nodes.select("fp", F.lit(0).alias("from")), []
     for depth in range(MAX_SPLITS):
-        if spread is None:
-            choices = [(path, fixed) for path, fixed in paths]
-            keyed = level.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.col("fp").bitwiseAND(F.lit(_long(m))).alias("v")) for k, (_, m) in enumerate(choices)])).alias("c")).select("fp", F.col("c.path").alias("path"), F.col("c.v").alias("v"))
-        else:
-            options = F.array(*[F.array(*[F.struct(F.lit(k).alias("path"), F.col("fp").bitwiseAND(F.lit(_long(paths[k][1]))).alias("v")) for k in own]) for own in spread])
-            keyed = level.select("fp", F.explode(F.element_at(options, F.col("path") + 1)).alias("c")).select("fp", F.col("c.path").alias("path"), F.col("c.v").alias("v"))
-        keyed = keyed.withColumn("key", F.xxhash64(F.lit(depth), "path", "v"))
-        if depth == MAX_SPLITS - 1:
-            return keyed.select("key", "fp") if done is None else done.unionByName(keyed.select("key", "fp"))
-        large = checkpoint(keyed.groupBy("key").count().where(F.col("count") > bucket_rows).select("key"))
+        masks, below = [], []
+        for bits in fixed:
+            blocks = _blocks(((1 << BITS) - 1) & ~bits, distance)
+            masks.append([(len(below) + k, bits | block) for k, block in enumerate(blocks)])
+            below += [bits | block for block in blocks]
+        keyed = _by_paths(level, masks, depth)
+        large = checkpoint(keyed.groupBy("key").count().where(F.col("count") > bucket_rows))
         if large.isEmpty():
-            return keyed.select("key", "fp") if done is None else done.unionByName(keyed.select("key", "fp"))
-        keyed = checkpoint(keyed.join(large.withColumn("large", F.lit(True)), "key", "left"))
-        own = keyed.where(F.col("large").isNull()).select("key", "fp")
-        done = own if done is None else done.unionByName(own)
-        level = keyed.where("large").select("fp", "path")
-        new_paths, spread = [], []
-        for path, fixed in paths:
-            below = _blocks(((1 << BITS) - 1) & ~fixed, distance)
-            spread.append([len(new_paths) + k for k in range(len(below))])
-            new_paths += [((*path, k), fixed | mask) for k, mask in enumerate(below)]
-        paths = new_paths
-    return done
+            done.append(keyed.select("key", "fp"))
+            break
+        keyed = checkpoint(keyed)
+        done.append(keyed.join(large, "key", "left_anti").select("key", "fp"))
+        if depth == MAX_SPLITS - 1:
+            done.append(_chunk_pairs(keyed.select("key", "fp"), large, bucket_rows, "fp"))
+        fixed, level = below, keyed.join(large, "key", "left_semi").select("fp", F.col("path").alias("from"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def near_links(nodes: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -342,6 +410,63 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+# ------------------------------------------------------------------ by similarity
+
+NEAR_SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: Words of 64 bits of a fingerprint; each has four blocks of BAND_BITS bits.
+NEAR_WORDS, BAND_BITS = 8, 16
+
+
+def differing_bits(similarity: float, bits: int, deviations: float = 0.0) -> int:
+    """The bits in which fingerprints of sets of that (Jaccard) similarity differ in expectation,
+    and so many standard deviations more."""
+    p = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+    return int(bits * p + deviations * sqrt(bits * p * (1 - p)))
+
+
+def _similar(similarity: float, n_words: int):
+    """Links between nodes of a bucket; rows (key, node, band, fp) come sorted by key."""
+    in_word, in_all = differing_bits(similarity, BITS - BAND_BITS, 2.3), differing_bits(similarity, BITS * n_words, NEAR_DEVIATIONS)
+    bands = BITS // BAND_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_buckets(batches):
+            node, band = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+            whole = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint64).reshape(-1, n_words)
+            i, j = _links(whole[np.arange(len(node)), band // bands], rows.column(0).to_numpy(), in_word, whole, in_all)
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+
+    return run
+
+
+#: Standard deviations over the expected bits of the similarity at which a pair still links.
+NEAR_DEVIATIONS = 1.0
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_in_shingle: int = NEAR_SHINGLE_WORDS, similarity: float = SIMILARITY, n_words: int = NEAR_WORDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, component_id) for each row of ``docs``; component_id is the smallest doc_id
+    reachable over links between texts whose shingles have that similarity or more, as their
+    fingerprints of ``64 n_words`` bits tell it.
+
+    Defined cases as in ``simhash_components``.
+    """
+    rows = checkpoint(with_fingerprints(docs, id_col, text_col, words_in_shingle, n_words))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
+    step = BAND_BITS // 8
+    banded = nodes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(n_words * BITS // BAND_BITS - 1))).alias("band"))
+    block = F.expr(f"substring(fp, band * {step} + 1, {step})")
+    banded = banded.select(F.xxhash64("band", block).alias("key"), "node", "band", "fp")
+    large = checkpoint(banded.groupBy("key").count().where(F.col("count") > bucket_rows))
+    if not large.isEmpty():
+        banded = banded.join(large, "key", "left_anti").unionByName(_chunk_pairs(banded, large, bucket_rows, "node"))
+    links = banded.repartition("key").sortWithinPartitions("key").mapInArrow(_similar(similarity, n_words), "a long, b long").distinct()
+    found = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = checkpoint(found.select("fp", "first_id", "root"))
+    ids = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows.join(found.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
