@@ -20,7 +20,7 @@ from textmill.llm.common import checkpoint, without_ids
 from textmill.llm.exact_dedup import exact_dedup
 from textmill.llm.language_id import fit_language_model, keep_identified, remainder
 from textmill.llm.packing import pack_documents
-from textmill.llm.simhash import simhash_components
+from textmill.llm.simhash import near_duplicates
 
 #: A document goes if no language is told from it, or none with this score at least.
 MIN_SCORE = 0.3
@@ -44,8 +44,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    found = checkpoint(simhash_components(docs).select("doc_id", "component_id"))
+    """One document, that with the smallest id, of each group of near-duplicates: texts whose
+    shingles of five words have a similarity of 0.8 or more, as their fingerprints tell it."""
+    found = checkpoint(near_duplicates(docs))
     return without_ids(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
