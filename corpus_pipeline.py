@@ -11,11 +11,13 @@ equal in id and text, of which one stays.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.functions.storage import checkpoint_folder, remove
 from textmill.llm.common import checkpoint, without_ids
 from textmill.llm.exact_dedup import exact_dedup
 from textmill.llm.language_id import fit_language_model, keep_identified, remainder
@@ -68,11 +70,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that all stages together make of ``documents``."""
+    """The pieces that all stages together make of ``documents``. What a stage wrote is deleted when
+    the next has read it, what the last wrote when Python ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    checkpoint(spark.range(0))  # sets the folder where it is unset
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, folder)
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs
