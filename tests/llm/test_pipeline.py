@@ -41,6 +41,35 @@ def test_repeated_ids_keep_one_of_equal_rows(spark):
     assert [r["doc_id"] for r in corpus_pipeline.exact_dedup_stage(spark, docs, SF_DIR).collect()] == [1]
 
 
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF_DIR)
+        assert docs.columns == COLUMNS
+        assert docs.count() == 0
+    assert corpus_pipeline.packing(spark, docs, SF_DIR).count() == 0
+
+
+def test_near_copies_of_similarity_over_085_go(spark):
+    """All pairs of the stage's own rule on a table with near copies, measured against brute force."""
+    docs = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet").dropDuplicates(["text"])
+    kept = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, SF_DIR).collect()}
+    texts = {r["doc_id"]: r["text"].lower().split() for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in texts.items()}
+    where, pairs = {}, set()
+    for i, own in sets.items():
+        for s in own:
+            where.setdefault(s, []).append(i)
+    for ids in where.values():
+        if len(ids) < 50:
+            pairs |= {(a, b) for a in ids for b in ids if a < b}
+    similar = [p for p in pairs if len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) >= 0.85]
+    assert similar
+    assert not [p for p in similar if p[0] in kept and p[1] in kept]
+    clean = set(texts) - {i for p in pairs if len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) > 0.4 for i in p}
+    assert clean <= kept
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_dedup", "packing"]

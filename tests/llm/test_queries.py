@@ -11,12 +11,12 @@ import public_tokenizers
 import pytest
 
 from textmill.llm.language_id import UNKNOWN
-from textmill.llm.license_scan import TEMPLATES
+from textmill.llm.license_scan import MIN_COVERAGE, TEMPLATES, Scanner, words_of
 from textmill.llm.packing import lower_bound
 from textmill.llm.registry import QUERIES
 
 from .test_dedup import components_brute, simhash_brute
-from .test_text_models import check_packing
+from .test_text_models import check_packing, scan_brute
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -113,14 +113,19 @@ def test_op7(spark, docs):
 
 
 def test_op8(spark, docs):
+    """Against the alignment of every window of every text with each template that shares enough words."""
     got = {}
     for r in rows(spark, "op8_license_scan"):
-        got.setdefault(r["doc_id"], set()).add(r["license"])
+        got.setdefault(r["doc_id"], []).append((r["license"], r["n_matched"]))
     assert set(got) == set(docs)
-    for i, names in got.items():
-        shown = {n for n, t in TEMPLATES.items() if t in docs[i]["text"]}
-        assert shown <= names
-        assert names == {None} or None not in names
+    scanner = Scanner(TEMPLATES, MIN_COVERAGE)
+    for i, own in got.items():
+        text = words_of(docs[i]["text"])
+        held, want = Counter(text), []
+        for name, template, need in zip(scanner.names, scanner.words, scanner.need, strict=True):
+            if sum(min(n, held[w]) for w, n in Counter(template).items()) >= need:
+                want += [(name, n) for _, _, n in scan_brute(text, template, need)]
+        assert sorted(own, key=str) == sorted(want or [(None, None)], key=str)
 
 
 def test_op9(spark, docs):

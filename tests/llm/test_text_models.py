@@ -420,6 +420,51 @@ def test_licenses_in_windows_that_another_outweighs_and_repeated():
     assert found[0][4] <= found[1][3]
 
 
+def scan_brute(words, template, need):
+    """Matches of every window of the text that begins at a word of the template, chosen as the
+    scanner's docstring says."""
+    width = int(np.ceil(C.STRETCH * len(template)))
+    places = set()
+    for begin in (k for k, w in enumerate(words) if w in set(template)):
+        matched = C.patience(words[begin : begin + width], template)
+        if len(matched) >= need:
+            first, last = begin + matched[0][0], begin + matched[-1][0]
+            places.add((-len(matched), last - first, first, last))
+    taken = []
+    for n, _, first, last in sorted(places):
+        if all(last < a or first > b for a, b, _ in taken):
+            taken.append((first, last, -n))
+    return sorted(taken)
+
+
+def test_licenses_against_every_window():
+    r = random.Random(11)
+    template = [f"w{k}" for k in range(12)] + ["of", "the", "of"]
+    scanner = C.Scanner({"T": " ".join(template)}, 0.8)
+    for _ in range(150):
+        words = []
+        for _ in range(r.randint(1, 5)):
+            own = list(template)
+            for _ in range(r.randint(0, 4)):
+                k = r.randrange(len(own))
+                own[k : k + r.randint(0, 1)] = r.choices(["z", "of", "w3", "w11"], k=r.randint(0, 2))
+            r.random() < 0.15 and r.shuffle(own)
+            words += own + ["z"] * r.choice((0, 0, 1, 9))
+        got = [(text[:start].count(" "), text[:end].count(" "), n) for text in [" ".join(words)] for _, _, n, start, end in scanner.scan(text)]
+        assert got == scan_brute(words, template, scanner.need[0])
+
+
+def test_a_true_notice_after_its_words_in_disorder(spark):
+    isc = C.TEMPLATES["ISC"]
+    disorder = " ".join(reversed(C.words_of(isc)))
+    text = f"İİ {disorder} {isc}"
+    rows = spark.createDataFrame([(1, text), (1, isc), (None, isc), (None, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["license"]) for r in C.license_scan(rows).collect()), key=str)
+    assert got == sorted([(1, "ISC"), (1, "ISC"), (None, "ISC"), (None, None)], key=str)
+    (_, coverage, _, start, end), *_ = C.Scanner(C.TEMPLATES, 0.8).scan(text)
+    assert (coverage, text[start:end]) == (1, isc[:-1])
+
+
 # ------------------------------------------------------------------ media
 
 

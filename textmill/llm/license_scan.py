@@ -5,8 +5,8 @@ are anchors, the longest increasing subsequence of their places is kept, and the
 between neighbouring anchors are aligned the same way. Coverage is the share of the
 template's words that are matched.
 
-Stretches come from the text's own words: where a window of one and a half times the
-template's length holds enough of its words (counted with repeats), it is aligned. That
+A stretch is a window of one and a half times the template's length that begins at one of the
+template's words. Each that holds enough of its words (counted with repeats) is aligned. That
 count is an upper bound of what an alignment can match, so no stretch that could reach the
 threshold is passed over.
 """
@@ -49,7 +49,7 @@ _WORD = re.compile(r"\w+(?:\.\w+)*")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -140,14 +140,15 @@ class Scanner:
                 stretch = words[begin : begin + int(np.ceil(STRETCH * len(self.words[t])))]
                 matched = patience(stretch, self.words[t])
                 if len(matched) >= self.need[t]:
-                    places.append((-len(matched), begin + matched[0][0], begin + matched[-1][0]))
+                    first, last = begin + matched[0][0], begin + matched[-1][0]
+                    places.append((-len(matched), last - first, first, last))
             taken: list[tuple[int, int, int]] = []  # by place, apart from each other
-            for place in sorted(set(places)):
-                at = bisect_left(taken, place[1], key=lambda x: x[0])
-                if (at == 0 or taken[at - 1][1] < place[1]) and (at == len(taken) or taken[at][0] > place[2]):
-                    taken.insert(at, (place[1], place[2], -place[0]))
+            for n, _, first, last in sorted(set(places)):
+                at = bisect_left(taken, first, key=lambda x: x[0])
+                if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or taken[at][0] > last):
+                    taken.insert(at, (first, last, -n))
             for first, last, n in taken:
-                spans = spans or [m.span() for m in _WORD.finditer(text.lower())]
+                spans = spans or [m.span() for m in _WORD.finditer(text)]
                 found.append((self.names[t], n / len(self.words[t]), n, spans[first][0], spans[last][1]))
         return found
 
@@ -156,10 +157,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, license, coverage, n_matched, start, end) for each place where the text covers a
     template to at least ``min_coverage``; a row with nulls for a text that covers none.
 
-    ``start`` and ``end`` are code points of the lower-cased text, end exclusive. Defined
-    cases: a null or empty text covers nothing; a template that occurs repeatedly is
-    reported at each of its places, of overlapping ones at the best, the first of equals; ids may be null or repeat, each
-    row is scanned by itself; an empty table gives an empty result; other columns aren't
+    ``start`` and ``end`` are code points of the text, end exclusive. Defined cases: a null or
+    empty text covers nothing; a template that occurs repeatedly is reported at each of its
+    places, of overlapping ones at the best, of equals at the shortest, then the first; ids may be null or repeat,
+    each row is scanned by itself; an empty table gives an empty result; other columns aren't
     read.
     """
 
