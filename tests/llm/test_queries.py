@@ -109,6 +109,10 @@ def test_op7(spark, docs):
     place = {i: k for k, i in enumerate(order)}
     n = check_packing([r.asDict() | {"doc_id": place[r["doc_id"]]} for r in got], [docs[i]["text"] for i in order], 1024)
     lengths = np.array([r["length"] for r in got])
+    assert all(0 < r["partition_bound"] <= r["partition_sequences"] for r in got)
+    # One partition packs this table, so its certificate is that of all.
+    (own,) = {(r["partition_sequences"], r["partition_bound"]) for r in got if r["length"] < 1024}
+    assert own == (n - (lengths == 1024).sum(), lower_bound(lengths[lengths < 1024], 1024))
     assert n <= (lengths == 1024).sum() + 1.02 * lower_bound(lengths[lengths < 1024], 1024) + 1
 
 

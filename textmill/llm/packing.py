@@ -172,24 +172,30 @@ def _pack_bucket(capacity: int, slack: int):
         bins, offsets = best_fit_decreasing(lengths, capacity)
         n_bins = int(bins.max()) + 1
         room = capacity - np.bincount(bins, weights=lengths, minlength=n_bins).astype(np.int64)
-        if n_bins == lower_bound(lengths, capacity):
+        bound = lower_bound(lengths, capacity)
+        if n_bins == bound:
             given_up = np.zeros(n_bins, dtype=bool)
             given_up[room.argmax()] = room.max() > slack
         else:
             given_up = room > slack
-        return pdf.assign(bin=bins, offset=offsets, given_up=given_up[bins])
+        return pdf.assign(bin=bins, offset=offsets, partition_sequences=n_bins, partition_bound=bound, given_up=given_up[bins])
 
     return run
 
 
+#: Sequences that a partition made, and the bound under which none could.
+CERTIFICATE = ("partition_sequences", "partition_bound")
+
+
 def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, bucket_items: int = BUCKET_ITEMS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """``pieces`` (with a column ``length`` up to ``capacity``) with their sequence_id and offset."""
+    """``pieces`` (with a column ``length`` up to ``capacity``) with their sequence_id and offset, and
+    of the partition that packed each: its sequences and the bound that it can't be under."""
     others = [c for c in pieces.columns if c != "length"]
     kept = F.struct(*others).alias("_row")
     pieces = checkpoint(pieces.select(kept, F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("_uid")))
-    placed = [pieces.where(F.col("length") >= capacity).select("_row", "length", (-1 - F.col("_uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    placed = [pieces.where(F.col("length") >= capacity).select("_row", "length", (-1 - F.col("_uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *[F.lit(1).cast("long").alias(c) for c in CERTIFICATE])]
     left = pieces.where(F.col("length") < capacity)
-    schema = StructType([*left.schema.fields, *(StructField(c, LongType()) for c in ("_bucket", "bin", "offset")), StructField("given_up", BooleanType())])
+    schema = StructType([*left.schema.fields, *(StructField(c, LongType()) for c in ("_bucket", "bin", "offset", *CERTIFICATE)), StructField("given_up", BooleanType())])
     for k in range(rounds):
         n = left.count()
         if not n:
@@ -199,19 +205,19 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, bucket_items: in
         dealt = left.withColumn("_bucket", F.pmod(F.xxhash64("_uid", F.lit(k)), F.lit(buckets)))
         packed = checkpoint(dealt.groupBy("_bucket").applyInPandas(_pack_bucket(capacity, int(capacity * slack)), schema))
         done = packed if last else packed.where(~F.col("given_up"))
-        placed.append(done.select("_row", "length", (F.lit(k << 56) + F.shiftleft("_bucket", 24) + F.col("bin")).alias("sequence_id"), "offset"))
+        placed.append(done.select("_row", "length", (F.lit(k << 56) + F.shiftleft("_bucket", 24) + F.col("bin")).alias("sequence_id"), "offset", *CERTIFICATE))
         if last:
             break
         left = packed.where("given_up").select("_row", "length", "_uid")
     whole = reduce(DataFrame.unionByName, placed)
-    return whole.select("_row.*", "length", "sequence_id", "offset")
+    return whole.select("_row.*", "length", "sequence_id", "offset", *CERTIFICATE)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, bucket_items: int = BUCKET_ITEMS, rounds: int = ROUNDS, special_tokens: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens; one row for each piece.
 
-    Columns: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset. A
-    document is its ids and then ``end_id``; only one longer than ``capacity`` is cut, with
+    Columns: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset,
+    partition_sequences, partition_bound. A document is its ids and then ``end_id``; only one longer than ``capacity`` is cut, with
     the shorter piece first. Defined cases: a null or empty text is the end id alone; ids
     may be null or repeat, each row is packed by itself; an empty table gives an empty
     result; other columns aren't read. ``special_tokens`` gives the tokenizer's added tokens
@@ -225,4 +231,4 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     found = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special_tokens=True)
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *CERTIFICATE)
