@@ -137,7 +137,7 @@ def test_null_ids_and_repeats(spark):
 
 
 def test_documents_of_many_lines(spark, monkeypatch):
-    monkeypatch.setattr(L, "LOOKUPS", 0)
+    monkeypatch.setattr(L, "LINES_IN_ROW", 1)
     df = spark.createDataFrame(LINES, "doc_id long, text string")
     assert sorted((tuple(r) for r in L.line_dedup(df).collect()), key=str) == lines_brute(LINES)
 

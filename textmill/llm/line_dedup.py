@@ -26,8 +26,9 @@ from textmill.llm.common import ASCII_SPACE, checkpoint, table, written
 MIN_CODE_POINTS = 10
 BATCHES = 6
 FANOUT = 3
-#: Lines times dropped hashes of a document up to which it is rebuilt on its own row.
-LOOKUPS = 4_000_000
+#: Lines of a document up to which it is rebuilt on its own row, where each line is looked for
+#: in the list of dropped hashes; those of longer documents are dealt out as rows.
+LINES_IN_ROW = 2_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -116,8 +117,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # One join by document brings its text and the hashes it keeps together. Within a document
     # the first hash alone tells lines apart.
     kept = index.all().groupBy("doc_id").agg(F.collect_list("h1").alias("own"))
-    rows = with_id.join(kept, "doc_id", "left").select("doc_id", "text", F.coalesce("own", F.array().cast("array<long>")).alias("own"))
-    whole = _rebuild(rows, min_code_points)
+    n_lines = F.size(F.split("text", "\n", -1))
+    long = with_id.where((F.octet_length("text") >= LINES_IN_ROW) & (n_lines > LINES_IN_ROW))
+    if long.isEmpty():
+        whole = _rebuild(with_id.join(kept, "doc_id", "left"), min_code_points)
+    else:
+        whole = _rebuild(with_id.where(n_lines <= LINES_IN_ROW).join(kept, "doc_id", "left"), min_code_points)
+        whole = whole.unionByName(_rebuild_long(long, index.all(), min_code_points))
     without_id = source.where(F.col("doc_id").isNull())
     return whole if without_id.isEmpty() else whole.unionByName(_without_id(without_id, index.all(), min_code_points))
 
@@ -125,26 +131,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _rebuild(rows: DataFrame, min_code_points: int) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) of ``rows(doc_id, text, own)`` with the hashes kept.
 
-    Sets of hashes are compared first: most documents drop nothing and keep their text as it
-    is. Where a document has so many lines and drops so many that looking each up is long, its
-    lines are dealt out as rows.
+    Sets of hashes are compared first: most documents drop nothing and keep their text as it is.
     """
-    hashes = F.transform(F.split("text", "\n", -1), lambda line: _first_hash(line, min_code_points))
-    found = rows.select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"), F.array_except(hashes, F.concat("own", F.array(F.lit(None).cast("long")))).alias("gone"))
-    gone = F.size("gone")
-    is_kept = lambda x: ~F.coalesce(F.array_contains("gone", _first_hash(x, min_code_points)), F.lit(False))
-    large = gone.cast("long") * F.col("n_lines") > LOOKUPS
-    near = found.where(~large).withColumn("kept", F.when(gone > 0, F.filter(F.split("text", "\n", -1), is_kept)))
-    near = near.select(
-        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.col("n_lines") - F.size(F.when(gone > 0, F.col("kept")).otherwise(F.split("text", "\n", -1))), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(gone > 0, F.array_join("kept", "\n")).otherwise(F.col("text")).alias("text"),
+    lines = rows.select("doc_id", "text", "own", F.split("text", "\n", -1).alias("lines"))
+    hashed = lines.withColumn("hashes", F.transform("lines", lambda line: _first_hash(line, min_code_points)))
+    nothing = F.array(F.lit(None).cast("long"))
+    found = hashed.select("doc_id", "text", "lines", "hashes", F.array_except("hashes", F.coalesce(F.concat("own", nothing), nothing)).alias("gone"))
+    keeps = lambda _, k: ~F.coalesce(F.array_contains("gone", F.get("hashes", k)), F.lit(False))
+    some = F.size("gone") > 0
+    kept = found.select("doc_id", "text", "lines", some.alias("some"), F.when(some, F.filter("lines", keeps)).otherwise(F.col("lines")).alias("kept"))
+    return kept.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        F.when(F.col("some"), F.array_join("kept", "\n")).otherwise(F.col("text")).alias("text"),
     )
-    far = checkpoint(found.where(large).select("doc_id", "text", "gone").withColumn("uid", F.monotonically_increasing_id()))
-    if far.isEmpty():
-        return near
-    dropped = far.select("uid", F.explode("gone").alias("h1")).distinct()
-    places = line_hashes(far, min_code_points).join(dropped, ["uid", "h1"], "left_semi")
-    return near.unionByName(_without_places(far.drop("gone"), places))
+
+
+def _rebuild_long(docs: DataFrame, index: DataFrame, min_code_points: int) -> DataFrame:
+    """The same for documents of many lines, which are joined by document and hash."""
+    own = checkpoint(docs.withColumn("uid", F.monotonically_increasing_id()))
+    lines = line_hashes(own, min_code_points).where(F.col("h1").isNotNull())
+    return _without_places(own, lines.join(index, ["doc_id", "h1", "h2"], "left_anti").select("uid", "pos"))
 
 
 def _without_places(docs: DataFrame, places: DataFrame) -> DataFrame:
