@@ -24,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the cluster's shared folder, deleted when Python ends."""
+    """``df`` as a Parquet table in the cluster's shared folder, packed tightly and deleted when
+    Python ends."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
