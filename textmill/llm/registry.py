@@ -6,6 +6,7 @@ from textmill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from textmill.llm.html_extract import op4_html_extract
 from textmill.llm.language_id import op6_language_id
 from textmill.llm.language_model import op2_lm_score
+from textmill.llm.lexical_search import OP12_SQL, op12_lexical_search
 from textmill.llm.license_scan import op8_license_scan
 from textmill.llm.line_dedup import OP10_SQL, op10_line_dedup
 from textmill.llm.media import op3_media
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_lexical_search": OP12_SQL,
 }
