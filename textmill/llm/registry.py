@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from textmill.llm.alignment import op13_alignment
 from textmill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from textmill.llm.html_extract import op4_html_extract
 from textmill.llm.language_id import op6_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
     "op12_lexical_search": op12_lexical_search,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {
