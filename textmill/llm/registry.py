@@ -13,6 +13,7 @@ from textmill.llm.line_dedup import OP10_SQL, op10_line_dedup
 from textmill.llm.media import op3_media
 from textmill.llm.packing import op7_packing
 from textmill.llm.piece_bpe import op5_sentencepiece
+from textmill.llm.private_data import op11_private_data
 from textmill.llm.simhash import op9_simhash
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
+    "op11_private_data": op11_private_data,
     "op12_lexical_search": op12_lexical_search,
     "op13_alignment": op13_alignment,
 }
