@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.common import table
@@ -385,9 +385,18 @@ def find_private_data(docs: DataFrame, weights: Weights | None = None, id_col: s
     return source.mapInArrow(run, f"doc_id long, base {spans}, added {spans}")
 
 
+def _in_order(spans: Column) -> Column:
+    """kind:start:end of each span, by start and then kind."""
+    rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
+    keyed = F.transform(spans, lambda s: F.struct(s["start"], rank(s).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _number_of(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts are of the pattern matches."""
     found = find_private_data(table(spark, sf_dir, "documents"))
-    order = lambda x: F.transform(F.array_sort(F.transform(x, lambda s: F.struct(s["start"], F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(order(F.col("base")), ","), 256).alias("base_sha256"), F.array_join(order(F.concat("base", "added")), ",").alias("spans"))
+    return found.select("doc_id", *map(_number_of, KINDS), F.sha2(_in_order(F.col("base")), 256).alias("base_sha256"), _in_order(F.concat("base", "added")).alias("spans"))
