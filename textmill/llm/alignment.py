@@ -31,9 +31,12 @@ from textmill.llm.common import table, written
 from textmill.llm.packing import ByteTokenizer
 
 #: Code points of a block of documents.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Cuts that are encoded in one call, links that are made at once, and salts of a pair's first count.
-ENCODE_CUTS, LINKS_AT_ONCE, SALTS = 20_000, 4_000_000, 16
+ENCODE_CUTS, LINKS_AT_ONCE, SALTS = 20_000, 1_000_000, 16
+
+#: A pair of ids is below two to this power; a cut's number stands above it in a key.
+PAIR_BITS = 31
 
 #: A blank after and before a character that no library counts as white space.
 CUT = re.compile(r" (?<=\S )(?=\S)")
@@ -83,6 +86,8 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.piece.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(map(self.piece.id_to_piece, range(n_b)))]
         self.length_a, self.length_b = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.bytes_a, self.bytes_b))
         self.n_b = n_b
+        if not {bytes([k]) for k in range(256)} <= set(self.bytes_a) or n_a * n_b >= 1 << PAIR_BITS:
+            raise ValueError("only byte-level vocabularies with a token for each byte, and fewer than 2**31 pairs of ids, are supported")
         # An id as text with what follows it: a comma, a bar after a group's last A id, a semicolon after its last B id.
         self.n_names = max(n_a, n_b)
         self.names = np.array([f"{k}{end}" for end in ",|;" for k in range(self.n_names)], dtype=object)
@@ -91,9 +96,9 @@ class Aligner:
         """Ids of blank + text by A and of text by B."""
         return np.frombuffer(self.byte.encode(" " + text), dtype="<u4").astype(np.int64), np.array(self.piece.encode(text), dtype=np.int64)
 
-    def _same(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
-        raw = (" " + text).encode()
-        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == raw
+    def _spelt(self, text: str, b: np.ndarray) -> bool:
+        """Whether B's tokens are the text's bytes; A's always are, as each byte has a token."""
+        return b"".join(map(self.bytes_b.__getitem__, b.tolist())) == (" " + text).encode()
 
     def encode(self, cuts: list[str]) -> tuple[Tokens, Tokens, np.ndarray]:
         """Tokens of both sides and, for each cut, whether both spell it."""
@@ -109,11 +114,11 @@ class Aligner:
             ends = np.cumsum(sizes[part])
             own = []
             for side, lengths in zip(ids, (self.length_a, self.length_b), strict=True):
-                at = np.searchsorted(ends, np.cumsum(lengths[side]))
-                if len(side) == 0 or at[-1] != len(part) - 1 or not np.isin(ends, np.cumsum(lengths[side])).all():
+                own_ends = np.cumsum(lengths[side])
+                if len(side) == 0 or own_ends[-1] != ends[-1] or (own_ends[np.searchsorted(own_ends, ends)] != ends).any():
                     return False
-                own.append((side, np.array(part)[at]))
-            if not self._same(text, *ids):
+                own.append((side, np.array(part)[np.searchsorted(ends, own_ends)]))
+            if not self._spelt(text, ids[1]):
                 return False
             for out, one in zip(found, own, strict=True):
                 out.append(one)
@@ -149,15 +154,16 @@ class Aligner:
             left = np.repeat(np.arange(begin, end), times[begin:end])
             first = np.cumsum(times[begin:end]) - times[begin:end]
             right = np.arange(len(left)) - np.repeat(first - start_b[group_a[begin:end]], times[begin:end])
-            order_of = np.stack([a.cut[left], a.ids[left] * self.n_b + b.ids[right]])
-            parts.append(_counted(order_of, np.ones(len(left), np.int64)))
+            parts.append(_counted(a.cut[left] << PAIR_BITS | a.ids[left] * self.n_b + b.ids[right], np.ones(len(left), np.int64)))
             begin = end
-        keys, n = _counted(np.concatenate([k for k, _ in parts], axis=1), np.concatenate([n for _, n in parts])) if parts else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        pairs, pair = np.unique(keys[1], return_inverse=True)
+        keys, n = _counted(*map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        del parts
+        pairs = _distinct(keys & (1 << PAIR_BITS) - 1)
+        pair = np.searchsorted(pairs, keys & (1 << PAIR_BITS) - 1)
         count = lambda cut, weights=None: np.bincount(cut, weights, minlength=n_cuts).astype(np.int64)
         last_a = np.flatnonzero(np.r_[group_a[1:] != group_a[:-1], True][: len(group_a)])
         sizes = np.stack([count(a.cut), count(b.cut), count(a.cut[last_a]), count(a.cut, times)])
-        return Links(keys[0], pair, n, pairs, sizes, self._shown(a, b, group_a, group_b, n_cuts)), good
+        return Links(keys >> PAIR_BITS, pair, n, pairs, sizes, self._shown(a, b, group_a, group_b, n_cuts)), good
 
     def _shown(self, a: Tokens, b: Tokens, group_a: np.ndarray, group_b: np.ndarray, n_cuts: int) -> list[str]:
         group, side = np.r_[group_a, group_b], np.repeat([0, 1], [len(group_a), len(group_b)])
@@ -170,11 +176,16 @@ class Aligner:
 
 
 def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct columns of ``keys``, sorted, with the sums of ``n``."""
-    order = np.lexsort(keys[::-1])
-    keys, n = keys[:, order], n[order]
-    first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)][: keys.shape[1]])
-    return keys[:, first], np.add.reduceat(n, first) if len(first) else n
+    """Distinct keys, sorted, with the sums of ``n``."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]][: len(keys)]]
 
 
 def documents_of_pairs(cuts: np.ndarray, n_cuts: np.ndarray, links: Links) -> np.ndarray:
@@ -187,11 +198,11 @@ def documents_of_pairs(cuts: np.ndarray, n_cuts: np.ndarray, links: Links) -> np
     while doc < len(n_cuts):
         last = max(doc + 1, int(np.searchsorted(upto, (upto[doc - 1] if doc else 0) + LINKS_AT_ONCE, side="right")))
         own = cuts[ends[doc - 1] if doc else 0 : ends[last - 1]]
-        held = np.unique(np.repeat(np.arange(last - doc), n_cuts[doc:last]) * links.sizes.shape[1] + own)
+        held = _distinct(np.repeat(np.arange(last - doc), n_cuts[doc:last]) * links.sizes.shape[1] + own)
         of_doc, cut = np.divmod(held, links.sizes.shape[1])
         times = per_cut[cut]
         at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first[cut], times)
-        pairs = np.unique(np.repeat(of_doc, times) * len(links.pairs) + links.pair[at]) % max(1, len(links.pairs))
+        pairs = _distinct(np.repeat(of_doc, times) * len(links.pairs) + links.pair[at]) % max(1, len(links.pairs))
         found += np.bincount(pairs, minlength=len(links.pairs))
         doc = last
     return found
