@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # The 29 code points that Python counts as white space, and its line separators.
 SPACE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE_CLASS = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# White space that ends no line.
+BLANK_CLASS = r"[\t\x1f \x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 # Phrases that ask for the beginning of a text.
@@ -72,14 +74,17 @@ def heading_sections(lines: Column, size: int, overlap: int, keep_preamble: bool
     Lines before the first heading aren't part of a section; ``keep_preamble`` makes them one.
     """
     n, at = F.size(lines), headings(lines)
-    starts = F.when(keep_preamble & (F.get(at, F.lit(0)) > 0), F.concat(F.array(F.lit(0)), at)).otherwise(at) if keep_preamble else at
+    # Places and texts are made once each and zipped: a lambda that looked them up would make them anew for every section.
+    texts = F.split(F.array_join(lines, "\n"), rf"\n(?={BLANK_CLASS}*#)", -1)
+    preamble = F.get(at, F.lit(0)) > 0
+    starts, texts = (
+        (F.when(preamble, F.concat(F.array(F.lit(0)), at)).otherwise(at), texts) if keep_preamble
+        else (at, F.when(preamble, F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0)))).otherwise(texts))
+    )
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
     sections = F.transform(
-        starts,
-        lambda s, k: F.struct(
-            strip(F.array_join(F.slice(lines, s + 1, F.coalesce(F.get(starts, k + 1), n) - s), "\n")).alias("content"),
-            (s + 1).cast("int").alias("start_line"),
-            F.coalesce(F.get(starts, k + 1), n).cast("int").alias("end_line"),
-        ),
+        F.arrays_zip(starts.alias("s"), ends.alias("e"), texts.alias("t")),
+        lambda x: F.struct(strip(x["t"]).alias("content"), (x["s"] + 1).cast("int").alias("start_line"), x["e"].cast("int").alias("end_line")),
     )
     return F.when(F.size(at) < 2, line_windows(lines, size, overlap)).otherwise(F.filter(sections, lambda w: w["content"] != ""))
 
@@ -89,8 +94,7 @@ def char_chunks(c: str | Column, size: int) -> Column:
     if size < 1:
         raise ValueError("a chunk needs at least one character")
     text = _col(c)
-    starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - 1, F.lit(0)), F.lit(size))
-    return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size)))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)))
 
 
 def heading_boundary(c: str | Column, min_offset: int = MIN_BOUNDARY, max_offset: int = MAX_BOUNDARY) -> Column:
