@@ -236,3 +236,14 @@ def test_error_above_the_ceiling(spark):
     got = run(spark, ["x" * 2_000_001])[0]
     assert got[0]["status"] == "error"
     assert got[1] == "Error: the text has 2000001 characters and the limit is 2000000; nothing was left out, narrow the source."
+
+
+def test_deep_and_odd_json(spark):
+    deep, allowed_depth = "[" * 200_000 + '"x"' + "]" * 200_000, "[" * 500 + '"' + "y" * 300 + '"' + "]" * 500
+    rows = [(1, deep), (2, allowed_depth), (3, '{"a": "\\ud800", "b": ["[[[", {"c": "z"}]}'), (4, "[" * 300_000), (5, None), (6, '"top"')]
+    frame = spark.createDataFrame(rows, "id long, j string")
+    got = sorted((r["id"], r["ordinal"], len(r["path"]), r["leaf"]) for r in events.json_leaves(frame, "id", "j").collect())
+    assert got == [(2, 0, 500, "y" * 300), (3, 0, 1, "�"), (3, 1, 2, "[[["), (3, 2, 3, "z"), (6, 0, 0, "top")]
+    back = {r["id"]: r["w"] for r in frame.select("id", events.write_back(F.col("j"), F.lit("R")).alias("w")).collect()}
+    assert back[1] == deep and back[2] == "[" * 500 + '"R"' + "]" * 500 and back[4] == "[" * 300_000 and back[5] is None
+    assert events.rewrite('{"a": "\\ud800", "b": "' + "x" * 200 + '"}', "R", 200) == '{"a": "\\ud800", "b": "R"}'

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from textmill.functions.providers import Reachability, is_reachable
 from textmill.functions.settings import number_setting
@@ -59,32 +62,60 @@ def command_route(command: Column) -> Column:
     return F.when(F.coalesce(command, F.lit("")) == "", "allow").otherwise("deny")
 
 
-@F.udtf(returnType="path array<string>, ordinal int, leaf string")
-class JsonLeaves:
-    """Text leaves of a JSON value in the order of the document; none for what isn't JSON."""
-
-    def eval(self, value: str | None) -> Iterator[tuple]:
-        try:
-            root = json.loads(value) if value is not None else None
-        except ValueError:
-            return
-        todo: list[tuple[tuple, object]] = [((), root)]
-        n = 0
-        while todo:
-            path, node = todo.pop()
-            if isinstance(node, str):
-                yield [str(p) for p in path], n, node
-                n += 1
-            elif isinstance(node, dict):
-                todo += [((*path, k), v) for k, v in reversed(node.items())]
-            elif isinstance(node, list):
-                todo += [((*path, k), v) for k, v in reversed(list(enumerate(node)))]
+#: JSON that is nested deeper isn't read: it has no leaves and is written back as it is.
+MAX_DEPTH = 500
+_JSON_STRING, _LONE_SURROGATE = re.compile(r'"(?:[^"\\]++|\\.)*+"', re.DOTALL), re.compile("[\ud800-\udfff]")
+
+
+def parse_json(value: str | None) -> tuple[bool, object]:
+    """(whether it is JSON of at most MAX_DEPTH levels, its value)."""
+    if value is None:
+        return False, None
+    if value.count("[") + value.count("{") > MAX_DEPTH:
+        depth = deepest = 0
+        for sign in re.findall(r"[\[{\]}]", _JSON_STRING.sub("", value)):
+            depth += 1 if sign in "[{" else -1
+            deepest = max(deepest, depth)
+        if deepest > MAX_DEPTH:
+            return False, None
+    try:
+        return True, json.loads(value)
+    except ValueError:
+        return False, None
+
+
+def text_leaves(value: str | None) -> list[tuple[list[str], str]]:
+    """(path, leaf) of a JSON value's texts in the order of the document."""
+    found: list[tuple[list[str], str]] = []
+    todo: list[tuple[tuple[str, ...], object]] = [((), parse_json(value)[1])]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, str):
+            found.append((list(path), node))
+        elif isinstance(node, dict | list):
+            items = node.items() if isinstance(node, dict) else enumerate(node)
+            todo += [((*path, str(k)), v) for k, v in reversed(list(items))]
+    return found
 
 
 def json_leaves(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, path, ordinal, leaf) of a JSON column."""
-    found = rows.select(F.col(key), F.col(column).alias("_json")).lateralJoin(JsonLeaves(F.col("_json").outer()))
-    return found.select(key, "path", "ordinal", "leaf")
+    """(key, path, ordinal, leaf) of a JSON column.
+
+    What isn't JSON, or is nested deeper than MAX_DEPTH, has no leaves. Half of a surrogate pair,
+    which no text can hold, is U+FFFD in a leaf.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown = lambda text: _LONE_SURROGATE.sub("\ufffd", text)
+        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+            found = [(row, n, [shown(p) for p in path], shown(leaf)) for row, value in enumerate(batch.column(1).to_pylist()) for n, (path, leaf) in enumerate(text_leaves(value))]
+            row, ordinal, path, leaf = zip(*found, strict=True) if found else ((), (), (), ())
+            keys = batch.column(0).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(path, pa.list_(pa.string())), pa.array(ordinal, pa.int32()), pa.array(leaf, pa.string())], names=[key, "path", "ordinal", "leaf"])
+
+    source = rows.select(F.col(key), F.col(column).alias("_json"))
+    schema = StructType([StructField(key, source.schema[key].dataType), StructField("path", ArrayType(StringType())), StructField("ordinal", IntegerType()), StructField("leaf", StringType())])
+    return source.mapInArrow(run, schema)
 
 
 def select_leaves(leaves: DataFrame, key: str, *, leaf: str = "leaf", ordinal: str = "ordinal", threshold: int | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -101,16 +132,14 @@ def select_leaves(leaves: DataFrame, key: str, *, leaf: str = "leaf", ordinal: s
 
 
 def rewrite(value: str | None, result: str | None, leaf_chars: int) -> str | None:
-    """The longest large leaf (the first of equals) replaced, other large ones emptied."""
-    try:
-        root = json.loads(value) if value is not None else None
-    except ValueError:
-        return value
-    if result is None:
+    """The longest large leaf (the first of equals) replaced, other large ones emptied; what
+    isn't JSON, or is nested deeper than MAX_DEPTH, as it is."""
+    known, root = parse_json(value)
+    if not known or result is None:
         return value
     if isinstance(root, str):
         return json.dumps(result, ensure_ascii=False)
-    # Depth first in the order of the document, as ``JsonLeaves`` numbers the leaves.
+    # Depth first in the order of the document, as ``text_leaves`` numbers the leaves.
     places: list[tuple] = []
     todo: list[tuple] = [(None, None, root)]
     while todo:
@@ -127,7 +156,8 @@ def rewrite(value: str | None, result: str | None, leaf_chars: int) -> str | Non
     for node, k, _ in large:
         node[k] = ""
     best[0][best[1]] = result
-    return json.dumps(root, ensure_ascii=False)
+    # Half of a surrogate pair stays the escape that it was.
+    return _LONE_SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(root, ensure_ascii=False))
 
 
 def write_back(response: Column, result: Column, leaf_chars: int = LEAF_CHARS) -> Column:
