@@ -14,6 +14,8 @@ documents' links. So what is shuffled are pairs by block, never links or tokens
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import re
 from collections import defaultdict
@@ -44,7 +46,7 @@ SPACE = "▁"
 
 _ALIGNED = (
     "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>,"
-    "cuts binary, n_cuts binary, link_cut binary, link_pair binary, link_times binary, a array<int>, b array<int>, docs array<long>"
+    "cuts binary, n_cuts binary, links_of_cut binary, link_pair binary, link_times binary, a array<int>, b array<int>, docs array<long>"
 )
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
 
@@ -213,6 +215,16 @@ def _loaded(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs, after that number of bytes."""
+    size = next(n for n in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * n)
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _aligned(byte_path: str, piece_path: str):
     names = [x.split()[0] for x in _ALIGNED.split(",")]
     ints = pa.list_(pa.int64())
@@ -235,10 +247,12 @@ def _aligned(byte_path: str, piece_path: str):
             sizes = np.diff(np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(links.sizes[:, cuts], axis=1)], axis=1)[:, np.r_[0, ends]], axis=1)
             shown = [hashlib.sha256("".join([links.shown[c] for c in t.tolist()])[:-1].encode()).hexdigest() if len(t) else "" for t in texts]
             docs = documents_of_pairs(cuts, n_cuts, links)
-            packed = [x.astype("<i4").tobytes() for x in (cuts, n_cuts, links.cut, links.pair)] + [links.times.astype("<i8").tobytes()]
+            packed = [_packed(x) for x in (cuts, n_cuts, np.bincount(links.cut, minlength=len(good)), links.pair, links.times)]
             row = [(TaskContext.get().partitionId() << 32) + made, ids, *sizes, shown, *packed, links.pairs // aligner.n_b, links.pairs % aligner.n_b, docs]
             number.clear()
             ids, texts, chars, made = [], [], 0, made + 1
+            with contextlib.suppress(OSError, AttributeError):  # no C library that can: the memory stays with the worker
+                ctypes.CDLL(None).malloc_trim(0)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
         for batch in batches:
@@ -259,14 +273,13 @@ def _totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's documents with the totals of its pairs summed over their links."""
     for batch in (b.slice(k, 1) for b in batches for k in range(b.num_rows)):
         column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
-        flat = lambda name, kind="<i4": np.frombuffer(column(name)[0].as_py(), kind).astype(np.int64)  # noqa: B023, E731
-        cuts, n_cuts, link_cut, link_pair, times = flat("cuts"), flat("n_cuts"), flat("link_cut"), flat("link_pair"), flat("link_times", "<i8")
+        flat = lambda name: _unpacked(column(name)[0].as_py())  # noqa: B023, E731
+        cuts, n_cuts, per_cut, link_pair, times = flat("cuts"), flat("n_cuts"), flat("links_of_cut"), flat("link_pair"), flat("link_times")
         totals = np.zeros((2, int(link_pair.max(initial=-1)) + 1), dtype=np.int64)
         found = column("found").flatten()
         if len(found):
             totals[:, found.field(0).to_numpy()] = found.field(1).to_numpy(), found.field(2).to_numpy()
         of_link = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(totals[:, link_pair] * times, axis=1)], axis=1)
-        per_cut = np.bincount(link_cut, minlength=int(cuts.max(initial=-1)) + 1)
         of_cut = np.diff(of_link[:, np.r_[0, np.cumsum(per_cut)]], axis=1)
         of_doc = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(of_cut[:, cuts], axis=1)], axis=1)
         count_sum, n_best = np.diff(of_doc[:, np.r_[0, np.cumsum(n_cuts)]], axis=1)
