@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textmill.functions.paths import compile_ignore, extensions_of, is_ignored, normalise_extensions
 from textmill.functions.providers import HashingEmbedder
-from textmill.operators.index import Collection, index_files, index_repo, preview_index, store_note, sync_files, sync_repo, top_k, upsert_files
+from textmill.operators.index import Collection, index_files, index_repo, preview_index, store_note, sync_files, sync_repo, upsert_files
+from textmill.operators.vectors import top_k
 from textmill.operators.manifest import parse_manifest, render_manifest
 from textmill.streaming.streams import sync_stream
 from textmill.sources.corpus import build_entries, decode_ignoring, read_corpus

@@ -1,4 +1,4 @@
-"""A chunk index as Parquet segments with a versioned log, and search in it.
+"""A chunk index as Parquet segments with a versioned log, kept up to date with files.
 
 A collection is a folder of segments and a log of numbered states; the state with the highest
 number is the current one. A change writes a segment with what is new and the paths whose
@@ -18,16 +18,12 @@ import json
 import os
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401 (pa.compute)
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from textmill.functions.providers import Embedder, HashingEmbedder
 from textmill.functions.storage import checkpoint
@@ -330,75 +326,3 @@ def preview_index(spark: SparkSession, root: str, *, limit: int = 10, chunk_line
     """The number of chunks and the first of them, nothing written."""
     entries = build_entries(spark, root, size=chunk_lines, overlap=overlap, **options)
     return entries.count(), preview_entries(entries, limit)
-
-
-#: Queries that are sent to the tasks at once; more are answered in blocks of this size.
-QUERY_BLOCK = 4_096
-
-
-def _best(vectors: np.ndarray, order: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, entry place, score) of the k best of these vectors for each query, ties to
-    the entry that comes first in ``order``."""
-    scores = (vectors @ queries.T)[order]
-    if len(order) > k:
-        # All that are as good as the k-th, of which the sort below takes the first.
-        least = np.partition(scores, len(order) - k, axis=0)[len(order) - k]
-        place, query = np.nonzero(scores >= least)
-    else:
-        place, query = (x.ravel() for x in np.indices(scores.shape))
-    score = scores[place, query]
-    by = np.lexsort((place, -score, query))
-    query, place, score = query[by], place[by], score[by]
-    rank = np.arange(len(query)) - np.searchsorted(query, query)
-    return query[rank < k], order[place[rank < k]], score[rank < k]
-
-
-def _matrix(column: pa.Array, dimensions: int | None) -> np.ndarray:
-    """Vectors of a list column as rows, by its buffers."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    width = dimensions or (len(flat) // len(column) if len(column) else 0)
-    if len(flat) != width * len(column):
-        raise ValueError("Error: vectors differ in their number of dimensions.")
-    return flat.reshape(len(column), width)
-
-
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    """Vectors of length 1; the zero vector stays, so that its score is 0."""
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
-
-
-def top_k(entries: DataFrame, queries: DataFrame, *, k: int = 10, metric: str = "cosine", vec: str = "vec", entry_id: str = "id", query_id: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
-    """(query_id, id, score, rank): the k best entries for each query, ties to the smaller id.
-
-    The queries are a stated set and go to the tasks in blocks of ``QUERY_BLOCK``, each of which
-    reads the entries once. A task multiplies each batch of entries with the block and passes on
-    only the batch's k best for each query; the window over what is left is limited to k rows again before it is
-    shuffled. Entries or queries without a vector are left out, a zero vector has the score 0.
-    """
-    if metric not in ("cosine", "dot"):
-        raise ValueError("metric is cosine or dot")
-    source = entries.select(F.col(entry_id).alias("_id"), F.col(vec).alias("_vec")).where(F.col("_vec").isNotNull())
-    asked = queries.select(F.col(query_id).alias("_query"), F.col(query_vec).alias("_vec")).where(F.col("_vec").isNotNull())
-    types = {f.name: f.dataType for f in [*source.schema.fields, *asked.schema.fields]}
-    schema = StructType([StructField("_query", types["_query"]), StructField("_id", types["_id"]), StructField("_score", DoubleType())])
-    scaled = _unit if metric == "cosine" else lambda x: x
-    n = asked.count()
-    parts = []
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        own = (asked.where(F.pmod(F.xxhash64("_query"), F.lit(-(-n // QUERY_BLOCK))) == block) if n > QUERY_BLOCK else asked).toArrow()
-        names, matrix = own["_query"].combine_chunks(), scaled(_matrix(own["_vec"].combine_chunks(), None))
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                ids = batch.column(0)
-                order = pa.compute.sort_indices(ids).to_numpy()
-                query, entry, score = _best(scaled(_matrix(batch.column(1), matrix.shape[1])), order, matrix, k)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(entry)), pa.array(score)], names=["_query", "_id", "_score"])
-
-        parts.append(source.mapInArrow(run, schema))
-    best = Window.partitionBy("_query").orderBy(F.col("_score").desc(), "_id")
-    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.col("_query").alias(query_id), F.col("_id").alias(entry_id), F.col("_score").alias("score"), "rank")

@@ -17,7 +17,7 @@ from textmill.functions import paths, text
 from textmill.functions.providers import ExtractiveCompleter, RecordedRuns, StoredPages
 from textmill.functions.storage import checkpoint_folder, remove
 from textmill.operators import compress as condense
-from textmill.operators import evaluate, events, index, manifest
+from textmill.operators import evaluate, events, index, manifest, vectors
 from textmill.sources.corpus import chunk_rows
 
 
@@ -524,10 +524,25 @@ SELECT track, round(sum(baseline - treatment), 6) AS saved, any_value(overhead)
 FROM p, o WHERE baseline IS NOT NULL AND treatment IS NOT NULL GROUP BY track"""
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 100."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return rows, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
-    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    found = index.top_k(vectors, queries, k=10, vec="embedding", entry_id="vec_id")
+    rows, queries = _vectors(spark, sf_dir)
+    found = vectors.top_k(rows, queries, k=10, vec="embedding", entry_id="vec_id")
+    return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+
+
+def semantic_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answer from an inverted file, in its exact mode."""
+    rows, queries = _vectors(spark, sf_dir)
+    path = f"{checkpoint_folder(spark)}/cells-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    cells = vectors.InvertedFile.build(rows, path, vec="embedding", entry_id="vec_id")
+    found = cells.search(rows, queries, k=10, exact=True, vec="embedding", entry_id="vec_id")
     return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
@@ -558,5 +573,5 @@ REGISTRY = {
     "collection_info": (collection_info, COLLECTION_INFO), "index_sync": (index_sync, INDEX_SYNC), "page_fetch": (page_fetch, PAGE_FETCH), "command_run": (command_run, COMMAND_RUN), "nested_write_back": (nested_write_back, NESTED_WRITE_BACK), "preview": (preview, PREVIEW), "dry_run": (dry_run, DRY_RUN), "file_filters": (file_filters, FILE_FILTERS),
     "ignore_rules": (ignore_rules, IGNORE_RULES), "ext_normalise": (ext_normalise, EXT_NORMALISE), "map_reduce_extractive": (map_reduce_extractive, MAP_REDUCE),
     "condense_rendered": (condense_rendered, CONDENSE_RENDERED), "classifier_answers": (classifier_answers, CLASSIFIER_ANSWERS),
-    "evaluation_pairs": (evaluation_pairs, EVALUATION_PAIRS), "evaluation_net": (evaluation_net, EVALUATION_NET), "semantic_topk": (semantic_topk, SEMANTIC_TOPK),
+    "evaluation_pairs": (evaluation_pairs, EVALUATION_PAIRS), "evaluation_net": (evaluation_net, EVALUATION_NET), "semantic_topk": (semantic_topk, SEMANTIC_TOPK), "semantic_cells": (semantic_cells, SEMANTIC_TOPK),
 }
