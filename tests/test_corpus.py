@@ -1,17 +1,22 @@
 """The corpus source, ignore rules and the index on small trees."""
 
+import hashlib
+import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions.paths import compile_ignore, extensions_of, is_ignored, normalise_extensions
 from textmill.functions.providers import HashingEmbedder
+from textmill.operators import index
 from textmill.operators.index import Collection, index_files, index_repo, preview_index, store_note, sync_files, sync_repo, upsert_files
 from textmill.operators.vectors import top_k
 from textmill.operators.manifest import parse_manifest, render_manifest
-from textmill.streaming.streams import sync_stream
-from textmill.sources.corpus import build_entries, decode_ignoring, read_corpus
+from textmill.sources import corpus
+from textmill.sources.corpus import build_entries, deal, decode_ignoring, read_corpus
+from textmill.streaming.streams import sync_stream, sync_tree
 
 
 def tree(root, files):
@@ -56,10 +61,151 @@ def test_single_file(spark, tmp_path):
 def test_folders_are_shared_out(spark, tmp_path):
     files = {f"{a}/{b}/{c}.py": f"{a}{b}{c}" for a in "abc" for b in "xy" for c in "12"} | {"top.py": "t", "a/build/no.py": "no"}
     root = tree(tmp_path, files)
-    for options in ({}, {"partitions": "2"}, {"partitions": "5", "files_per_partition": "1"}):
+    for options, parts in (({}, 1), ({"files_per_partition": "1"}, 13), ({"bytes_per_partition": "6"}, 7), ({"listed_files": "1"}, 4), ({"listed_files": "8"}, 1)):
         df = read_corpus(spark, root, **options)
         assert sorted(r["rel_path"] for r in df.collect()) == sorted(k for k in files if "build" not in k)
-    assert read_corpus(spark, root, partitions="5").rdd.getNumPartitions() == 7
+        assert df.rdd.getNumPartitions() == parts
+
+
+def test_deal():
+    assert deal([("a", 5), ("b", 9), ("c", 1), ("d", 1)], 6, 9) == [["a"], ["b"], ["c", "d"]]
+    assert deal([("a", 1), ("b", 1), ("c", 1)], 9, 2) == [["a", "b"], ["c"]]
+
+
+def test_filters_are_pushed_down(spark, tmp_path):
+    """Named paths are looked up, whether they belong to the corpus or not; nothing else is opened."""
+    root = tree(tmp_path, FILES | {"docs/deep/a.py": "a", "docs/build/b.py": "b"})
+    df = read_corpus(spark, root)
+    asked = ["docs/guide.md", "skip/me.py", "skip/not.md", "docs/build/b.py", "no.py", "a.tar.gz", "docs", "../x.py"]
+    got = df.where(F.col("rel_path").isin(asked))
+    assert sorted(r["rel_path"] for r in got.collect()) == ["docs/guide.md", "skip/not.md"]
+    assert "PushedFilters" not in got._jdf.queryExecution().toString() or "rel_path" in got._jdf.queryExecution().toString()
+    assert sorted(r["rel_path"] for r in df.where(F.col("rel_path").startswith("docs/")).collect()) == ["docs/deep/a.py", "docs/guide.md"]
+    assert df.where(F.col("rel_path").startswith("docs/build/")).count() == 0 and df.where("rel_path = 'pkg/UPPER.PY' AND suffix = '.py'").count() == 1
+    reader = corpus._Reader({"path": root})
+    assert list(reader.pushFilters([corpus.In(("rel_path",), tuple(asked)), corpus.EqualTo(("suffix",), ".md"), corpus.EqualTo(("rel_path",), "skip/not.md")])) == [corpus.EqualTo(("suffix",), ".md")]
+    assert [p.files for p in reader.partitions()] == [["skip/not.md"]]
+
+
+def test_a_sync_opens_what_changed(spark, tmp_path, monkeypatch):
+    """Of six files with one changed, each is hashed once and the changed one is read once more."""
+    root = tree(tmp_path / "src", {f"{k}.py": f"{k}\n" for k in range(6)})
+    c = Collection(spark, str(tmp_path / "index"), "c")
+    sync_repo(c, root)
+    tree(tmp_path / "src", {"3.py": "new\n"})
+    opened = spark.sparkContext.accumulator(0)
+    asked = []
+    real = corpus.read_corpus
+
+    def counted(spark, root, **options):
+        df = real(spark, root, **options)
+        asked.append(options.get("digest"))
+        kind = df.schema
+
+        def run(batches):
+            for batch in batches:
+                opened.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, kind) if options.get("digest") else df
+
+    monkeypatch.setattr("textmill.operators.index.read_corpus", counted)
+    plans = []
+    chunks = index._chunks
+    monkeypatch.setattr("textmill.operators.index._chunks", lambda files, *rest: plans.append(files) or chunks(files, *rest))
+    assert sync_repo(c, root) == "Synced c: 1 changed, 0 removed, 5 unchanged; 1 new chunk(s)."
+    assert asked == [None, "true"] and opened.value == 6
+    reader = corpus._Reader({"path": root})
+    list(reader.pushFilters([corpus.EqualTo(("rel_path",), "3.py")]))
+    assert [p.files for p in reader.partitions()] == [["3.py"]] and [r["rel_path"] for r in plans[0].collect()] == ["3.py"]
+
+
+def test_digests_and_other_stores(spark, tmp_path):
+    """A root with a scheme is listed by Hadoop, and holds the same."""
+    root = tree(tmp_path, FILES)
+    rows = lambda df: sorted((r["rel_path"], r["suffix"], hashlib.sha256(r["content"]).hexdigest()) for r in df.collect())
+    local = rows(read_corpus(spark, root))
+    seen = [r for r in local if r[0] != "pkg/.hidden.py"]
+    assert rows(read_corpus(spark, f"file://{root}").where("error IS NULL")) == seen
+    for at, want in ((root, local), (f"file://{root}", seen)):
+        assert sorted((r["rel_path"], r["suffix"], r["sha256"]) for r in read_corpus(spark, at, digest="true").where("error IS NULL").collect()) == want
+    assert [r["rel_path"] for r in read_corpus(spark, f"file://{root}").where("error IS NOT NULL").collect()] == ["pkg/.hidden.py"]
+    assert [r["rel_path"] for r in read_corpus(spark, f"file://{root}/a.tar.gz").collect()] == ["a.tar.gz"]
+    with pytest.raises(FileNotFoundError):
+        read_corpus(spark, f"file://{root}/none")
+
+
+def test_a_tree_as_a_stream(spark, tmp_path):
+    """Files added, changed and deleted between runs, each of which begins anew from the checkpoint."""
+    root = tree(tmp_path / "src", {"a.py": "1\n", "docs/b.md": "2\n", "build/no.py": "n"})
+    c = Collection(spark, str(tmp_path / "index"), "c")
+
+    def run():
+        sync_tree(spark, root, c, str(tmp_path / "cp")).awaitTermination()
+        return contents(c)
+
+    assert run() == [("a.py", "1"), ("docs/b.md", "2")]
+    assert run() == [("a.py", "1"), ("docs/b.md", "2")]
+    tree(tmp_path / "src", {"a.py": "11\n", "c.py": "3\n"})
+    os.remove(f"{root}/docs/b.md")
+    assert run() == [("a.py", "11"), ("c.py", "3")]
+    tree(tmp_path / "src", {"docs/b.md": "2\n"})
+    assert run() == [("a.py", "11"), ("c.py", "3"), ("docs/b.md", "2")]
+    os.remove(f"{root}/a.py")
+    os.remove(f"{root}/c.py")
+    os.remove(f"{root}/docs/b.md")
+    assert run() == []
+    assert len(os.listdir(tmp_path / "cp" / "listings")) <= 2
+
+
+def test_levels():
+    same = lambda levels: index._same_level([{"level": n} for n in levels], 4)
+    assert same([0, 0, 0]) is None and same([0, 0, 0, 0]) == (0, 4) and same([2, 1, 0, 0, 0, 0]) == (2, 6)
+    assert same([0, 0, 0, 1]) == (0, 4)  # small ones before a larger one count as large
+
+
+def test_rewritten_bytes_grow_with_the_logarithm(spark, tmp_path, monkeypatch):
+    """Of 100 changes of one row each, a row is written again at most once a level."""
+    c = Collection(spark, str(tmp_path), "c")
+    rewritten = []
+    monkeypatch.setattr(Collection, "_entries", lambda self, segments: rewritten.append(sum(s["rows"] for s in segments)))
+    monkeypatch.setattr(Collection, "_manifest", lambda self, segments: None)
+    monkeypatch.setattr(Collection, "_part", lambda self, segments, part: None)
+    monkeypatch.setattr(Collection, "_segment", lambda self, e, m, g, level=0: {"name": f"s{len(names)}-{names.append(1)}", "parts": [], "level": level, "rows": rewritten[-1] if level else 1})
+    names, states = [], [{"segments": []}]
+    monkeypatch.setattr(Collection, "_state", lambda self: states[-1])
+    monkeypatch.setattr(Collection, "_commit", lambda self, change: states.append(change(states[-1])))
+    for _ in range(100):
+        states.append({"segments": [*states[-1]["segments"], c._segment(None, None, None)]})
+        c.compact()
+    assert sum(rewritten) <= 100 * 4 and len(states[-1]["segments"]) <= 12 and sum(s["rows"] for s in states[-1]["segments"]) == 100
+
+
+def test_a_lost_race_is_done_again(spark, tmp_path, monkeypatch):
+    """A writer whose number was taken, as its claim was stale, commits after the other."""
+    c = Collection(spark, str(tmp_path), "c")
+    index_files(c, files(spark, [("a.py", "a")]))
+    real, turns = c._renamed, []
+
+    def late(made, to):
+        if not turns:
+            turns.append(1)
+            state = c._read(0)
+            (tmp_path / "c" / "log" / "0000000001.json").write_text(json.dumps(state | {"batches": {"other": 7}}))
+        return real(made, to)
+
+    monkeypatch.setattr(c, "_renamed", late)
+    store_note(c, "n", {})
+    assert contents(c) == [("", "n"), ("a.py", "a")] and c.last_batch("other") == 7 and c._numbers() == [0, 1, 2]
+
+
+def test_a_segment_that_fails_leaves_nothing(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "c")
+    index_files(c, files(spark, [("a.py", "a")]))
+    before = sorted(os.listdir(tmp_path / "c"))
+    with pytest.raises(Exception, match="broken"):
+        c.add(c.entries().withColumn("content", F.raise_error(F.lit("broken"))))
+    assert sorted(os.listdir(tmp_path / "c")) == before and contents(c) == [("a.py", "a")]
 
 
 def test_entries(spark, tmp_path):
@@ -160,10 +306,16 @@ def test_segments_are_compacted_and_cleaned(spark, tmp_path):
     state = c._state()
     assert len(state["segments"]) < 8
     on_disk = {x for x in os.listdir(tmp_path / "c") if x.startswith("segment-")}
-    assert {s["name"] for s in state["segments"]} <= on_disk
-    assert len(on_disk) <= len(state["segments"]) + 8
-    assert len([x for x in os.listdir(tmp_path / "c" / "log") if x.endswith(".json")]) == 2
-    assert [x for x in os.listdir(tmp_path / "d") if x.startswith("segment-")] != []
+    assert {s["name"] for s in state["segments"]} < on_disk  # what earlier states list is still there
+    late = Collection(spark, str(tmp_path), "c", retained=0)
+    before = contents(late)
+    store_note(late, "last", {})
+    time.sleep(0.01)
+    late._clean()
+    state = late._state()
+    assert {x for x in os.listdir(tmp_path / "c") if x.startswith("segment-")} == {s["name"] for s in state["segments"]}
+    assert len([x for x in os.listdir(tmp_path / "c" / "log") if x.endswith(".json")]) == 1
+    assert contents(late) == sorted([*before, ("", "last")])
 
 
 def test_writers_at_once_keep_both(spark, tmp_path):

@@ -33,3 +33,14 @@ def remove(spark: SparkSession, path: str) -> None:
     if sc._jsc is not None:
         where = sc._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file of any store, hidden names too."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(sc._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()

@@ -4,9 +4,13 @@ A collection is a folder of segments and a log of numbered states; the state wit
 number is the current one. A change writes a segment with what is new and the paths whose
 earlier rows it makes void, and then commits a state that lists it, so a reader sees the
 collection before the change or after it, and a change costs what it changes. A writer claims
-its number by creating a file that must not exist; what two writers add at once is both kept.
-When there are ``MAX_SEGMENTS`` they are written as one. Segments that none of the last two
-states lists are deleted with the next commit.
+its number by creating a file that must not exist, and commits by a rename that fails where
+another writer was first; what two writers add at once is both kept.
+
+Segments have levels: ``FANOUT`` neighbours of one level are written as one of the next, so that
+a row is written again once a level, as often as the logarithm of the number of changes. States
+that were replaced more than ``RETAINED_SECONDS`` ago are deleted with the segments that only
+they list, so a reader has at least as long.
 
 The manifest is kept in the segments, outside the tree that is indexed, and the settings of
 the embedding model and the chunks in the states.
@@ -22,16 +26,22 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.providers import Embedder, HashingEmbedder
-from textmill.functions.storage import checkpoint
+from textmill.functions.storage import checkpoint, read_bytes
 from textmill.functions.text import preview
 from textmill.operators.manifest import counts, diff, file_hashes, files_to_chunk
 from textmill.sources.corpus import build_entries, chunk_rows, decode_ignoring, read_corpus
 
-MAX_SEGMENTS = 8
+#: Segments of a level that are written as one of the next.
+FANOUT = 4
+#: How long what a state lists stays readable after the next state.
+RETAINED_SECONDS = 86_400.0
+#: Changed files up to this number are named to the source, more are found by a join with all.
+NAMED_PATHS = 10_000
 #: A claim of a number without its state is void after so many seconds.
 STALE_CLAIM = 600
 _MANIFEST = "rel_path string, sha256 string"
@@ -45,14 +55,26 @@ class IndexSettings:
     overlap: int = 10
 
 
+def _same_level(segments: list[dict], fanout: int) -> tuple[int, int] | None:
+    """The newest run of ``fanout`` neighbours of one level, where a segment has at least the
+    level of those after it."""
+    levels: list[int] = []
+    for s in reversed(segments):
+        levels.insert(0, max(s["level"], levels[0] if levels else 0))
+    for end in range(len(levels), fanout - 1, -1):
+        if len(set(levels[end - fanout : end])) == 1:
+            return end - fanout, end
+    return None
+
+
 class Collection:
     """A named index below ``root``, a folder that all executors share, in any store that Spark reads."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str | None):
+    def __init__(self, spark: SparkSession, root: str, name: str | None, retained: float = RETAINED_SECONDS):
         name = name or os.environ.get("COLLECTION_NAME")
         if not name:
             raise ValueError("Error: a collection name is required.")
-        self.spark, self.name, self.folder = spark, name, f"{root.rstrip('/')}/{name}"
+        self.spark, self.name, self.folder, self.retained = spark, name, f"{root.rstrip('/')}/{name}", retained
 
     # ---- files of the log, by Hadoop's file system
 
@@ -60,13 +82,17 @@ class Collection:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _numbers(self) -> list[int]:
+    def _listed(self) -> dict[int, float]:
+        """The numbers of the log's states in order, with the seconds since each was made."""
         at, fs = self._fs(f"{self.folder}/log")
-        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+        found = {f.getPath().getName(): f.getModificationTime() / 1000 for f in fs.listStatus(at)} if fs.exists(at) else {}
+        return {int(n.removesuffix(".json")): time.time() - made for n, made in sorted(found.items()) if n.endswith(".json")}
+
+    def _numbers(self) -> list[int]:
+        return list(self._listed())
 
     def _read(self, number: int) -> dict:
-        return json.loads(self.spark.read.text(f"{self.folder}/log/{number:010d}.json", wholetext=True).first()[0])
+        return json.loads(read_bytes(self.spark, f"{self.folder}/log/{number:010d}.json"))
 
     def _state(self) -> dict | None:
         numbers = self._numbers()
@@ -88,17 +114,40 @@ class Collection:
             out = fs.create(made, True)
             out.write(bytearray(json.dumps(state).encode()))
             out.close()
-            fs.rename(made, self._fs(f"{self.folder}/log/{number:010d}.json")[0])
+            committed = self._renamed(made, f"{self.folder}/log/{number:010d}.json")
             fs.delete(claim, False)
-            self._clean([*numbers, number])
-            return
+            if committed:
+                self._clean()
+                return
+            fs.delete(made, False)  # a writer that took this one's claim for stale was first
         raise RuntimeError(f"Error: other writers keep changing {self.name}.")
 
-    def _clean(self, numbers: list[int]) -> None:
-        listed = lambda number: {s["name"] for s in self._read(number)["segments"]}
-        kept = set().union(*map(listed, numbers[-2:]))
-        for number in numbers[:-2]:
-            for name in listed(number) - kept:
+    def _renamed(self, made, to: str) -> bool:
+        """Rename to a name that must not exist yet; whether it was done."""
+        sc = self.spark.sparkContext
+        rename = getattr(sc._jvm, "org.apache.hadoop.fs.Options$Rename")
+        how = sc._gateway.new_array(rename, 1)
+        how[0] = rename.NONE
+        at, _ = self._fs(to)
+        try:
+            sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), sc._jsc.hadoopConfiguration()).rename(made, at, how)
+        except Py4JJavaError as wrong:
+            if "FileAlreadyExists" in str(wrong.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
+
+    def _clean(self) -> None:
+        """Delete states that were replaced long enough ago, and the segments that only they list."""
+        ages = self._listed()
+        numbers = list(ages)
+        old = [n for n, after in zip(numbers, numbers[1:], strict=False) if ages[after] > self.retained]
+        if not old:
+            return
+        # A segment that a state no longer lists is in none after it.
+        kept = {s["name"] for s in self._read(numbers[len(old)])["segments"]}
+        for number in old:
+            for name in {s["name"] for s in self._read(number)["segments"]} - kept:
                 at, fs = self._fs(f"{self.folder}/{name}")
                 fs.delete(at, True)
             at, fs = self._fs(f"{self.folder}/log/{number:010d}.json")
@@ -106,13 +155,19 @@ class Collection:
 
     # ---- segments
 
-    def _segment(self, entries: DataFrame | None, manifest: DataFrame | None, gone: DataFrame | None) -> dict:
+    def _segment(self, entries: DataFrame | None, manifest: DataFrame | None, gone: DataFrame | None, level: int = 0) -> dict:
+        """Write a segment; one that fails leaves nothing behind."""
         name = f"segment-{uuid.uuid4().hex}"
         parts = {"entries": entries, "manifest": manifest, "gone": gone}
-        for part, df in parts.items():
-            if df is not None:
-                df.write.parquet(f"{self.folder}/{name}/{part}")
-        return {"name": name, "parts": [part for part, df in parts.items() if df is not None]}
+        try:
+            for part, df in parts.items():
+                if df is not None:
+                    df.write.parquet(f"{self.folder}/{name}/{part}")
+        except Exception:
+            at, fs = self._fs(f"{self.folder}/{name}")
+            fs.delete(at, True)
+            raise
+        return {"name": name, "parts": [part for part, df in parts.items() if df is not None], "level": level}
 
     def _part(self, segments: list[dict], part: str) -> DataFrame | None:
         """A part of all segments, with the place of each row's segment as ``_at``."""
@@ -178,20 +233,27 @@ class Collection:
         self.compact()
         return written
 
-    def compact(self, segments: int = MAX_SEGMENTS) -> None:
-        """Write the segments there are as one if there are so many; those added meanwhile stay."""
-        state = self._state()
-        if state is None or len(state["segments"]) < segments:
-            return
-        old = state["segments"]
-        merged = self._segment(self._entries(old), self._manifest(old), None)
-
-        def change(now: dict | None) -> dict:
-            if now is None or now["segments"][: len(old)] != old:
-                return now or state
-            return now | {"segments": [merged, *now["segments"][len(old) :]]}
-
-        self._commit(change)
+    def compact(self, fanout: int = FANOUT) -> int:
+        """Write neighbours of one level as one segment of the next, as long as there are
+        ``fanout`` of them; returns how many segments were written."""
+        written = 0
+        while (state := self._state()) and (place := _same_level(state["segments"], fanout)):
+            begin, end = place
+            old = state["segments"][begin:end]
+            # Rows of earlier segments stay void by the paths that these make void.
+            gone = self._part(old, "gone") if begin else None
+            merged = self._segment(self._entries(old), self._manifest(old), None if gone is None else gone.select("rel_path").distinct(), max(s["level"] for s in old) + 1)
+
+            def change(now: dict | None, old: list[dict] = old, merged: dict = merged) -> dict:
+                names = [s["name"] for s in now["segments"]]
+                at = names.index(old[0]["name"]) if old[0]["name"] in names else -1
+                if at < 0 or names[at : at + len(old)] != [s["name"] for s in old]:
+                    return now  # another writer has merged or replaced them
+                return now | {"segments": [*now["segments"][:at], merged, *now["segments"][at + len(old) :]]}
+
+            self._commit(change)
+            written += 1
+        return written
 
     def last_batch(self, stream: str) -> int:
         """The number of the last batch of a stream that was added, or -1."""
@@ -256,26 +318,37 @@ def index_files(collection: Collection, files: DataFrame, *, chunk_lines: int =
     return f"Indexed {sum(n.values())} chunk(s) into {collection.name}: {n.get('code', 0)} code, {n.get('doc', 0)} doc."
 
 
-def sync_files(collection: Collection, files: DataFrame, *, chunk_lines: int = 50, overlap: int = 10, embedder: Embedder = HashingEmbedder()) -> str:
-    """Bring a collection up to the whole of ``files(rel_path, content)``: all are hashed, only
-    those that changed are read again, cut and written.
+def sync_files(collection: Collection, files: DataFrame, *, chunk_lines: int = 50, overlap: int = 10, embedder: Embedder = HashingEmbedder(), hashes: DataFrame | None = None) -> str:
+    """Bring a collection up to the whole of ``files(rel_path, content)``: all are hashed, those
+    that changed are cut and written.
 
-    Other chunk parameters or a missing collection make every file a changed one.
+    ``hashes(rel_path, sha256)`` are those of ``files``, if its source can make them without the
+    contents. Up to NAMED_PATHS changed files are asked for by name, so that a source that takes
+    filters on ``rel_path`` over reads only those. Other chunk parameters or a missing collection
+    make every file a changed one.
     """
     settings = IndexSettings(embedder.name, embedder.dimensions, chunk_lines, overlap)
     _check(collection, settings)
     was = collection.settings()
     old = collection.manifest()
     known = old if was == settings else old.withColumn("sha256", F.lit(None).cast("string"))
-    changes = checkpoint(diff(file_hashes(files), known))
+    changes = checkpoint(diff(file_hashes(files) if hashes is None else hashes, known))
     changed, removed, unchanged = counts(changes).first()
     if not changed and not removed and was == settings:
         return f"No changes: {unchanged} file(s) up to date in {collection.name}."
-    entries, manifest = _chunks(files_to_chunk(files, changes), settings, embedder)
+    entries, manifest = _chunks(_named(files, changes, changed), settings, embedder)
     written = collection.add(entries, manifest, changes.where("status IN ('changed', 'removed')").select("rel_path"), settings)
     return f"Synced {collection.name}: {changed} changed, {removed} removed, {unchanged} unchanged; {written.count()} new chunk(s)."
 
 
+def _named(files: DataFrame, changes: DataFrame, n: int) -> DataFrame:
+    """The changed files: by their names if these are few, else by a join."""
+    if n > NAMED_PATHS:
+        return files_to_chunk(files, changes)
+    names = [r["rel_path"] for r in changes.where("status IN ('added', 'changed')").select("rel_path").toLocalIterator()]
+    return files.where(F.col("rel_path").isin(names)) if names else files.limit(0)
+
+
 def upsert_files(collection: Collection, batch: DataFrame, *, chunk_lines: int = 50, overlap: int = 10, embedder: Embedder = HashingEmbedder(), stream: tuple[str, int] | None = None) -> int:
     """Bring ``batch(rel_path, content)`` into a collection and leave other files alone; a null
     content takes its file out. Returns the number of paths that changed.
@@ -312,8 +385,10 @@ def index_repo(collection: Collection, root: str, *, chunk_lines: int = 50, over
 
 
 def sync_repo(collection: Collection, root: str, *, chunk_lines: int = 50, overlap: int = 10, embedder: Embedder = HashingEmbedder(), **options: str) -> str:
-    """Bring a collection up to date with a tree: only changed files are cut anew."""
-    return sync_files(collection, _tree(collection.spark, root, options), chunk_lines=chunk_lines, overlap=overlap, embedder=embedder)
+    """Bring a collection up to date with a tree. Every file is streamed through SHA-256 once;
+    only changed ones are opened once more, read and cut."""
+    files, hashes = (_tree(collection.spark, root, options | more) for more in ({}, {"digest": "true"}))
+    return sync_files(collection, files, chunk_lines=chunk_lines, overlap=overlap, embedder=embedder, hashes=hashes.select("rel_path", "sha256"))
 
 
 def preview_entries(entries: DataFrame, limit: int = 10, one_line: bool = True) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textmill.functions.providers import Embedder, HashingEmbedder, Reachability
 from textmill.operators.events import allowed, command_of, command_route, web_route
 from textmill.operators.index import Collection, upsert_files
+from textmill.sources.corpus import read_corpus_stream
 
 EVENT_SCHEMA = "tool_name string, tool_input string, tool_response string"
 
@@ -42,3 +45,12 @@ def sync_stream(files: DataFrame, collection: Collection, checkpoint: str, *, ch
         upsert_files(own, batch, chunk_lines=chunk_lines, overlap=overlap, embedder=embedder, stream=(checkpoint, number))
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sync_tree(spark: SparkSession, root: str, collection: Collection, checkpoint: str, *, chunk_lines: int = 50, overlap: int = 10, embedder: Embedder = HashingEmbedder(), **options: str) -> StreamingQuery:
+    """Keep a collection up to date with a tree on the driver's and the executors' disks: each run
+    takes what changed since the last one. Listings of the tree are kept below ``checkpoint``.
+    A file that can't be read stays as it was in the collection."""
+    state = os.path.join(checkpoint.removeprefix("file://"), "listings")
+    changes = read_corpus_stream(spark, root, state, **options).where(F.col("error").isNull())
+    return sync_stream(changes.select("rel_path", "content"), collection, checkpoint, chunk_lines=chunk_lines, overlap=overlap, embedder=embedder)
