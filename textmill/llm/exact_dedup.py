@@ -30,7 +30,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.common import checkpoint, small, table
@@ -244,10 +244,11 @@ def _hit_texts(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, dig
 def _mismatches(hits: DataFrame, texts: DataFrame) -> DataFrame:
     """Entries whose bytes differ from those of the entry kept.
 
-    Members of a group are split into chunks, each with its own copy of the kept text, so
-    that no task gets a whole group.
+    Members of a group are dealt into chunks by their hash, each with its own copy of the kept
+    text, so that no task gets a whole group.
     """
-    members = hits.select("entry", F.col("keep.entry").alias("keep_entry"), F.floor(F.col("rank") / VERIFY_CHUNK).alias("chunk"), F.lit(False).alias("is_keep"))
+    chunk = F.pmod(F.xxhash64("entry"), F.ceil(F.col("group_size") / VERIFY_CHUNK))
+    members = hits.select("entry", F.col("keep.entry").alias("keep_entry"), chunk.alias("chunk"), F.lit(False).alias("is_keep"))
     keeps = members.select(F.col("keep_entry").alias("entry"), "keep_entry", "chunk", F.lit(True).alias("is_keep")).distinct()
     both = members.unionByName(keeps).join(texts, "entry").select("entry", "keep_entry", "chunk", "raw", "is_keep")
     both = both.repartition("keep_entry", "chunk").sortWithinPartitions("keep_entry", "chunk", F.col("is_keep").desc())
@@ -288,7 +289,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = members.select("entry", "digest", "doc_id", "uid", "keep", "group_size")
     led = log.where("kind = 2").select(F.col("rep").alias("entry")).distinct()
     met = index.where("n_entries > 1").unionByName(index.where("n_entries = 1").join(led, "entry", "left_semi")).drop("n_entries").unionByName(members)
-    hits = checkpoint(met.withColumn("rank", F.row_number().over(Window.partitionBy("keep.entry").orderBy("entry"))))
+    hits = checkpoint(met)
     index = index.drop("n_entries").unionByName(members)
     texts = _hit_texts(docs, hits, id_col, text_col, digest)
     bad = checkpoint(_mismatches(hits, texts))
