@@ -596,3 +596,38 @@ def test_words_are_spelt_alike_together_and_alone():
         raw = M.pack(ids, size)
         assert len(set(M.keys_of(raw, size))) == len(words)
         assert [x.tolist() for x in M.unpack(raw)] == [ids.tolist(), size.tolist()]
+
+
+PROSE = "This is a sentence of the article, with words enough to count as prose. " * 4
+SEARCH = "<form class=search><label>Find</label><input name=q><p>Search this site.</p><button>Go</button></form>"
+LAYOUTS = {
+    "search form in the article": "<article>{}" + SEARCH + "</article>",
+    "text field in the main part": "<main>{}<textarea>typed</textarea></main>",
+    "hidden by its attribute": "<main>{}<div hidden>not shown here.</div></main>",
+    "hidden by its style": '<main>{}<div class=x style="color: red; display:none">not shown here.</div></main>',
+    "advert in the article": "<article>{}<div class=ad>Buy now, it is cheap.</div></article>",
+    "a page within a form": '<form id=page action=/><article>{}<select><option>one<option>two</select></article></form>',
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("n", [1, 2, 3, 6])
+def test_articles_are_kept_whole(layout, n):
+    page = "<body><nav><a href=/>Home</a></nav>" + LAYOUTS[layout].format(f"<p>{PROSE}</p>" * n) + "</body>"
+    assert H.extract(H.trained_model(), [page]) == ["\n".join([PROSE.strip()] * n)]
+
+
+def test_short_articles_and_bare_values():
+    pages = ["<nav><a>Home</a></nav><article><p>Yes.</p></article>", "<nav><a href=/>Home</a><a href=/a>About</a></nav><main><p>Sold out.</p></main><footer>c</footer>"]
+    assert H.extract(H.trained_model(), pages) == ["Yes.", "Sold out."]
+
+
+def test_held_out_layouts():
+    """Of 200 made pages of another seed: 9 of 10 articles exactly, 99 of 100 characters kept and right."""
+    doms, labels = zip(*labelled_pages(200, 99), strict=True)
+    odds = np.split(H.trained_model().marginals(H.flatten(list(doms))), np.cumsum([len(d.parent) for d in doms])[:-1])
+    same = sum(H.main_text(d, o > 0) == H.main_text(d, y > 0.5) for d, o, y in zip(doms, odds, labels, strict=True))
+    chars = [np.array([len(t.strip()) if t else 0 for t in d.text]) for d in doms]
+    total = lambda which: sum(int(c[which(o, y)].sum()) for c, o, y in zip(chars, odds, labels, strict=True))
+    both = total(lambda o, y: (o > 0) & (y > 0.5))
+    assert same >= 180 and both >= 0.99 * total(lambda o, y: o > 0) and both >= 0.985 * total(lambda o, y: y > 0.5)

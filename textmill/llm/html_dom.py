@@ -56,6 +56,10 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table "
     "tbody td tfoot th thead tr ul".split()
 )
+#: Parts of a form that are no text, wherever they are.
+CONTROLS = frozenset("button datalist input label legend meter optgroup option output progress select textarea".split())
+#: A form whose other text is shorter, and that holds no article, isn't part of the page; a longer one is a page within a form.
+FORM_CHARS = 400
 #: A start tag closes an open element of these kinds, up to the nearest of the second set.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset("ul ol menu".split())), "dt": (frozenset("dt dd".split()), frozenset(["dl"])), "dd": (frozenset("dt dd".split()), frozenset(["dl"])),
@@ -71,11 +75,16 @@ _TOKEN = re.compile(
 )
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+# A value without quotes that ends in a slash, which is no slash of the element then.
+_BARE_END = re.compile(r"=\s*[^\s\"']*/\s*\Z")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 
 
 @dataclass
 class Dom:
-    """Nodes in page order; a node's parent comes before it. Text that is never shown isn't kept."""
+    """Nodes in page order; a node's parent comes before it. What is never shown, controls and
+    short forms have no nodes."""
 
     parent: list[int] = field(default_factory=lambda: [-1])
     group: list[int] = field(default_factory=lambda: [0])
@@ -95,6 +104,11 @@ class Dom:
         self.mark.append(mark)
         return len(self.parent) - 1
 
+    def cut(self, node: int) -> None:
+        """Take out the last nodes from ``node`` on."""
+        for own in (self.parent, self.group, self.depth, self.marks, self.block, self.text, self.mark):
+            del own[node:]
+
 
 def _marks(attributes: str) -> int:
     found = 0
@@ -106,22 +120,34 @@ def _marks(attributes: str) -> int:
     return found
 
 
+def _unseen(attributes: str) -> bool:
+    """Whether an element is hidden by its own attributes."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)}
+    return "hidden" in found or bool(_UNSEEN.search(found.get("style", "")))
+
+
 def parse(page: str, mark_attribute: str | None = None) -> Dom:
     """The DOM of a page. ``mark_attribute`` names an attribute to note, for labelled pages."""
     dom = Dom()
-    stack: list[tuple[str, int]] = [("#root", 0)]
-    block = at = hidden = 0
+    stack: list[tuple[str, int, bool]] = [("#root", 0, False)]
+    block = at = hidden = covered = 0
     marked = re.compile(rf"{mark_attribute}=\"?(\w+)") if mark_attribute else None
 
     def text(begin: int, end: int) -> None:
-        if begin < end and not hidden:
+        if begin < end and not hidden and not covered:
             dom.add(stack[-1][1], TEXT, 0, block, html.unescape(page[begin:end]))
 
     def pop(n: int) -> None:
-        nonlocal block, hidden
-        for tag, _ in stack[n:]:
+        nonlocal block, hidden, covered
+        for tag, node, unseen in reversed(stack[n:]):
             block += tag in BLOCK
             hidden -= tag in HIDDEN
+            covered -= unseen
+            if tag == "form" and not covered and not unseen and _is_form(dom, node):
+                dom.cut(node)
         del stack[n:]
 
     def close(kinds: frozenset, within: frozenset) -> None:
@@ -145,11 +171,11 @@ def parse(page: str, mark_attribute: str | None = None) -> Dom:
                     break
         elif tag := m["start"]:
             tag, attributes = tag.lower(), m["attributes"]
-            if tag in ("html", "body") and len(stack) > 1 and any(t == tag for t, _ in stack):
+            if tag in ("html", "body") and len(stack) > 1 and any(t == tag for t, _, _ in stack):
                 continue
             if hidden and tag not in IN_HEAD:
                 # Whatever doesn't belong in a head ends it, with or without its end tag.
-                pop(next((k for k, (t, _) in enumerate(stack) if t == "head"), len(stack)))
+                pop(next((k for k, (t, _, _) in enumerate(stack) if t == "head"), len(stack)))
             if tag in CLOSES:
                 close(*CLOSES[tag])
             if tag in CLOSES_P:
@@ -161,21 +187,27 @@ def parse(page: str, mark_attribute: str | None = None) -> Dom:
                         break
             if tag in RAW:
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-                if tag == "textarea" and not hidden:
-                    node = dom.add(stack[-1][1], GROUP_OF[tag], 0, block, None)
-                    dom.add(node, TEXT, 0, block, html.unescape(page[at : end.start() if end else len(page)]))
                 at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)
                 continue
             if tag in BLOCK:
                 block += 1
-            if hidden:
+            unseen = tag in CONTROLS or _unseen(attributes)
+            if hidden or covered or unseen:
                 node = stack[-1][1]
             else:
                 node = dom.add(stack[-1][1], GROUP_OF.get(tag, OTHER), _marks(attributes) if "=" in attributes else 0, block, None, m_[1] if marked and (m_ := marked.search(attributes)) else None)
-            if tag == "br" and not hidden:
+            if tag == "br" and not hidden and not covered:
                 dom.add(stack[-1][1], TEXT, 0, block, " ")
-            if tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
-                stack.append((tag, node))
+            closed = attributes.rstrip().endswith("/") and not _BARE_END.search(attributes)
+            if tag not in VOID and (tag in BLOCK or not closed):
+                stack.append((tag, node, unseen))
                 hidden += tag in HIDDEN
+                covered += unseen
     text(at, len(page))
+    pop(1)
     return dom
+
+
+def _is_form(dom: Dom, node: int) -> bool:
+    """Whether an element of a page that has ended is a form, by what it holds besides controls."""
+    return GROUP_OF["article"] not in dom.group[node:] and sum(len(t.strip()) for t in dom.text[node:] if t) < FORM_CHARS

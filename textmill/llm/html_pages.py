@@ -71,6 +71,21 @@ def _share(w: _Writer) -> str:
     return w.wrap(("div.share", "div.social", "ul.tags", "div.related"), w.links(2, 5), " data-c=0")
 
 
+def _unseen(w: _Writer) -> str:
+    return w.wrap(("div", "p", "section.popup"), w.prose(1, 3), w.rng.choice((" hidden", ' style="display: none"', " style='color:red;visibility:hidden'")) + " data-c=0")
+
+
+def _control(w: _Writer) -> str:
+    return w.rng.choice((f"<textarea data-c=0>{w.words(1, 5)}</textarea>", f"<select data-c=0><option>{w.word()}<option>{w.word()}</select>", f"<button data-c=0>{w.words(1, 2)}</button>"))
+
+
+def _short_article(w: _Writer) -> str:
+    """A word or a sentence or two, with or without a title."""
+    r = w.rng
+    body = (f"<h1>{w.words(1, 4)}</h1>" if r.random() < 0.3 else "") + "".join(f"<p>{w.inline(r.choice((w.words(1, 2).capitalize() + '.', w.sentence(1, 6))))}</p>" for _ in range(r.choice((1, 1, 2))))
+    return w.wrap(("article", "article", "main", "div.content", "div.post"), body + (r.choice((_form, _control, _unseen, _advert))(w) if r.random() < 0.3 else ""), " data-c=1")
+
+
 def _comments(w: _Writer) -> str:
     one = w.rng.choice(("<div class=comment><b>{1}</b><p>{0}</p></div>", "<li class=comment>{1}: {0}</li>", "<article class=comment><header>{1}</header><p>{0}</p></article>"))
     body = "".join(one.format(w.prose(1, 4), w.word()) for _ in range(w.rng.randint(1, 5)))
@@ -87,7 +102,7 @@ def _header(w: _Writer) -> str:
 
 
 def _menu(w: _Writer) -> str:
-    return w.wrap(("nav", "div.menu", "div#nav", "ul.navbar", "nav.breadcrumbs"), w.links())
+    return w.wrap(("nav", "div.menu", "div#nav", "ul.navbar", "nav.breadcrumbs"), w.links(*w.rng.choice(((1, 1), (1, 2), (2, 4), (3, 9), (3, 9)))))
 
 
 def _footer(w: _Writer) -> str:
@@ -121,8 +136,8 @@ def _article(w: _Writer) -> str:
             parts.append(f"<figure><img src=x><figcaption>{w.sentence()}</figcaption></figure>")
         else:
             parts.append(f"<p>{w.words(1, 3)}.</p>")
-        if r.random() < 0.06:
-            parts.append(r.choice((_advert, _notice, _form, _share))(w))
+        if r.random() < 0.12:
+            parts.append(r.choice((_advert, _notice, _form, _share, _unseen, _control))(w))
     if r.random() < 0.15:
         parts.append(_comments(w))
     body = "".join(parts)
@@ -140,7 +155,10 @@ def labelled_pages(n: int, seed: int) -> Iterator[tuple[Dom, np.ndarray]]:
         after = [f(w) for f, p in ((_advert, 0.3), (_share, 0.2), (_comments, 0.35), (_sidebar, 0.35), (_form, 0.2), (_notice, 0.15), (_footer, 0.8)) if r.random() < p]
         if r.random() < 0.7:
             r.shuffle(before)
-        middle = _article(w)
+        short = r.random() < 0.15
+        if short and r.random() < 0.5:
+            before, after = before[:1] or [_menu(w)], after[-1:]
+        middle = _short_article(w) if short else _article(w)
         if r.random() < 0.3:
             middle = w.wrap(("div", "main", "div.page", "div#wrapper", "section"), middle + (after.pop(0) if after and r.random() < 0.5 else ""))
         page = f"<!DOCTYPE html><html><head><title>{w.words(1, 6)}</title><style>p{{}}</style></head><body>{''.join(before)}<script>x('</p>')</script>{middle}{''.join(after)}"
