@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 
 from textmill.llm.language_id import UNKNOWN
-from textmill.llm.license_scan import MIN_COVERAGE, TEMPLATES, Scanner, words_of
+from textmill.llm.license_scan import MIN_COVERAGE, REQUIRED, TEMPLATES, Scanner, words_of
 from textmill.llm.packing import lower_bound
 from textmill.llm.registry import QUERIES
 
@@ -122,13 +122,12 @@ def test_op8(spark, docs):
     for r in rows(spark, "op8_license_scan"):
         got.setdefault(r["doc_id"], []).append((r["license"], r["n_matched"]))
     assert set(got) == set(docs)
-    scanner = Scanner(TEMPLATES, MIN_COVERAGE)
+    scanner = Scanner(TEMPLATES, MIN_COVERAGE, REQUIRED)
     for i, own in got.items():
         text = words_of(docs[i]["text"])
-        held, want = Counter(text), []
-        for name, template, need in zip(scanner.names, scanner.words, scanner.need, strict=True):
-            if sum(min(n, held[w]) for w, n in Counter(template).items()) >= need:
-                want += [(name, n) for _, _, n in scan_brute(text, template, need)]
+        held = Counter(text)
+        enough = [t for t, (words, need) in enumerate(zip(scanner.words, scanner.need, strict=True)) if sum(min(n, held[w]) for w, n in Counter(words).items()) >= need]
+        want = [(scanner.names[t], n) for _, _, n, t in scan_brute(text, scanner, enough)]
         assert sorted(own, key=str) == sorted(want or [(None, None)], key=str)
 
 

@@ -421,23 +421,45 @@ def test_licenses_in_windows_that_another_outweighs_and_repeated():
     assert found[0][4] <= found[1][3]
 
 
-def scan_brute(words, template, need):
-    """Matches of every window of the text that begins at a word of the template, chosen as the
-    scanner's docstring says."""
-    width = int(np.ceil(C.STRETCH * len(template)))
+def scan_brute(words, scanner, only=None):
+    """Matches of every window of the text that begins at a word of a template, chosen as the
+    scanner's docstring says: (first word, last word, matched words, template)."""
     places = set()
-    for begin in (k for k, w in enumerate(words) if w in set(template)):
-        matched = C.patience(words[begin : begin + width], template)
-        if len(matched) >= need:
-            first, last = begin + matched[0][0], begin + matched[-1][0]
-            places.add((-len(matched), last - first, first, last))
+    for t, template in enumerate(scanner.words):
+        if only is not None and t not in only:
+            continue
+        width = int(np.ceil(C.STRETCH * len(template)))
+        for begin in (k for k, w in enumerate(words) if w in set(template)):
+            matched = C.patience(words[begin : begin + width], template)
+            if len(matched) >= scanner.need[t] and scanner.required[t] <= {words[begin + p] for p, _ in matched}:
+                first, last = begin + matched[0][0], begin + matched[-1][0]
+                places.add((-len(matched), last - first, first, last, t))
     taken = []
-    for n, _, first, last in sorted(places):
-        if all(last < a or first > b for a, b, _ in taken):
-            taken.append((first, last, -n))
+    for n, _, first, last, t in sorted(places):
+        if all(last < a or first > b for a, b, _, _ in taken):
+            taken.append((first, last, -n, t))
     return sorted(taken)
 
 
+LICENSE_LINES = {
+    "Released under the BSD License.": "BSD notice", "Released under the GPL License.": "GPL notice", "Released under the MIT License.": "MIT notice", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0 notice", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0 notice",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 notice", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0",
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0 notice", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 notice",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "GPL-2.0",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "LGPL-2.1",
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "LGPL-3.0",
+    "Licensed under the Apache Software License, Version 1.1.": "Apache-1.1 notice", "Licensed under the Apache License, Version 2.0.": "Apache-2.0 notice", C.BSD_TWO: "BSD-2-Clause", C.MIT_GRANT: "MIT grant", "Released under the Foo License.": None, "Permission to use, copy and eat.": None,
+}
+
+
+def test_licenses_of_a_family_are_told_apart():
+    scanner = C.Scanner(C.TEMPLATES, C.MIN_COVERAGE, C.REQUIRED)
+    for line, name in LICENSE_LINES.items():
+        assert [n for n, *_ in scanner.scan(f"Some words. {line} More words.")] == ([name] if name else [])
+    for name, text in C.TEMPLATES.items():
+        assert [(n, c) for n, c, *_ in scanner.scan(text)] == [(name, 1)]
+
+
 def test_licenses_against_every_window():
     r = random.Random(11)
     template = [f"w{k}" for k in range(12)] + ["of", "the", "of"]
@@ -452,7 +474,7 @@ def test_licenses_against_every_window():
             r.random() < 0.15 and r.shuffle(own)
             words += own + ["z"] * r.choice((0, 0, 1, 9))
         got = [(text[:start].count(" "), text[:end].count(" "), n) for text in [" ".join(words)] for _, _, n, start, end in scanner.scan(text)]
-        assert got == scan_brute(words, template, scanner.need[0])
+        assert got == [x[:3] for x in scan_brute(words, scanner)]
 
 
 def test_a_true_notice_after_its_words_in_disorder(spark):
@@ -462,7 +484,7 @@ def test_a_true_notice_after_its_words_in_disorder(spark):
     rows = spark.createDataFrame([(1, text), (1, isc), (None, isc), (None, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["license"]) for r in C.license_scan(rows).collect()), key=str)
     assert got == sorted([(1, "ISC"), (1, "ISC"), (None, "ISC"), (None, None)], key=str)
-    (_, coverage, _, start, end), *_ = C.Scanner(C.TEMPLATES, 0.8).scan(text)
+    (_, coverage, _, start, end), *_ = C.Scanner(C.TEMPLATES, 0.8, C.REQUIRED).scan(text)
     assert (coverage, text[start:end]) == (1, isc[:-1])
 
 
