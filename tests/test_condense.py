@@ -1,14 +1,18 @@
 """Condensing, events, evaluation and streams."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.functions.providers import BatchCompleter, BatchFetcher, BatchRunner, ExtractiveCompleter, describe_models, is_reachable, resolve_model
+from textmill.functions import text as T
+from textmill.functions.providers import BatchCompleter, BatchEmbedder, BatchFetcher, BatchRunner, ExtractiveCompleter, describe_models, is_reachable, resolve_model
 from textmill.functions.settings import number_setting
 from textmill.operators import compress as C
 from textmill.operators import evaluate, events
+from textmill.operators.asked import StoredEmbedder
+from textmill.operators.index import embed_entries
 from textmill.streaming.streams import route_events
 
 LONG = "w" * 81
@@ -247,3 +251,104 @@ def test_deep_and_odd_json(spark):
     back = {r["id"]: r["w"] for r in frame.select("id", events.write_back(F.col("j"), F.lit("R")).alias("w")).collect()}
     assert back[1] == deep and back[2] == "[" * 500 + '"R"' + "]" * 500 and back[4] == "[" * 300_000 and back[5] is None
     assert events.rewrite('{"a": "\\ud800", "b": "' + "x" * 200 + '"}', "R", 200) == '{"a": "\\ud800", "b": "R"}'
+
+
+def counting(folder, answer, fail_once=None):
+    """A completer that notes each prompt it gets as a file; ``fail_once`` raises for a text the first time."""
+
+    def make():
+        def complete(prompts):
+            out = []
+            for p in prompts:
+                if fail_once and fail_once in p and not (folder / "failed").exists():
+                    (folder / "failed").write_text("")
+                    raise RuntimeError("lost")
+                (folder / uuid.uuid4().hex).write_text(p)
+                out.append(answer(p))
+            return out
+
+        return complete
+
+    return BatchCompleter(make)
+
+
+def asked_of(folder):
+    return [p.read_text() for p in folder.iterdir() if p.name != "failed"]
+
+
+def test_request_groups():
+    assert C.request_groups([5, 5, 5, 5, 5], 10) == [0, 0, 1, 1, 2] and C.request_groups([50, 50, 1, 1, 1], 10) == [0, 0, 1, 1, 1] and C.request_groups([], 10) == []
+
+
+def test_a_long_text_is_combined_in_rounds(spark, tmp_path):
+    """2,000,000 characters whose 167 summaries don't fit one request: each request fits, and a
+    second run asks nothing."""
+    (tmp_path / "asked").mkdir()
+    text = "".join(f"{k:07d}|" * 1500 for k in range(167))[:2_000_000]
+    limits = C.Limits(combine_chars=3_000)
+    body = lambda p: p.split("\n\n", 1)[1]
+    done = lambda p: body(p)[:400] if p.startswith("Write") else "YES" if p.startswith("Answer") else "merged " + body(p)[:200]
+    completer = counting(tmp_path / "asked", done)
+    df = spark.createDataFrame([(1, text), (2, text), (3, "x" * 2_000)], "i int, t string")
+    runs = []
+    for _ in range(2):
+        got = {r["i"]: r["result"] for r in C.compress(df, "i", "t", limits=limits, completer=completer, answers=C.Answers(str(tmp_path / "kept"))).collect()}
+        runs.append(({i: r["body"] for i, r in got.items()}, len(asked_of(tmp_path / "asked"))))
+        assert got[1]["status"] == "compressed" and got[1]["n_chunks"] == 167 and got[1]["body"].startswith("merged ") and got[1]["body"] == got[2]["body"]
+    assert runs[0] == runs[1]
+    prompts = asked_of(tmp_path / "asked")
+    combining = [p for p in prompts if p.startswith("Merge")]
+    assert len(combining) > 20 and max(len(body(p)) for p in combining) <= 3_000
+    assert len(set(prompts)) == len(prompts)  # equal texts are asked about once
+
+
+def test_a_lost_task_asks_only_its_own_again(spark, tmp_path):
+    """A request that is lost with its task is asked again; answers that were written aren't."""
+    (tmp_path / "asked").mkdir()
+    limits = C.Limits(skip_if_under_chars=1, chunk_chars=4)
+    completer = counting(tmp_path / "asked", lambda p: "YES" if p.startswith("Answer") else p[-4:], fail_once="Merge")
+    df = spark.createDataFrame([(k, f"{k}aaa{k}bbb") for k in range(6)], "i int, t string")
+    run = lambda: C.compress(df, "i", "t", limits=limits, completer=completer, answers=C.Answers(str(tmp_path / "kept"))).collect()
+    with pytest.raises(Exception, match="lost"):
+        run()
+    first = asked_of(tmp_path / "asked")
+    assert sum(p.startswith("Merge") for p in first) < 6
+    assert {r["result"]["status"] for r in run()} == {"compressed"}
+    again = asked_of(tmp_path / "asked")
+    kinds = lambda prompts: {k: sum(p.startswith(k) for p in prompts) for k in ("Answer", "Write")}
+    assert kinds(again) == kinds(first) == {"Answer": 12, "Write": 12}
+
+
+def test_vectors_are_kept(spark, tmp_path):
+    (tmp_path / "asked").mkdir()
+    folder = tmp_path / "asked"
+
+    def make():
+        def vectors(texts):
+            for t in texts:
+                (folder / uuid.uuid4().hex).write_text(t)
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return vectors
+
+    embedder = StoredEmbedder(BatchEmbedder("lengths", 2, make), str(tmp_path / "kept"))
+    chunks = spark.createDataFrame([("a", 1), ("bb", 2), ("a", 3), (None, 4)], "content string, chunk_no int")
+    for more in ([], [("ccc", 5)]):
+        rows = chunks.unionByName(spark.createDataFrame(more, chunks.schema))
+        got = sorted((r["chunk_no"], r["vec"]) for r in embed_entries(rows, embedder).collect())
+        assert got == [(1, [1.0, 1.0]), (2, [2.0, 1.0]), (3, [1.0, 1.0]), (4, None), *([(5, [3.0, 1.0])] if more else [])]
+    assert sorted(asked_of(folder)) == ["a", "bb", "ccc"]
+
+
+def test_repr_of_what_is_not_printed(spark):
+    texts = ["\x00\x7f​", "­ x　", "🙂\U000e0001", "it's\x1b", "é", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r[1] for r in sorted(df.select("i", C.python_repr(F.col("t"))).collect())] == [repr(t) for t in texts]
+
+
+def test_main_content(spark):
+    long = "A paragraph of the article that has words enough."
+    page = f"<html><head><title>t</title></head><body><nav><p>{long}</p></nav><!-- <p>{long} --><script>{long}</script><div><a href=/>{long}</a></div><article><h1>Title</h1><p>{long}</p><P class=x>Read <a href=/b>more</a>: {long}</p></article><footer><div>{long}</div></footer></body>"
+    df = spark.createDataFrame([(1, page), (2, "<p>short</p>"), (3, None), (4, ""), (5, "<p>" + long)], "i int, h string")
+    got = {r["i"]: r["m"] for r in df.select("i", T.main_content("h").alias("m")).collect()}
+    assert got == {1: f"{long}\nRead more : {long}", 2: "", 3: None, 4: "", 5: long}

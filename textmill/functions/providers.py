@@ -226,6 +226,26 @@ class HashingEmbedder:
         return scaled(F.coalesce(places, F.array().cast("array<int>")))
 
 
+@dataclass(frozen=True)
+class BatchEmbedder:
+    """A function from a list of texts to their vectors, made once for each task."""
+
+    name: str
+    dimensions: int
+    make: Callable[[], Callable[[list[str]], list[list[float]]]]
+
+    def embed(self, text: Column) -> Column:
+        make = self.make
+
+        @F.pandas_udf("array<float>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            vectors = make()
+            for texts in batches:
+                yield pd.Series([np.asarray(v, dtype=np.float32) for v in vectors(texts.tolist())] if len(texts) else [], dtype=object)
+
+        return run.asNondeterministic()(text)
+
+
 def resolve_model(explicit: str | None, configured: str | None, loaded: list[str] | None) -> tuple[str | None, str | None]:
     """(model, error): the one asked for, else the configured one, else the only one loaded."""
     if explicit or configured:

@@ -134,6 +134,25 @@ def strip_tags(c: str | Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(_col(c), "<[^>]+>", " "), rf"{SPACE_CLASS}+", " "))
 
 
+# Elements that are no main text with all they hold, and elements that begin or end a block.
+NO_TEXT = ("script", "style", "noscript", "template", "svg", "head", "nav", "header", "footer", "aside", "form", "select", "button", "textarea")
+BLOCKS = "address|article|blockquote|body|br|caption|dd|div|dl|dt|figcaption|figure|h[1-6]|hr|html|li|main|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
+#: A block of main text has so many characters, of which links are half at most.
+BLOCK_CHARS = 40
+
+
+def main_content(html: str | Column) -> Column:
+    """The main text of a page by the density of its blocks, a line each: those that are long
+    enough and mostly no links. Empty if there is none (callers fall back to ``strip_tags``)."""
+    page = F.regexp_replace(_col(html), "(?s)<!--.*?-->", " ")
+    for tag in NO_TEXT:
+        page = F.regexp_replace(page, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "\x01")
+    blocks = F.split(F.regexp_replace(page, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\x01"), "\x01", -1)
+    sized = F.transform(blocks, lambda b: F.struct(strip_tags(b).alias("text"), F.char_length(strip_tags(F.regexp_replace(b, r"(?is)<a(?:\s[^>]*)?>.*?</a\s*>", " "))).alias("unlinked")))
+    dense = F.filter(sized, lambda b: (F.char_length(b["text"]) >= BLOCK_CHARS) & (2 * b["unlinked"] >= F.char_length(b["text"])))
+    return F.array_join(F.transform(dense, lambda b: b["text"]), "\n")
+
+
 def or_default(c: str | Column, default: str | Column) -> Column:
     """The value, or the default where it is null or empty."""
     return F.coalesce(F.nullif(_col(c), F.lit("")), _col(default) if isinstance(default, Column) else F.lit(default))

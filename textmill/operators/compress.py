@@ -11,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.providers import MARKER, CommandRunner, Completer, ExtractiveCompleter, PageFetcher
 from textmill.functions.storage import checkpoint
-from textmill.functions.text import char_chunks, combined_output, heading_boundary, looks_positional, strip, strip_tags
+from textmill.functions.text import char_chunks, combined_output, heading_boundary, looks_positional, main_content, strip, strip_tags
+from textmill.operators.asked import Answers
 
 CHUNK_CHARS = 12_000
 SKIP_UNDER = 2_000
@@ -29,12 +31,16 @@ WEB_FOCUS = "Keep facts, figures, names and dates."
 
 @dataclass(frozen=True)
 class Limits:
+    """``combine_chars`` is what one request that combines parts can take; without it all parts
+    of a text go into one."""
+
     skip_if_under_chars: int = SKIP_UNDER
     chunk_chars: int = CHUNK_CHARS
     max_total_chars: int = MAX_TOTAL
+    combine_chars: int | None = None
 
     def __post_init__(self):
-        if self.chunk_chars < 1:
+        if self.chunk_chars < 1 or (self.combine_chars or 1) < 1:
             raise ValueError("a chunk needs at least one character")
 
 
@@ -80,21 +86,91 @@ def position_note(at: Column, n: Column, truncated: Column) -> Column:
     return F.when(n > 1, part).when(truncated, beginning).otherwise("This is the whole text.")
 
 
+# Characters that Python doesn't print: controls, formats, unassigned ones, separators but for the blank.
+_UNPRINTED = r"[\p{C}\p{Z}&&[^ ]]"
+
+
 def python_repr(c: Column) -> Column:
-    """A text in quotes as Python shows it: double quotes only if it has single ones alone."""
+    """A text in quotes as Python shows it: double quotes only if it has single ones alone,
+    characters that aren't printed by their numbers."""
     safe = F.replace(c, F.lit("\\"), F.lit("\\\\"))
     for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         safe = F.replace(safe, F.lit(raw), F.lit(shown))
+
+    def numbered(x: Column) -> Column:
+        code = F.ascii(x)
+        digits = lambda n: F.lpad(F.lower(F.hex(code)), n, "0")
+        shown = F.when(code < 1 << 8, F.concat(F.lit("\\x"), digits(2))).when(code < 1 << 16, F.concat(F.lit("\\u"), digits(4))).otherwise(F.concat(F.lit("\\U"), digits(8)))
+        return F.when(x.rlike(_UNPRINTED), shown).otherwise(x)
+
+    safe = F.when(safe.rlike(_UNPRINTED), F.array_join(F.transform(F.regexp_extract_all(safe, F.lit("(?s)."), F.lit(0)), numbered), "")).otherwise(safe)
     double = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
     return F.when(double, F.concat(F.lit('"'), safe, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(safe, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
-def compress(rows: DataFrame, key: str, text: str, *, focus: str | Column = GENERAL_FOCUS, max_chars: int | Column | None = None, limits: Limits = Limits(), completer: Completer = ExtractiveCompleter()) -> DataFrame:
+def _labelled(parts: Column, first: Column, n: Column) -> Column:
+    """Parts in order below their numbers, of which the first is ``first`` + 1."""
+    return F.array_join(F.transform(parts, lambda s, k: F.concat(F.lit("[part "), first + k + 1, F.lit("/"), n, F.lit("]\n"), s)), "\n\n")
+
+
+#: Characters that a part's number and the blank line after it take at most.
+LABEL_CHARS = 24
+
+
+def request_groups(sizes: list[int], most: int) -> list[int]:
+    """The request that each part goes into, in order: as many parts as fit into ``most``
+    characters, two at least, so that every round of requests leaves half as many parts at most."""
+    groups, held, n = [], 0, 0
+    for size in sizes:
+        if n >= 2 and held + size > most:
+            held = n = 0
+            groups.append(groups[-1] + 1)
+        else:
+            groups.append(groups[-1] if groups else 0)
+        held, n = held + size, n + 1
+    return groups
+
+
+def _combined(grouped: DataFrame, key: str, completer: Completer, limits: Limits, ask) -> DataFrame:
+    """(key, _combined): the parts of each text made one in rounds of requests that fit the limit;
+    null where a request failed. A round is written before the next one reads it."""
+    most = limits.combine_chars or (1 << 62)
+
+    @F.pandas_udf("array<int>")
+    def groups_of(sizes: pd.Series) -> pd.Series:
+        return pd.Series([request_groups(own, most) for own in sizes], dtype=object)
+
+    level = checkpoint(grouped.where("_error IS NULL").select(key, "_focus", F.col("_kept").alias("_parts")))
+    unfinished = (F.size("_parts") > 1) & ~F.exists("_parts", lambda p: p.isNull())
+    while not level.where(unfinished).isEmpty():
+        group = groups_of(F.transform("_parts", lambda p: F.char_length(p) + LABEL_CHARS))
+        parts = level.where(unfinished).select(key, "_focus", F.size("_parts").alias("_n"), F.posexplode(F.arrays_zip(F.col("_parts").alias("p"), group.alias("g"))).alias("_at", "_x"))
+        requests = parts.groupBy(key, F.col("_x.g").alias("_group")).agg(F.first("_focus").alias("_focus"), F.first("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_at", F.col("_x.p").alias("p")))).alias("_own"))
+        texts = F.transform("_own", lambda x: x["p"])
+        requests = requests.withColumn("_text", F.when(F.size("_own") > 1, _labelled(texts, F.get("_own", F.lit(0))["_at"], F.col("_n"))))
+        answered = ask("combine", requests, [F.col("_focus"), F.col("_text")], lambda: completer.combine(F.col("_focus"), F.col("_text")), F.col("_text").isNotNull())
+        merged = F.when(F.col("_text").isNull(), F.get(texts, F.lit(0))).otherwise(strip("_answer"))
+        after = answered.select(key, "_focus", "_group", merged.alias("_part")).groupBy(key).agg(F.first("_focus").alias("_focus"), F.array_sort(F.collect_list(F.struct("_group", "_part"))).alias("_x"))
+        level = checkpoint(level.where(~unfinished).unionByName(after.select(key, "_focus", F.transform("_x", lambda x: x["_part"]).alias("_parts"))))
+    return level.select(key, F.when(F.size("_parts") == 1, F.get("_parts", F.lit(0))).alias("_combined"))
+
+
+def compress(rows: DataFrame, key: str, text: str, *, focus: str | Column = GENERAL_FOCUS, max_chars: int | Column | None = None, limits: Limits = Limits(), completer: Completer = ExtractiveCompleter(), answers: Answers | None = None) -> DataFrame:
     """``(key, result)`` for each row; result has status, original_len, compressed_len, n_chunks,
     n_skipped, ratio, auto_truncated, error and body.
 
-    ``key`` must tell rows apart. A null text counts as empty.
+    ``key`` must tell rows apart. A null text counts as empty. With ``answers`` each different
+    question is asked once and its answer kept there, for later runs too; the completer's
+    ``name`` is part of a question, if it has one. With that or with a limit of combining
+    requests, the requests are made now, else when the result is read.
     """
+
+    def ask(kind: str, frame: DataFrame, parts: list[Column], answer: Callable[[], Column], when: Column) -> DataFrame:
+        if answers is None:
+            return frame.withColumn("_answer", answer())
+        own = F.lit(f"{kind}:{getattr(completer, 'name', type(completer).__name__)}")
+        return answers.answered(frame, [own, *parts], lambda _: answer(), when)
+
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     scoped = rows.select(
         F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"), as_col(focus).alias("_focus"),
@@ -123,9 +199,11 @@ def compress(rows: DataFrame, key: str, text: str, *, focus: str | Column = GENE
     # Each question is asked once: its answer is a column of one branch, and what needs no answer
     # (texts with a limit, irrelevant chunks, single summaries) asks about a null text.
     note = position_note(F.col("_at"), F.col("_n"), F.col("_auto"))
-    answer = parse_answer(completer.classify(F.col("_focus"), F.when(~F.col("_limited"), F.col("_chunk")), note))
-    answered = chunks.withColumn("_yes", F.when(F.col("_limited"), True).otherwise(answer))
-    both = answered.withColumn("_summary", strip(completer.extract(F.col("_focus"), F.when(F.col("_yes"), F.col("_chunk")))))
+    asked = F.when(~F.col("_limited"), F.col("_chunk"))
+    answered = ask("classify", chunks.withColumn("_note", note), [F.col("_focus"), F.col("_chunk"), F.col("_note")], lambda: completer.classify(F.col("_focus"), asked, F.col("_note")), ~F.col("_limited"))
+    answered = answered.withColumn("_yes", F.when(F.col("_limited"), True).otherwise(parse_answer(F.col("_answer")))).drop("_answer", "_note")
+    wanted = F.when(F.col("_yes"), F.col("_chunk"))
+    both = ask("extract", answered, [F.col("_focus"), F.col("_chunk")], lambda: completer.extract(F.col("_focus"), wanted), F.col("_yes")).withColumn("_summary", strip("_answer"))
     at = lambda what: F.format_string(f"Error: the {what} request failed on chunk %d of %d.", "_at", "_n")
     outcome = both.select(
         key, "_focus", "_auto", "_len", "_n", "_at",
@@ -138,15 +216,19 @@ def compress(rows: DataFrame, key: str, text: str, *, focus: str | Column = GENE
         F.transform(F.array_sort(F.collect_list(F.when(F.col("_summary").isNotNull(), F.struct("_at", "_summary")))), lambda x: x["_summary"]).alias("_kept"),
     )
     kept = F.size("_kept")
-    parts = F.array_join(F.transform("_kept", lambda s, k: F.concat(F.lit("[part "), k + 1, F.lit("/"), kept, F.lit("]\n"), s)), "\n\n")
+    parts = _labelled(F.col("_kept"), F.lit(0), kept)
     caveat = F.when(F.col("_auto"), " Only the beginning of the text was read.").otherwise("")
     grouped = grouped.withColumn(
         "_error",
         F.coalesce("_error", F.when(kept == 0, F.concat(F.lit("Error: none of the "), F.col("_n"), F.lit(" chunk(s) held anything on "), python_repr(F.col("_focus")), F.lit("."), caveat))),
     )
     many = F.col("_error").isNull() & (kept > 1)
-    combined = strip(completer.combine(F.col("_focus"), F.when(many, parts)))
-    done = grouped.withColumn("_combined", combined).withColumn("_body", F.when(many, F.col("_combined")).otherwise(F.get("_kept", F.lit(0))))
+    if answers is None and limits.combine_chars is None:
+        grouped = grouped.withColumn("_combined", strip(completer.combine(F.col("_focus"), F.when(many, parts))))
+    else:
+        grouped = checkpoint(grouped)
+        grouped = grouped.join(_combined(grouped, key, completer, limits, ask), key, "left")
+    done = grouped.withColumn("_body", F.when(many, F.col("_combined")).otherwise(F.get("_kept", F.lit(0))))
     done = done.withColumn("_error", F.coalesce("_error", F.when(F.col("_body").isNull(), F.lit("Error: the request that combines the parts failed."))))
     ok = F.col("_error").isNull()
     size = F.char_length("_body")
@@ -186,9 +268,9 @@ def with_url(url: Column, raw_bytes: Column, text: Column) -> Column:
     return F.concat(F.lit("[fetched "), url, F.lit(", "), raw_bytes.cast("string"), F.lit(" raw bytes]\n"), text)
 
 
-def compress_pages(rows: DataFrame, url: str, fetcher: PageFetcher, *, extract: Callable[[Column], Column] | None = None, focus: str = WEB_FOCUS, **options) -> DataFrame:
+def compress_pages(rows: DataFrame, url: str, fetcher: PageFetcher, *, extract: Callable[[Column], Column] | None = main_content, focus: str = WEB_FOCUS, **options) -> DataFrame:
     """(url, text) of each distinct address: the page's condensed text below a line that names it,
-    or an error. ``extract`` makes the main text of a page; each page is fetched once."""
+    or an error. ``extract`` makes the main text of a page, None takes all of it; each page is fetched once."""
     found = rows.select(F.col(url).alias("url")).where(F.col("url").isNotNull()).distinct().withColumn("page", fetcher.fetch(F.col("url")))
     html = F.col("page.html")
     pages = checkpoint(found.select("url", F.col("page.error").alias("wrong"), F.octet_length(html).alias("raw_bytes"), page_text(html, extract(html) if extract else None).alias("text")))

@@ -29,10 +29,12 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from textmill.functions.providers import Embedder, HashingEmbedder
 from textmill.functions.storage import checkpoint, read_bytes
 from textmill.functions.text import preview
+from textmill.operators.asked import Answers, StoredEmbedder
 from textmill.operators.manifest import counts, diff, file_hashes, files_to_chunk
 from textmill.sources.corpus import build_entries, chunk_rows, decode_ignoring, read_corpus
 
@@ -273,7 +275,13 @@ class Collection:
 
 
 def embed_entries(chunks: DataFrame, embedder: Embedder, origin: str = "index") -> DataFrame:
-    return chunks.select("*", embedder.embed(F.col("content")).alias("vec"), F.lit(origin).alias("origin"))
+    """Chunks with their vectors; of a ``StoredEmbedder`` those it hasn't kept yet are made, once each."""
+    vec = embedder.embed(F.col("content"))
+    if not isinstance(embedder, StoredEmbedder):
+        return chunks.select("*", vec.alias("vec"), F.lit(origin).alias("origin"))
+    kept = Answers(embedder.folder, ArrayType(FloatType()))
+    found = kept.answered(chunks, [F.lit(f"{embedder.name}:{embedder.dimensions}"), F.col("content")], lambda _: vec, F.col("content").isNotNull())
+    return found.select(*chunks.columns, F.col("_answer").alias("vec"), F.lit(origin).alias("origin"))
 
 
 def store_note(collection: Collection, content: str, metadata: dict[str, str], embedder: Embedder = HashingEmbedder()) -> None:
