@@ -259,6 +259,17 @@ def resolve_model(explicit: str | None, configured: str | None, loaded: list[str
     return loaded[0], None
 
 
+def resolved_model(explicit: Column, configured: Column, loaded: Column) -> Column:
+    """The same for columns: a struct (model, error), one of them null; null ``loaded`` is a service that can't be reached."""
+    asked = F.coalesce(F.nullif(explicit, F.lit("")), F.nullif(configured, F.lit("")))
+    error = (
+        F.when(loaded.isNull(), "Error: the model service can't be reached.").when(F.size(loaded) == 0, "Error: no model is loaded.")
+        .when(F.size(loaded) > 1, F.concat(F.lit("Error: several models are loaded ("), F.array_join(loaded, ", "), F.lit("); name one.")))
+    )
+    model = F.coalesce(asked, F.when(F.size(loaded) == 1, F.get(loaded, F.lit(0))))
+    return F.struct(model.alias("model"), F.when(model.isNull(), error).alias("error"))
+
+
 def describe_models(loaded: list[str] | None) -> str:
     if loaded is None:
         return "The model service can't be reached."

@@ -268,10 +268,17 @@ def with_url(url: Column, raw_bytes: Column, text: Column) -> Column:
     return F.concat(F.lit("[fetched "), url, F.lit(", "), raw_bytes.cast("string"), F.lit(" raw bytes]\n"), text)
 
 
-def compress_pages(rows: DataFrame, url: str, fetcher: PageFetcher, *, extract: Callable[[Column], Column] | None = main_content, focus: str = WEB_FOCUS, **options) -> DataFrame:
+def compress_pages(rows: DataFrame, url: str, fetcher: PageFetcher | DataFrame, *, extract: Callable[[Column], Column] | None = main_content, focus: str = WEB_FOCUS, **options) -> DataFrame:
     """(url, text) of each distinct address: the page's condensed text below a line that names it,
-    or an error. ``extract`` makes the main text of a page, None takes all of it; each page is fetched once."""
-    found = rows.select(F.col(url).alias("url")).where(F.col("url").isNotNull()).distinct().withColumn("page", fetcher.fetch(F.col("url")))
+    or an error. ``extract`` makes the main text of a page, None takes all of it; each page is fetched once.
+    A table (url, html) of stored pages, each address once, is a fetcher as well."""
+    asked = rows.select(F.col(url).alias("url")).where(F.col("url").isNotNull()).distinct()
+    if isinstance(fetcher, DataFrame):
+        stored = fetcher.select(F.col("url").alias("_url"), "html", F.lit(True).alias("_stored"))
+        missing = F.when(F.col("_stored").isNull(), F.concat(F.lit("no page is stored for "), F.col("url")))
+        found = asked.join(stored, F.col("url") == F.col("_url"), "left").select("url", F.struct("html", missing.alias("error")).alias("page"))
+    else:
+        found = asked.withColumn("page", fetcher.fetch(F.col("url")))
     html = F.col("page.html")
     pages = checkpoint(found.select("url", F.col("page.error").alias("wrong"), F.octet_length(html).alias("raw_bytes"), page_text(html, extract(html) if extract else None).alias("text")))
     condensed = compress(pages, "url", "text", focus=focus, **options)

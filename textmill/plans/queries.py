@@ -18,6 +18,7 @@ from textmill.functions.providers import ExtractiveCompleter, RecordedRuns, Stor
 from textmill.functions.storage import checkpoint_folder, remove
 from textmill.operators import compress as condense
 from textmill.operators import evaluate, events, index, manifest, vectors
+from textmill.plans import service_queries
 from textmill.sources.corpus import chunk_rows
 
 
@@ -561,6 +562,21 @@ def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MANIFEST_JSON = CONTENT_HASH
 
+
+def index_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of each type after files were indexed twice, and after a reset."""
+    files, made = _document_files(spark, sf_dir), _new_collection(spark)
+    index.index_files(made, files)
+    index.index_files(made, files)
+    twice = made.entries().groupBy("metadata.type").agg(F.count("*").alias("n")).withColumn("step", F.lit("twice"))
+    index.index_files(made, files, reset=True)
+    return twice.unionByName(index.type_counts(made.entries()).withColumn("step", F.lit("reset"))).select("step", "type", "n")
+
+
+INDEX_MODES = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''),""" + _WINDOWS.format(step=40, size=50, lines="d") + """,
+  t AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'code' ELSE 'doc' END AS type, count(*) AS n FROM win WHERE content <> '' GROUP BY 1)
+SELECT 'twice' AS step, type, 2 * n AS n FROM t UNION ALL SELECT 'reset', type, n FROM t"""
+
 #: name -> (query, SQL)
 REGISTRY = {
     "chunk_lines": (chunk_lines, CHUNK_LINES), "chunk_markdown": (chunk_markdown, CHUNK_MARKDOWN), "char_chunks": (char_chunks, CHAR_CHUNKS),
@@ -573,5 +589,6 @@ REGISTRY = {
     "collection_info": (collection_info, COLLECTION_INFO), "index_sync": (index_sync, INDEX_SYNC), "page_fetch": (page_fetch, PAGE_FETCH), "command_run": (command_run, COMMAND_RUN), "nested_write_back": (nested_write_back, NESTED_WRITE_BACK), "preview": (preview, PREVIEW), "dry_run": (dry_run, DRY_RUN), "file_filters": (file_filters, FILE_FILTERS),
     "ignore_rules": (ignore_rules, IGNORE_RULES), "ext_normalise": (ext_normalise, EXT_NORMALISE), "map_reduce_extractive": (map_reduce_extractive, MAP_REDUCE),
     "condense_rendered": (condense_rendered, CONDENSE_RENDERED), "classifier_answers": (classifier_answers, CLASSIFIER_ANSWERS),
-    "evaluation_pairs": (evaluation_pairs, EVALUATION_PAIRS), "evaluation_net": (evaluation_net, EVALUATION_NET), "semantic_topk": (semantic_topk, SEMANTIC_TOPK), "semantic_cells": (semantic_cells, SEMANTIC_TOPK),
+    "evaluation_pairs": (evaluation_pairs, EVALUATION_PAIRS), "evaluation_net": (evaluation_net, EVALUATION_NET), "semantic_topk": (semantic_topk, SEMANTIC_TOPK), "semantic_cells": (semantic_cells, SEMANTIC_TOPK), "index_modes": (index_modes, INDEX_MODES),
 }
+REGISTRY |= service_queries.REGISTRY
