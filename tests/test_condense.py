@@ -4,6 +4,7 @@ import json
 import uuid
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from textmill.functions import text as T
@@ -13,6 +14,7 @@ from textmill.operators import compress as C
 from textmill.operators import evaluate, events
 from textmill.operators.asked import StoredEmbedder
 from textmill.operators.index import embed_entries
+from textmill.streaming.fetches import gate_fetches
 from textmill.streaming.streams import route_events
 
 LONG = "w" * 81
@@ -352,3 +354,31 @@ def test_main_content(spark):
     df = spark.createDataFrame([(1, page), (2, "<p>short</p>"), (3, None), (4, ""), (5, "<p>" + long)], "i int, h string")
     got = {r["i"]: r["m"] for r in df.select("i", T.main_content("h").alias("m")).collect()}
     assert got == {1: f"{long}\nRead more : {long}", 2: "", 3: None, 4: "", 5: long}
+
+
+def test_unreadable_events_are_counted(spark):
+    raw = spark.createDataFrame([('{"tool_name": "Bash"}',), ("broken",), (None,), ("{}",)], "value string")
+    seen = Observation("events")
+    assert route_events(raw, observation=seen).count() == 1 and seen.get == {"read": 4, "unreadable": 3}
+
+
+def test_fetches_that_failed_are_left_alone(spark, tmp_path):
+    """Three runs over advancing time; state lasts from one to the next."""
+    source, at = tmp_path / "in", "2026-01-01 10:{:02d}:{:02d}".format
+    runs = [
+        [("http://a/1", at(0, 0), None), ("http://a/1", at(0, 5), True), ("http://a/1", at(1, 0), None), ("http://a/2", at(1, 1), None), ("http://b/1", at(1, 2), None), (None, at(1, 2), None)],
+        [("http://a/1", at(9, 59), None), ("http://a/3", at(9, 59), None), ("http://a/4", at(9, 59), None), ("http://a/5", at(9, 59), None), ("http://a/1", at(10, 6), None)],
+        [("http://a/1", at(30, 0), True), ("http://a/1", at(30, 1), False), ("http://a/1", at(30, 2), None), ("no host", at(30, 3), None)],
+    ]
+    want = [
+        [("http://a/1", "fetch"), ("http://a/1", "failed recently"), ("http://a/2", "fetch"), ("http://b/1", "fetch")],
+        [("http://a/1", "failed recently"), ("http://a/3", "fetch"), ("http://a/4", "fetch"), ("http://a/5", "host is busy"), ("http://a/1", "host is busy")],
+        [("http://a/1", "fetch"), ("no host", "fetch")],
+    ]
+    schema = "url string, at timestamp, failed boolean"
+    for k, rows in enumerate(runs):
+        spark.createDataFrame(rows, "url string, at string, failed boolean").coalesce(1).write.mode("append").json(str(source))
+        gated = gate_fetches(spark.readStream.schema(schema).json(str(source)), requests=2)
+        gated.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        got = [(r["url"], r["decision"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+        assert sorted(got) == sorted(x for own in want[: k + 1] for x in own)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,14 +16,18 @@ from textmill.sources.corpus import read_corpus_stream
 EVENT_SCHEMA = "tool_name string, tool_input string, tool_response string"
 
 
-def route_events(raw: DataFrame, column: str = "value", reachable: bool | Reachability = True) -> DataFrame:
+def route_events(raw: DataFrame, column: str = "value", reachable: bool | Reachability = True, observation: str | Observation | None = None) -> DataFrame:
     """One decision for each event, without state: (tool_name, web, command, condense).
 
     Works on batches and streams alike. What isn't an event is dropped, as a hook that can't
-    read its input lets the tool go on.
+    read its input lets the tool go on; ``observation``, or a name for a stream's listeners,
+    gets the numbers of rows ``read`` and of those ``unreadable``.
     """
     event = F.from_json(F.col(column), EVENT_SCHEMA)
-    rows = raw.select(event.alias("e")).where(F.col("e.tool_name").isNotNull()).select("e.*")
+    rows = raw.select(event.alias("e"))
+    if observation is not None:
+        rows = rows.observe(observation, F.count(F.lit(1)).alias("read"), F.count_if(F.col("e.tool_name").isNull()).alias("unreadable"))
+    rows = rows.where(F.col("e.tool_name").isNotNull()).select("e.*")
     tool = F.col("tool_name")
     return rows.select(
         "tool_name", web_route(tool, F.get_json_object("tool_input", "$.url"), F.get_json_object("tool_input", "$.prompt"), reachable).alias("web"),
