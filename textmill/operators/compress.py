@@ -288,10 +288,17 @@ def compress_pages(rows: DataFrame, url: str, fetcher: PageFetcher | DataFrame,
     return both.select("url", F.coalesce("failed", with_url(F.col("url"), F.col("raw_bytes"), render(F.col("result")))).alias("text"))
 
 
-def compress_commands(rows: DataFrame, command: str, runner: CommandRunner, **options) -> DataFrame:
+def compress_commands(rows: DataFrame, command: str, runner: CommandRunner | DataFrame, **options) -> DataFrame:
     """(command, text) of each distinct command: its condensed output below its exit code, or an
-    error; each is run once."""
-    found = rows.select(F.col(command).alias("command")).where(F.col("command").isNotNull()).distinct().withColumn("run", runner.run(F.col("command")))
+    error; each is run once. A table (command, exit_code, stdout, stderr) of recorded runs, each
+    command once, is a runner as well."""
+    asked = rows.select(F.col(command).alias("command")).where(F.col("command").isNotNull()).distinct()
+    if isinstance(runner, DataFrame):
+        stored = runner.select(F.col("command").alias("_command"), "exit_code", "stdout", "stderr", F.lit(True).alias("_stored"))
+        missing = F.when(F.col("_stored").isNull(), F.concat(F.lit("no run is recorded of "), F.col("command")))
+        found = asked.join(stored, F.col("command") == F.col("_command"), "left").select("command", F.struct("exit_code", "stdout", "stderr", missing.alias("error")).alias("run"))
+    else:
+        found = asked.withColumn("run", runner.run(F.col("command")))
     runs = checkpoint(found.select("command", F.col("run.error").alias("wrong"), "run.exit_code", combined_output(F.col("run.stdout"), F.col("run.stderr")).alias("text")))
     condensed = compress(runs, "command", "text", **options)
     failed = F.when(F.col("wrong").isNotNull(), F.concat(F.lit("Error: the command wasn't run: "), F.col("wrong")))

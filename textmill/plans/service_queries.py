@@ -46,19 +46,39 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return condense.compress_pages(urls, "url", pages)
 
 
-PAGE_TEXTS = f"""
-WITH p AS (SELECT url AS doc_id, strlen(html) AS raw_bytes, coalesce(nullif({_main_content_sql('html')}, ''), {_stripped('html')}) AS text FROM (SELECT DISTINCT ON (url) url, html FROM pages)),
-  c AS (SELECT doc_id, text, unnest(range(0, length(text), 12000)) AS s FROM p WHERE length(text) BETWEEN 2000 AND 2000000),
+def _condensed_sql(source: str) -> str:
+    """CTEs of condensing ``source(doc_id, text)`` by the defaults: a(doc_id, t)."""
+    return f"""c AS (SELECT doc_id, text, unnest(range(0, length(text), 12000)) AS s FROM {source} WHERE length(text) BETWEEN 2000 AND 2000000),
   n AS (SELECT doc_id, s, length(text) AS o, trim(substring(text, s + 1, 80), ' ' || chr(10)) AS summary, count(*) OVER (PARTITION BY doc_id) AS m FROM c),
   g AS (SELECT doc_id, any_value(o) AS o, any_value(m) AS m,
     string_agg(CASE WHEN m > 1 THEN '[part ' || (s // 12000 + 1) || '/' || m || ']' || chr(10) ELSE '' END || summary, chr(10) || chr(10) ORDER BY s) AS body FROM n GROUP BY doc_id),
   a AS (SELECT doc_id, '[compressed ' || o || ' -> ' || length(body) || ' chars across ' || m || ' chunk(s), ~' ||
       CAST(round_even(100 * (1 - length(body) / o), 0) AS INT) || '% smaller]' || chr(10) || chr(10) || body AS t FROM g
-    UNION ALL SELECT doc_id, text FROM p WHERE length(text) < 2000)
+    UNION ALL SELECT doc_id, text FROM {source} WHERE length(text) < 2000)"""
+
+
+PAGE_TEXTS = f"""
+WITH p AS (SELECT url AS doc_id, strlen(html) AS raw_bytes, coalesce(nullif({_main_content_sql('html')}, ''), {_stripped('html')}) AS text FROM (SELECT DISTINCT ON (url) url, html FROM pages)),
+  {_condensed_sql('p')}
 SELECT doc_id AS url, '[fetched ' || doc_id || ', ' || raw_bytes || ' raw bytes]' || chr(10) || t AS text FROM a JOIN p USING (doc_id)
 UNION ALL SELECT doc_id || '?gone', 'Error: ' || doc_id || '?gone wasn''t fetched: no page is stored for ' || doc_id || '?gone' FROM p"""
 
 
+def command_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs recorded of every document, asked for by their commands, and a command for each of
+    which there is none."""
+    runs = _table(spark, sf_dir, "documents").selectExpr("concat('show ', doc_id) AS command", "CAST(doc_id % 3 AS INT) AS exit_code", "text AS stdout", "CASE WHEN doc_id % 4 = 0 THEN source ELSE '' END AS stderr")
+    asked = runs.select("command").union(runs.select(F.concat(F.lit("un"), "command")))
+    return condense.compress_commands(asked, "command", runs)
+
+
+COMMAND_TEXTS = f"""
+WITH p AS (SELECT 'show ' || doc_id AS doc_id, doc_id % 3 AS exit_code, text || CASE WHEN doc_id % 4 = 0 AND source <> '' THEN chr(10) || '--- stderr ---' || chr(10) || source ELSE '' END AS text FROM documents),
+  {_condensed_sql('p')}
+SELECT doc_id AS command, '[exit code ' || exit_code || ']' || chr(10) || t AS text FROM a JOIN p USING (doc_id)
+UNION ALL SELECT 'un' || doc_id, 'Error: the command wasn''t run: no run is recorded of un' || doc_id FROM p"""
+
+
 def limited_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With an explicit limit every chunk counts as relevant, whatever the classifier would say."""
     found = condense.compress(_table(spark, sf_dir, "documents"), "doc_id", "text", max_chars=F.when(F.col("doc_id") % 2 == 0, 3_000).otherwise(-100), limits=condense.Limits(chunk_chars=2_500), completer=ExtractiveCompleter("never there"))
@@ -123,6 +143,6 @@ SELECT event_id, model, CASE WHEN model IS NULL THEN CASE event_id % 4 WHEN 0 TH
 
 #: name -> (query, SQL)
 REGISTRY = {
-    "main_content": (main_content, MAIN_CONTENT), "page_texts": (page_texts, PAGE_TEXTS), "limited_scope": (limited_scope, LIMITED_SCOPE), "manifest_lines": (manifest_lines, MANIFEST_LINES),
+    "main_content": (main_content, MAIN_CONTENT), "page_texts": (page_texts, PAGE_TEXTS), "command_texts": (command_texts, COMMAND_TEXTS), "limited_scope": (limited_scope, LIMITED_SCOPE), "manifest_lines": (manifest_lines, MANIFEST_LINES),
     "command_input": (command_input, COMMAND_INPUT), "quoted_text": (quoted_text, QUOTED_TEXT), "model_choice": (model_choice, MODEL_CHOICE),
 }
