@@ -5,17 +5,20 @@ import json
 import os
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions.paths import compile_ignore, extensions_of, is_ignored, normalise_extensions
 from textmill.functions.providers import HashingEmbedder
 from textmill.operators import index
-from textmill.operators.index import Collection, index_files, index_repo, preview_index, store_note, sync_files, sync_repo, upsert_files
+from textmill.operators.index import Collection, embed_entries, index_files, index_repo, preview_index, store_note, sync_files, sync_repo, upsert_files
 from textmill.operators.vectors import top_k
 from textmill.operators.manifest import parse_manifest, render_manifest
+from textmill.sources import collection as sink
 from textmill.sources import corpus
-from textmill.sources.corpus import build_entries, deal, decode_ignoring, read_corpus
+from textmill.sources.collection import write_collection
+from textmill.sources.corpus import build_entries, chunk_rows, deal, decode_ignoring, read_corpus
 from textmill.streaming.streams import sync_stream, sync_tree
 
 
@@ -376,3 +379,39 @@ def test_top_k_edge_cases(spark):
     assert [r["id"] for r in top_k(vectors, queries, k=1, metric="dot").orderBy("query_id").collect()] == [4, 2]
     assert top_k(vectors.limit(0), queries).count() == 0
     assert top_k(vectors, queries.limit(0)).count() == 0
+
+
+def test_the_sink_commits_all_or_nothing(spark, tmp_path):
+    rows = chunk_rows(spark.createDataFrame([(f"{k}.py", f"line {k}") for k in range(8)], "p string, t string").repartition(4), "p", "t")
+    entries = embed_entries(rows, HashingEmbedder(8))
+    new = {"embedding_model": "hashing-8", "dimensions": "8"}
+    with pytest.raises(Exception, match="needs embedding_model"):
+        write_collection(spark, entries, str(tmp_path), "c")
+    write_collection(spark, entries, str(tmp_path), "c", **new)
+    c = Collection(spark, str(tmp_path), "c")
+    assert len(contents(c)) == 8 and c.settings() == index.IndexSettings("hashing-8", 8)
+    store_note(c, "note", {}, HashingEmbedder(8))
+    write_collection(spark, entries.limit(2), str(tmp_path), "c")
+    assert len(contents(c)) == 11
+    before = sorted(x for x in os.listdir(tmp_path / "c") if x.startswith("segment-"))
+    broken = entries.withColumn("content", F.when(F.col("metadata.file_path") == "5.py", F.raise_error(F.lit("broken"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="broken"):
+        write_collection(spark, broken, str(tmp_path), "c")
+    assert sorted(x for x in os.listdir(tmp_path / "c") if x.startswith("segment-")) == before and len(contents(c)) == 11
+    write_collection(spark, entries.limit(0), str(tmp_path), "c")
+    assert len(contents(c)) == 11
+    write_collection(spark, entries.limit(3), str(tmp_path), "c", mode="overwrite", **new)
+    assert len(contents(c)) == 3
+
+
+def test_the_sink_drops_what_an_attempt_left(spark, tmp_path):
+    """A file of an attempt that doesn't count goes, and a number that another writer took isn't overwritten."""
+    schema = embed_entries(chunk_rows(spark.createDataFrame([("a.py", "x")], "p string, t string"), "p", "t"), HashingEmbedder(8)).schema
+    writer = sink._Writer({"path": str(tmp_path), "name": "c", "embedding_model": "m", "dimensions": "8"}, schema, False)
+    batch = pa.RecordBatch.from_pydict({"content": ["a", "b"]})
+    lost, kept = writer.write(iter([batch])), writer.write(iter([batch]))
+    other = sink._Writer({"path": str(tmp_path), "name": "c", "embedding_model": "m", "dimensions": "8"}, schema, False)
+    other.commit([other.write(iter([batch]))])
+    writer.commit([kept, sink.Written(None, 0)])
+    assert os.listdir(writer._entries) == [kept.name] and lost.name != kept.name
+    assert writer._numbers() == [0, 1] and [s["name"] for s in json.loads((tmp_path / "c" / "log" / "0000000001.json").read_text())["segments"]] == [other.segment, writer.segment]
