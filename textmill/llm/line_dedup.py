@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import ASCII_SPACE, checkpoint, table, written
+from textmill.llm.common import ASCII_SPACE, checkpoint, small, table, written
 
 MIN_CODE_POINTS = 10
 BATCHES = 6
@@ -116,13 +116,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # One join by document brings its text and the hashes it keeps together. Within a document
     # the first hash alone tells lines apart.
-    kept = index.all().groupBy("doc_id").agg(F.collect_list("h1").alias("own"))
+    of_documents = lambda hashes: hashes.groupBy("doc_id").agg(F.collect_list("h1").alias("own"))
     n_lines = F.size(F.split("text", "\n", -1))
     long = with_id.where((F.octet_length("text") >= LINES_IN_ROW) & (n_lines > LINES_IN_ROW))
     if long.isEmpty():
-        whole = _rebuild(with_id.join(kept, "doc_id", "left"), min_code_points)
+        whole = _rebuild(with_id.join(of_documents(index.all()), "doc_id", "left"), min_code_points)
     else:
-        whole = _rebuild(with_id.where(n_lines <= LINES_IN_ROW).join(kept, "doc_id", "left"), min_code_points)
+        # Documents of many lines go another way, and their hashes are never one row. An id may be in both.
+        short = with_id.where(n_lines <= LINES_IN_ROW)
+        only_long = long.select("doc_id").distinct().join(short.select("doc_id"), "doc_id", "left_anti")
+        kept = of_documents(index.all().join(small(only_long), "doc_id", "left_anti"))
+        whole = _rebuild(short.join(kept, "doc_id", "left"), min_code_points)
         whole = whole.unionByName(_rebuild_long(long, index.all(), min_code_points))
     without_id = source.where(F.col("doc_id").isNull())
     return whole if without_id.isEmpty() else whole.unionByName(_without_id(without_id, index.all(), min_code_points))
