@@ -20,6 +20,7 @@ import posixpath
 import stat
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,7 +159,7 @@ class _Reader(DataSourceReader):
         for f in filters:
             own = getattr(f, "attribute", None) == ("rel_path",)
             if own and isinstance(f, (EqualTo, In)):
-                named = set(f.value if isinstance(f, In) else [f.value])
+                named = {x for x in (f.value if isinstance(f, In) else [f.value]) if x is not None}
                 self.paths = sorted(named if self.paths is None else named & set(self.paths))
             elif own and isinstance(f, StringStartsWith) and not self.prefix:
                 self.prefix = f.value
@@ -197,15 +198,10 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: Part) -> Iterator[tuple]:
         below = (p for folder in partition.folders for p in self.tree.walk(folder) if p.startswith(self.prefix))
-        for rel in (*partition.files, *below) if not partition.folders else _chained(partition.files, below):
+        for rel in chain(partition.files, below):
             yield _row(self.tree, rel, self.digest)
 
 
-def _chained(files: list[str], below: Iterator[str]) -> Iterator[str]:
-    yield from files
-    yield from below
-
-
 def _row(tree: Tree, rel: str, digest: bool = False) -> tuple:
     """A file's row; one that can't be read has an error instead of its content."""
     at = os.path.join(tree.root, rel) if rel else tree.root
