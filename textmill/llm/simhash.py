@@ -414,7 +414,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 NEAR_SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Words of 64 bits of a fingerprint; each has four blocks of BAND_BITS bits.
-NEAR_WORDS, BAND_BITS = 12, 16
+NEAR_WORDS, BAND_BITS = 9, 16
 
 
 def differing_bits(similarity: float, bits: int, deviations: float = 0.0) -> int:
@@ -440,7 +440,7 @@ def _similar(similarity: float, n_words: int):
 
 
 #: Standard deviations over the expected bits of the similarity at which a pair still links.
-NEAR_DEVIATIONS = 2.0
+NEAR_DEVIATIONS = 2.5
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_in_shingle: int = NEAR_SHINGLE_WORDS, similarity: float = SIMILARITY, n_words: int = NEAR_WORDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
