@@ -40,8 +40,9 @@ MAIN_CONTENT = f"SELECT page_id, {_main_content_sql('html')} AS text FROM pages"
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored page by its address and an address for each that isn't stored: fetched, its
-    main text condensed, or an error."""
-    pages = _table(spark, sf_dir, "pages").select("url", "html").dropDuplicates(["url"])
+    main text condensed, or an error. Of pages that repeat an address the first by page_id counts."""
+    first = F.min(F.struct("page_id", "html"))
+    pages = _table(spark, sf_dir, "pages").groupBy("url").agg(first.alias("page")).select("url", "page.html")
     urls = pages.select("url").union(pages.select(F.concat("url", F.lit("?gone"))))
     return condense.compress_pages(urls, "url", pages)
 
