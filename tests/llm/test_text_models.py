@@ -205,6 +205,42 @@ def test_rare_words_keep_their_counts(spark):
         assert none_heavy[k] == pytest.approx(own, rel=1e-4)
 
 
+def test_all_training_text_is_learnt_from(spark, monkeypatch):
+    """Components and attention: every stretch of every document that isn't held out, in however many blocks."""
+    monkeypatch.setattr(M, "BLOCK_CHARS", 3000)
+    r = random.Random(11)
+    docs = [(k, " ".join(f"{'ab'[k % 2]}{r.randint(0, 40)}" for _ in range(r.randint(0, 200)))) for k in range(90)] + [(None, "x y")]
+    source = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    train = F.coalesce(I.remainder("doc_id", 10) != 0, F.lit(False))
+    rows = source.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (~train).alias("held_out"), "text", train.alias("train"))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    blocks = rows.mapInArrow(*M._cut(path)).localCheckpoint()
+    assert blocks.count() > M.EM_BLOCKS
+    learnt = [t.split() for k, t in docs if k is not None and zlib.crc32(str(k).encode()) % 10]
+    stretches = sum(-(-len(words) // M.WINDOW) for words in learnt)
+    _, size = M.Speller(path).spell([w.encode() for words in learnt for w in words])
+    found = M.Components(M.find_experts(blocks))
+    assert found.counts.sum() == pytest.approx((size + 1).sum(), rel=0.01)
+    assert np.exp(found.prior).sum() == pytest.approx(1, rel=1e-5)
+    counts = np.zeros(((M.VOCABULARY + 1) ** 2, M.EXPERTS), dtype=np.float32)
+    counts[found.place] = found.counts
+    pairs, at = M.distinct_pairs(np.array([M.EDGE, 6, 5, 6]), np.array([8, 7, M.EDGE, 7]))
+    assert pairs.tolist() == [5 * 1025 + M.EDGE, 6 * 1025 + 7, M.EDGE * 1025 + 8]
+    assert at.tolist() == [2, 1, 0, 1]
+    pairs = np.r_[pairs, found.place[:40]]
+    assert np.allclose(found.log(pairs), M.pair_table(counts.reshape(1025, 1025, -1)).reshape(-1, M.EXPERTS)[pairs], atol=1e-3)
+    model = toy_model()
+    sent = spark.sparkContext.broadcast((model, M.Counts(np.ones(M.EXPERTS), 1.0), pa.array([], pa.binary()), np.zeros((0, M.EXPERTS), dtype=np.int64)))
+    weights, seen = M.trained(blocks, sent)
+    assert seen == stretches
+    assert all((weights[k] != model.weights[k]).any() for k in weights)
+    # No window comes again before all have come.
+    seen = []
+    monkeypatch.setattr(M, "gradient", lambda model, own, *_: (seen.extend(own[:, 0].tolist()), (0.0, model.weights))[1])
+    M.train_attention(toy_model(), np.arange(130)[:, None] * np.ones((1, M.WINDOW), dtype=np.int64), np.zeros(0), np.zeros(0), np.zeros(0), steps=3)
+    assert sorted(seen[:130]) == list(range(130))
+
+
 def test_words_are_scored_with_sixteen_before_them():
     assert (M.WINDOW, M.CONTEXT) == (64, 16)
     model, words, r = toy_model(), toy_words(), np.random.default_rng(4)
