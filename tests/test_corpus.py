@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -415,3 +416,27 @@ def test_the_sink_drops_what_an_attempt_left(spark, tmp_path):
     writer.commit([kept, sink.Written(None, 0)])
     assert os.listdir(writer._entries) == [kept.name] and lost.name != kept.name
     assert writer._numbers() == [0, 1] and [s["name"] for s in json.loads((tmp_path / "c" / "log" / "0000000001.json").read_text())["segments"]] == [other.segment, writer.segment]
+
+
+def test_decoding_and_vectors_of_a_batch_make_no_python_objects(spark):
+    """Peak memory of the two Python steps is near that of their batch, and the results are those of Python's own."""
+    raw = [None, b"", b"a\r\nb\rc", "é\ufffd\x01".encode(), b"\xff" + "ü\r".encode() + b"\xe2\x82", b"\xed\xa0\x80x"]
+    want = [None if c is None else c.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n") for c in raw]
+    assert decode_ignoring.func(pa.array(raw, pa.binary())).to_pylist() == want
+    assert decode_ignoring.func(pa.array(raw[:4], pa.binary())).to_pylist() == want[:4]
+    texts = [(0, "a b c " * 30_000), (1, None), (2, ""), (3, "x y"), (4, "z " * 70_000)]  # over a run of words at once
+    got = spark.createDataFrame(texts, "k int, t string").coalesce(1).select("k", HashingEmbedder(8).embed(F.col("t")).alias("v"))
+    vectors = {r["k"]: r["v"] for r in got.collect()}
+    place = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(8))).first()[0] for w in "abcxyz"}
+    for k, text in texts:
+        counts = [0.0] * 8
+        for w in (text or "").split():
+            counts[place[w]] += 1
+        norm = max(sum(c * c for c in counts) ** 0.5, 1)
+        assert vectors[k] == pytest.approx([c / norm for c in counts], abs=1e-6)
+    batch = pa.array([b"word " * 400] * 2000, pa.binary())
+    tracemalloc.start()
+    decode_ignoring.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < batch.nbytes / 10

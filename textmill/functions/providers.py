@@ -13,6 +13,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from textmill.functions.text import strip
 
 #: What a completer answers for a chunk without anything on the focus.
 MARKER = "NOT RELEVANT"
+#: Words of a batch that are counted at once.
+WORDS_AT_ONCE = 1 << 16
 
 
 class Completer(Protocol):
@@ -212,18 +216,26 @@ class HashingEmbedder:
 
     def embed(self, text: Column) -> Column:
         words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-        places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(self.dimensions)).cast("int"))
-        n = self.dimensions
-
-        @F.pandas_udf("array<float>")
-        def scaled(batch: pd.Series) -> pd.Series:
-            size = batch.map(len).to_numpy(dtype=np.int64)
-            flat = np.concatenate([np.empty(0, dtype=np.int64), *batch])
-            counts = np.bincount(np.repeat(np.arange(len(batch)), size) * n + flat, minlength=len(batch) * n).reshape(-1, n)
+        kind, n = "short" if self.dimensions <= 1 << 15 else "int", self.dimensions
+        places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast(kind))
+
+        # Arrow's own arrays, and the words a run at a time: a batch takes little more than its bytes.
+        @F.arrow_udf("array<float>")
+        def scaled(batch: pa.Array) -> pa.Array:
+            ends = np.cumsum(pc.list_value_length(batch).to_numpy(zero_copy_only=False), dtype=np.int64)
+            flat = batch.flatten().to_numpy(zero_copy_only=False)
+            counts = np.zeros(len(batch) * n, dtype=np.int64)
+            for at in range(0, len(flat), WORDS_AT_ONCE):
+                own = flat[at : at + WORDS_AT_ONCE]
+                row = np.searchsorted(ends, np.arange(at, at + len(own)), side="right")
+                some = np.bincount((row - row[0]) * n + own)
+                counts[row[0] * n : row[0] * n + len(some)] += some
+            counts = counts.reshape(-1, n)
             norm = np.linalg.norm(counts, axis=1, keepdims=True)
-            return pd.Series(list((counts / np.maximum(norm, 1)).astype(np.float32)), dtype=object)
+            values = (counts / np.maximum(norm, 1)).astype(np.float32).ravel()
+            return pa.ListArray.from_arrays(np.arange(0, len(values) + 1, n, dtype=np.int32), values)
 
-        return scaled(F.coalesce(places, F.array().cast("array<int>")))
+        return scaled(F.coalesce(places, F.array().cast(f"array<{kind}>")))
 
 
 @dataclass(frozen=True)

@@ -22,6 +22,8 @@ from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, StringStartsWith
@@ -358,12 +360,18 @@ def read_corpus_stream(spark: SparkSession, root: str, state: str, **options: st
     return spark.readStream.format("corpus").options(path=root, state=state, **options).load()
 
 
-@F.pandas_udf(StringType())
-def decode_ignoring(content):  # noqa: ANN001, ANN201 (a pandas UDF's types are its declaration)
-    """UTF-8 text without the bytes that aren't, with line ends made \\n."""
-    import pandas as pd
-
-    return pd.Series([None if c is None else bytes(c).decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n") for c in content], dtype=object)
+@F.arrow_udf(StringType())
+def decode_ignoring(content: pa.Array) -> pa.Array:
+    """UTF-8 text without the bytes that aren't, with line ends made \\n; of a batch that is UTF-8
+    no Python objects are made."""
+    try:
+        text = content.cast(pa.string())
+    except pa.ArrowInvalid:
+        text = pa.array([None if c is None else c.decode("utf-8", "ignore") for c in content.to_pylist()], pa.string())
+    for end in ("\r\n", "\r"):
+        if pc.any(pc.match_substring(text, end)).as_py():
+            text = pc.replace_substring(text, end, "\n")
+    return text
 
 
 def chunk_rows(files: DataFrame, path: str, text: str, *, size: int = 50, overlap: int = 10, keep_preamble: bool = False) -> DataFrame:
