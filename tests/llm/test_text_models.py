@@ -354,6 +354,66 @@ def test_gradients():
     assert np.mean(trace[-10:]) > np.mean(trace[:10])
 
 
+def test_training_spells_a_block_once(spark, monkeypatch):
+    """What the weights don't change is made once a block, not at each step; counts leave a task added up."""
+    monkeypatch.setattr(M, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(M, "KEPT_COUNTS", 200)
+    r = random.Random(12)
+    docs = [(k, " ".join(f"w{r.randint(0, 60)}" for _ in range(r.randint(0, 200)))) for k in range(40)]
+    train = F.coalesce(I.remainder("doc_id", 10) != 0, F.lit(False))
+    rows = spark.createDataFrame(docs, "doc_id long, text string").select(F.monotonically_increasing_id().alias("uid"), "doc_id", (~train).alias("held_out"), "text", train.alias("train"))
+    blocks = rows.coalesce(1).mapInArrow(*M._cut(public_tokenizers.path("byte_bpe_50k.tiktoken"))).toArrow()
+    batches = blocks.select(["block", "words", "texts", "documents"]).to_batches()
+    sizes = [len(b.size) for x in batches for b in M._unpacked(x)]
+    assert len(sizes) > 3
+    spelt, plain = [], M.spelling_log
+    monkeypatch.setattr(M, "spelling_log", lambda table, first, second, n: (spelt.append(len(n)), plain(table, first, second, n))[1])
+
+    class Sent:
+        value = (toy_model(), M.Counts(np.ones(M.EXPERTS), 1.0), pa.array([], pa.binary()), np.zeros((0, M.EXPERTS), dtype=np.int64))
+
+    list(M._train(Sent)[0](iter(batches)))
+    assert spelt == sizes
+    counted = pa.Table.from_batches(list(M._count(None)[0](iter(batches))))
+    counted = counted.filter(pa.compute.equal(counted["kind"], M.COUNT)).group_by("word").aggregate([("n", "sum"), ("n", "count")]).to_pydict()
+    words = [w for k, t in docs if zlib.crc32(str(k).encode()) % 10 for w in t.split()]
+    assert sorted(counted["n_sum"]) == sorted(words.count(w) for w in set(words))
+    assert sum(counted["n_count"]) < sum(sizes)  # it was a row a word and block
+
+
+def test_sums_of_runs():
+    """Runs of any length, one far longer than all others, and words spelt in many subwords."""
+    r = np.random.default_rng(7)
+    for n in (np.zeros(0, dtype=np.int64), np.array([0, 3, 0]), r.integers(0, 4, 200), np.r_[r.integers(1, 40, 300), 5000]):
+        table, place = r.integers(0, 9, (50, 3)).astype(np.float32), r.integers(0, 50, n.sum())
+        end = np.cumsum(n)
+        want = [table[place[e - k : e]].sum(axis=0) for e, k in zip(end, n, strict=True)]
+        assert np.array_equal(M.sums_of(table, place, n), np.array(want, dtype=np.float32).reshape(-1, 3))
+    model, size = toy_model(), np.r_[np.full(40, 2), 300]
+    words = model.words(r.integers(0, 40, size.sum()), size, np.zeros((41, M.EXPERTS), dtype=np.float32))
+    state, own = r.normal(0, 1, (41, M.WIDTH)).astype(np.float32), np.arange(41)
+    together, slope = M.spell_by_attention(model, words, own, state, M.mixture_logits(model, state), for_gradient=True)
+    for k in own:
+        log, by = M.spell_by_attention(model, words, own[k : k + 1], state[k : k + 1], M.mixture_logits(model, state[k : k + 1]), for_gradient=True)
+        assert together[k] == pytest.approx(log[0], rel=1e-5)
+        assert np.allclose(slope[k], by[0], atol=1e-3)
+
+
+def test_attention_of_large_scores():
+    """Scores whose exponentials overflow are those of a plain softmax."""
+    r = np.random.default_rng(9)
+    rows = r.normal(0, 8, (3, M.WINDOW, 3 * M.WIDTH + 1)).astype(np.float32)
+    rows[..., -1] = 1
+    bias = M._bias(np.zeros(M.WINDOW, dtype=np.float32))
+    assert not M.bounded(rows.reshape(-1, rows.shape[2]), np.zeros(M.WINDOW))
+    q, k, v = np.split(rows[..., :-1].astype(float), 3, axis=2)
+    scores = q @ k.transpose(0, 2, 1) + bias
+    weight = np.exp(scores - scores.max(axis=2, keepdims=True))
+    want = weight @ v / weight.sum(axis=2, keepdims=True)
+    for begin, stride in ((0, M.TRAIN_STRIDE), (M.CONTEXT, M.STRIDE)):
+        assert np.allclose(M.attend(rows, bias, False, begin, stride)[0], want[:, begin:], atol=1e-2)
+
+
 def test_blocks_keep_what_they_pack():
     r = np.random.default_rng(6)
     for n, high in ((0, 1), (5, 1), (300, 200), (300, 70_000), (10, 20_000_000)):
